@@ -146,8 +146,7 @@ def few_shot_prompts(
     )
     examples = F.coalesce(F.col("examples"), F.array().cast("array<string>"))
     return (
-        test.withColumn(topic, require_topic(F.col(topic)))
-        .join(contexts, id_column, "left")
+        test.join(contexts, id_column, "left")
         .withColumns(
             {
                 "full_prompt": few_shot_prompt(examples, last_content(F.col("prompt"))),

@@ -15,10 +15,8 @@ def require_columns(df: DataFrame, columns: list[str], purpose: str) -> None:
 
 def require_topic(topic: Column) -> Column:
     """The topic; fails the query on a row without one."""
-    blank = topic.isNull() | (topic == "")
-    return F.when(
-        blank, F.raise_error(F.lit("few-shot prompts need a topic on every test row"))
-    ).otherwise(topic)
+    message = F.lit("few-shot prompts need a topic on every test row")
+    return F.coalesce(F.nullif(topic, F.lit("")), F.raise_error(message).cast("string"))
 
 
 def keep_first(df: DataFrame, column: str, id_column: str = "row_id") -> DataFrame:

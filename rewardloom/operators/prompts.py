@@ -43,7 +43,8 @@ def last_content(prompt: Column) -> Column:
 
     This is the question, or the reasoning where that was prefilled.
     """
-    return F.coalesce(F.try_element_at(prompt, F.lit(-1))["content"], F.lit(""))
+    # Not element_at: inlined over an array literal it breaks code generation.
+    return F.coalesce(F.get(F.reverse(prompt), 0)["content"], F.lit(""))
 
 
 def example_line(df: DataFrame, prompt: str = "prompt", answers: str = "answers") -> Column:
