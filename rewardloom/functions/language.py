@@ -1,8 +1,8 @@
 """Language identification by a vote of function words.
 
 A stand-in for a trained language identifier that needs no model: each language
-gets one point per occurrence of one of its most frequent words and the highest
-score wins. Attach a detector's output as a column when more is needed.
+gets one point for each of its most frequent words that occurs and the highest score
+wins. Attach a detector's output as a column when more is needed.
 """
 
 from __future__ import annotations
@@ -24,18 +24,23 @@ DEFAULT_LANGUAGE = "en"
 
 def detect_language(text: Column) -> Column:
     """Code of the language with the most function words, ties by code."""
-    # Doubling the gaps gives every word a blank of its own on both sides, so
-    # that neighbouring words are all counted.
-    words = F.concat(
-        F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "  "), F.lit(" ")
-    )
+
+    def lexicon(*codes: str) -> Column:
+        return F.array(*[F.lit(word) for code in codes for word in FUNCTION_WORDS[code]])
+
+    codes = sorted(FUNCTION_WORDS)
+    words = F.split(F.lower(text), r"[^\p{L}]+")
+    # All function words first: the votes then compare short arrays only.
+    known = F.array_intersect(words, F.array_distinct(lexicon(*codes)))
     votes = [
         F.struct(
-            F.regexp_count(words, F.lit(f" ({'|'.join(FUNCTION_WORDS[code])}) ")).alias("n"),
+            F.size(F.array_intersect(known, lexicon(code))).alias("n"),
             F.lit(-rank).alias("rank"),
             F.lit(code).alias("code"),
         )
-        for rank, code in enumerate(sorted(FUNCTION_WORDS))
+        for rank, code in enumerate(codes)
     ]
-    best = F.greatest(*votes)
-    return F.when(best["n"] > 0, best["code"]).otherwise(F.lit(DEFAULT_LANGUAGE))
+    undecided = F.struct(
+        F.lit(0).alias("n"), F.lit(1).alias("rank"), F.lit(DEFAULT_LANGUAGE).alias("code")
+    )
+    return F.greatest(undecided, *votes)["code"]

@@ -57,11 +57,9 @@ def strict_confidence(text: Column) -> Column:
 
 def lenient_confidence(text: Column) -> Column:
     """First number in the confidence tag; values above 1 are read as percent."""
-    number = F.nullif(
-        F.regexp_extract(first_tagged(text, "confidence"), r"([0-9]+(?:\.[0-9]+)?)", 1),
-        F.lit(""),
-    ).cast("double")
-    scaled = F.when(number > 1, number / 100.0).otherwise(number)
+    digits = F.regexp_extract(first_tagged(text, "confidence"), r"([0-9]+(?:\.[0-9]+)?)", 1)
+    number = digits.try_cast("double")
+    scaled = number / F.when(number > 1, 100.0).otherwise(1.0)
     return F.when(has_pair(text, "confidence"), scaled)
 
 

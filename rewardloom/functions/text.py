@@ -60,8 +60,31 @@ def second_piece(text: Column, tag: str) -> Column:
 
 def occurrences(text: Column, token: str) -> Column:
     """How often ``token`` occurs, counted left to right without overlap."""
-    removed = F.length(text) - F.length(F.replace(text, F.lit(token), F.lit("")))
-    return (removed / F.lit(len(token))).cast("int")
+    # Sizes in bytes are known without reading the text.
+    rest = F.replace(text, F.lit(token), F.lit(""))
+    removed = F.octet_length(text) - F.octet_length(rest)
+    return (removed / F.lit(len(token.encode()))).cast("int")
+
+
+def _overlaps_itself(token: str) -> bool:
+    return any(token.startswith(token[i:]) for i in range(1, len(token)))
+
+
+def after_last_token(text: Column, token: str) -> Column:
+    """``after_last`` for any token, with occurrences counted from the left."""
+    if _overlaps_itself(token):
+        return F.split_part(text, F.lit(token), F.lit(-1))
+    return after_last(text, token)
+
+
+def occurs_once(text: Column, token: str) -> Column:
+    """True when ``token`` occurs exactly once."""
+    if _overlaps_itself(token):
+        return occurrences(text, token) == 1
+    # Then the text is what is before it, the token, and what is after it; an
+    # absent token leaves the whole text on both sides. Sizes in bytes are free.
+    around = F.octet_length(before_first(text, token)) + F.octet_length(after_last(text, token))
+    return around + len(token.encode()) == F.octet_length(text)
 
 
 def has_pair(text: Column, tag: str) -> Column:

@@ -107,7 +107,9 @@ def score(
         for column in reward.reads:
             present = present & getattr(inputs, column).isNotNull()
         value = reward.value(inputs, *extra).cast("double")
-        scored.append(F.when(present, value).alias(name))
+        # Adding NULL makes a reward NULL without making it conditional:
+        # subexpressions are shared only where they are always evaluated.
+        scored.append((value + F.when(present, 0.0)).alias(name))
     return parsed.select(*(rollouts.columns if keep is None else keep), *scored)
 
 

@@ -64,9 +64,11 @@ def language(language: str, detected_column: str | None = None) -> Reward:
     decides by function words.
     """
 
-    def value(r):
-        found = F.col(detected_column) if detected_column else detect_language(r.completion)
+    def detected(r):
+        return F.col(detected_column) if detected_column else detect_language(r.completion)
+
+    def value(r, found):
         return F.when(found == language, 1.0).otherwise(0.0)
 
     extra = (detected_column,) if detected_column else ()
-    return Reward(value, extra_columns=extra)
+    return Reward(value, detected, extra_columns=extra)

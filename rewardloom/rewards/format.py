@@ -6,7 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rewardloom.functions.parse import closing, opening, split_in_order
-from rewardloom.functions.text import SPACE, occurrences, strip
+from rewardloom.functions.text import (
+    SPACE,
+    after_last_token,
+    before_first,
+    occurrences,
+    occurs_once,
+    strip,
+)
 from rewardloom.rewards.base import Reward, register
 
 # Price of one character outside the tags.
@@ -19,11 +26,11 @@ def _outside(length: Column) -> Column:
 
 
 def _head(text: Column, token: str) -> Column:
-    return F.length(F.split_part(text, F.lit(token), F.lit(1)))
+    return F.length(before_first(text, token))
 
 
 def _tail(text: Column, token: str) -> Column:
-    return F.length(F.split_part(text, F.lit(token), F.lit(-1)))
+    return F.length(after_last_token(text, token))
 
 
 @register("xml_format")
@@ -41,28 +48,41 @@ def xml_format(tokens: list[str] | None = None, reasoning_tag: str = "reasoning"
         raise ValueError("xml_format needs at least one token and no empty ones")
     end_tag = f"</{reasoning_tag}>"
 
-    def once(text, token, worth):
-        return F.when(occurrences(text, token) == 1, worth).otherwise(0.0)
+    counted = list(dict.fromkeys([*tokens, "<answer>", "</answer>"]))
 
-    def value(r):
+    def stage(r):
         c = r.completion
+        return F.struct(
+            *[occurs_once(c, token).alias(f"once{i}") for i, token in enumerate(counted)],
+            _head(c, tokens[0]).alias("before_first"),
+            _tail(c, tokens[-1]).alias("after_last"),
+            _head(c, end_tag).alias("before_end"),
+            _head(c, "<answer>").alias("before_answer"),
+            _tail(c, "</answer>").alias("after_answer"),
+            (F.contains(c, F.lit(end_tag)) & F.contains(c, F.lit("<answer>"))).alias("both"),
+        )
+
+    def value(r, found):
+        def once(token, worth):
+            return F.when(found[f"once{counted.index(token)}"], worth).otherwise(0.0)
+
         answer_only = (
-            once(c, "<answer>", 0.5)
-            + once(c, "</answer>", 0.5)
-            + _outside(_head(c, "<answer>"))
-            + _outside(_tail(c, "</answer>"))
+            once("<answer>", 0.5)
+            + once("</answer>", 0.5)
+            + _outside(found["before_answer"])
+            + _outside(found["after_answer"])
+        )
+        gap = found["before_answer"] - found["before_end"]
+        between = F.when(found["both"] & (gap > 0), (gap - len(end_tag)) * PER_CHARACTER)
+        full = (
+            sum((once(token, 0.125) for token in tokens), F.lit(0.0))
+            + _outside(found["before_first"])
+            + _outside(found["after_last"])
+            - F.coalesce(between, F.lit(0.0))
         )
-        present = F.lit(0.0)
-        for token in tokens:
-            present = present + once(c, token, 0.125)
-        end, start = F.instr(c, end_tag), F.instr(c, "<answer>")
-        gap = F.when(
-            (end > 0) & (start > end), (start - end - len(end_tag)) * PER_CHARACTER
-        ).otherwise(0.0)
-        full = present + _outside(_head(c, tokens[0])) + _outside(_tail(c, tokens[-1])) - gap
         return F.when(F.coalesce(r.answer_only, F.lit(False)), answer_only).otherwise(full)
 
-    return Reward(value)
+    return Reward(value, stage)
 
 
 @register("soft_format")

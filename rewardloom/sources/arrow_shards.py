@@ -96,6 +96,7 @@ class ShardReader(DataSourceReader):
         return self._shards
 
     def read(self, partition: Shard) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -105,7 +106,7 @@ class ShardReader(DataSourceReader):
             for batch in stream:
                 arrays = list(batch.columns)
                 if self._numbered:
-                    arrays.insert(0, pa.array(range(row, row + batch.num_rows), pa.int64()))
+                    arrays.insert(0, pa.array(np.arange(row, row + batch.num_rows)))
                     row += batch.num_rows
                 cast = [array.cast(field.type) for array, field in zip(arrays, target)]
                 yield pa.RecordBatch.from_arrays(cast, schema=target)

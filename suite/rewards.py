@@ -85,9 +85,8 @@ def _scored(value: str) -> str:
 
 
 def _words(code: str) -> str:
-    words = "|".join(FUNCTION_WORDS[code])
-    spaced = "' ' || regexp_replace(low, '[^\\p{L}]+', '  ', 'g') || ' '"
-    return f"len(regexp_extract_all({spaced}, ' ({words}) '))"
+    words = ", ".join(f"'{word}'" for word in FUNCTION_WORDS[code])
+    return f"len(list_intersect(tokens, [{words}]))"
 
 
 def _language(wanted: str) -> str:
@@ -218,7 +217,7 @@ NEEDS_TRUTH = {"right_answer_in_completion", "answer_distance", "entailment"} |
 )
 
 EXTRA = """x AS (
-  SELECT *, string_split(c, '<thought>') AS pieces, len(string_split(c, '<thought>')) - 1 AS n_open,
+  SELECT *, regexp_split_to_array(low, '[^\\p{L}]+') AS tokens, string_split(c, '<thought>') AS pieces, len(string_split(c, '<thought>')) - 1 AS n_open,
          len(string_split(c, '</thought>')) - 1 AS n_close, sample_id * 8 + repeat_id AS k,
          CAST((sample_id * 8 + repeat_id) % 100 AS DOUBLE) / 100.0 AS s
   FROM j)"""
