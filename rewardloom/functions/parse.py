@@ -31,8 +31,9 @@ def last_tagged(text: Column, tag: str) -> Column:
 
 
 def first_tagged(text: Column, tag: str) -> Column:
-    """Content of the first ``tag``; only meaningful when the tag pair occurs."""
-    return strip(before_first(second_piece(text, f"<{tag}>"), f"</{tag}>"))
+    """Content of the first ``tag``; NULL unless both tags occur."""
+    content = before_first(second_piece(text, f"<{tag}>"), f"</{tag}>")
+    return F.when(has_pair(text, tag), strip(content))
 
 
 def lettered_answer(text: Column) -> Column:
@@ -50,24 +51,19 @@ def strict_confidence(text: Column) -> Column:
     """Confidence in 0..1 from one to three digits up to 100, else NULL."""
     raw = first_tagged(text, "confidence")
     percent = F.when(raw.rlike("^[0-9]{1,3}$"), raw.cast("int"))
-    return F.when(
-        has_pair(text, "confidence") & (percent <= 100), percent.cast("double") / 100.0
-    )
+    return F.when(percent <= 100, percent.cast("double") / 100.0)
 
 
 def lenient_confidence(text: Column) -> Column:
     """First number in the confidence tag; values above 1 are read as percent."""
     digits = F.regexp_extract(first_tagged(text, "confidence"), r"([0-9]+(?:\.[0-9]+)?)", 1)
     number = digits.try_cast("double")
-    scaled = number / F.when(number > 1, 100.0).otherwise(1.0)
-    return F.when(has_pair(text, "confidence"), scaled)
+    return number / F.when(number > 1, 100.0).otherwise(1.0)
 
 
 def evaluated_answer(text: Column) -> Column:
     """First tagged answer, or the stripped reply when the tags are missing."""
-    return F.when(has_pair(text, "answer"), first_tagged(text, "answer")).otherwise(
-        strip(text)
-    )
+    return F.coalesce(first_tagged(text, "answer"), strip(text))
 
 
 def is_parsed(text: Column) -> Column:

@@ -81,10 +81,11 @@ def occurs_once(text: Column, token: str) -> Column:
     """True when ``token`` occurs exactly once."""
     if _overlaps_itself(token):
         return occurrences(text, token) == 1
-    # Then the text is what is before it, the token, and what is after it; an
-    # absent token leaves the whole text on both sides. Sizes in bytes are free.
+    # Then the text is what is before it, the token, and what is after it. Sizes
+    # in bytes are known without reading the text.
     around = F.octet_length(before_first(text, token)) + F.octet_length(after_last(text, token))
-    return around + len(token.encode()) == F.octet_length(text)
+    whole = around + len(token.encode()) == F.octet_length(text)
+    return F.contains(text, F.lit(token)) & whole
 
 
 def has_pair(text: Column, tag: str) -> Column:

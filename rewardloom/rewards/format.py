@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rewardloom.functions.parse import closing, opening, split_in_order
 from rewardloom.functions.text import (
     SPACE,
+    after_last,
     after_last_token,
     before_first,
     occurrences,
@@ -20,17 +21,9 @@ from rewardloom.rewards.base import Reward, register
 PER_CHARACTER = 0.001
 
 
-def _outside(length: Column) -> Column:
+def _outside(text: Column) -> Column:
     """Penalty for text outside the tags; no text at all earns one character."""
-    return -(length - 1) * PER_CHARACTER
-
-
-def _head(text: Column, token: str) -> Column:
-    return F.length(before_first(text, token))
-
-
-def _tail(text: Column, token: str) -> Column:
-    return F.length(after_last_token(text, token))
+    return -(F.length(text) - 1) * PER_CHARACTER
 
 
 @register("xml_format")
@@ -54,11 +47,11 @@ def xml_format(tokens: list[str] | None = None, reasoning_tag: str = "reasoning"
         c = r.completion
         return F.struct(
             *[occurs_once(c, token).alias(f"once{i}") for i, token in enumerate(counted)],
-            _head(c, tokens[0]).alias("before_first"),
-            _tail(c, tokens[-1]).alias("after_last"),
-            _head(c, end_tag).alias("before_end"),
-            _head(c, "<answer>").alias("before_answer"),
-            _tail(c, "</answer>").alias("after_answer"),
+            before_first(c, tokens[0]).alias("before_first"),
+            after_last_token(c, tokens[-1]).alias("after_last"),
+            before_first(c, end_tag).alias("before_end"),
+            before_first(c, "<answer>").alias("before_answer"),
+            after_last(c, "</answer>").alias("after_answer"),
             (F.contains(c, F.lit(end_tag)) & F.contains(c, F.lit("<answer>"))).alias("both"),
         )
 
@@ -72,8 +65,8 @@ def xml_format(tokens: list[str] | None = None, reasoning_tag: str = "reasoning"
             + _outside(found["before_answer"])
             + _outside(found["after_answer"])
         )
-        gap = found["before_answer"] - found["before_end"]
-        between = F.when(found["both"] & (gap > 0), (gap - len(end_tag)) * PER_CHARACTER)
+        gap = F.length(found["before_answer"]) - F.length(found["before_end"]) - len(end_tag)
+        between = F.when(found["both"] & (gap > -len(end_tag)), gap * PER_CHARACTER)
         full = (
             sum((once(token, 0.125) for token in tokens), F.lit(0.0))
             + _outside(found["before_first"])

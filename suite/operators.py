@@ -932,7 +932,7 @@ _SCORES = (
 )
 SCORES_ORACLE = sql.rollouts(
     f"SELECT sample_id, repeat_id, {', '.join(_named(SHIPPED_SPECS))}, "
-    "round(reward_total, 6) AS reward_total FROM t",
+    "round(reward_total, 6) + 0.0::DOUBLE AS reward_total FROM t",
     *_SCORES,
 )
 
@@ -967,8 +967,8 @@ def _folder_of(df: DataFrame) -> str:
 @check(
     "group_advantage",
     sql.rollouts(
-        "SELECT t.sample_id, repeat_id, round(reward_total, 6) AS reward_total, "
-        "round((reward_total - m) / (sd + 0.0001::DOUBLE), 4) AS advantage FROM t JOIN "
+        "SELECT t.sample_id, repeat_id, round(reward_total, 6) + 0.0::DOUBLE AS reward_total, "
+        "round((reward_total - m) / (sd + 0.0001::DOUBLE), 4) + 0.0::DOUBLE AS advantage FROM t JOIN "
         "(SELECT sample_id, avg(reward_total) AS m, coalesce(stddev_samp(reward_total), 0) AS sd "
         "FROM t GROUP BY sample_id) g ON g.sample_id = t.sample_id",
         *_SCORES,
@@ -992,8 +992,8 @@ _TRAINING = _named(TRAINING_SPECS)
     "reward_report",
     sql.rollouts(
         " UNION ALL ".join(
-            f"SELECT '{n}' AS reward, count({n}) AS scored, round(avg({n}), 6) AS mean, "
-            f"round(stddev_samp({n}), 6) AS stddev, round(min({n}), 6) AS min, round(max({n}), 6) AS max, "
+            f"SELECT '{n}' AS reward, count({n}) AS scored, round(avg({n}), 6) + 0.0::DOUBLE AS mean, "
+            f"round(stddev_samp({n}), 6) + 0.0::DOUBLE AS stddev, round(min({n}), 6) + 0.0::DOUBLE AS min, round(max({n}), 6) + 0.0::DOUBLE AS max, "
             f"round(count(*) FILTER (WHERE {n} <> 0) / count({n}), 6) AS share_nonzero FROM s"
             for n in _TRAINING
         ),

@@ -224,11 +224,14 @@ EXTRA = """x AS (
 
 
 def reward_sql(name: str) -> str:
-    """The reward as an expression over the CTE ``x``, rounded as the query is."""
+    """The reward as an expression over the CTE ``x``, rounded as the query is.
+
+    Adding zero turns a negative zero into a plain one.
+    """
     missing = "c IS NULL OR g IS NULL" if name in NEEDS_TRUTH else "c IS NULL"
     return (
         f"CASE WHEN {missing} THEN NULL ELSE "
-        f"round(CAST({EXPRESSIONS[name]} AS DOUBLE), 6) END AS {name}"
+        f"round(CAST({EXPRESSIONS[name]} AS DOUBLE), 6) + 0.0::DOUBLE END AS {name}"
     )
 
 
