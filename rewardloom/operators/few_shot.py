@@ -5,6 +5,10 @@ keeps a few, which is quadratic in the size of a topic. Here the training rows
 of a topic are numbered instead, every test row draws the numbers it wants, and
 only those rows are joined. Work is proportional to the rows read plus the
 examples returned, whatever the topics' sizes.
+
+A topic may hold a large share of either table, so no step gathers a topic in
+one task: training rows are numbered in groups, test rows meet their topic's
+size in slices, and a training row wanted by very many test rows is copied.
 """
 
 from __future__ import annotations
@@ -17,36 +21,64 @@ from rewardloom.operators.prompts import example_line, few_shot_prompt, last_con
 from rewardloom.operators.sampling import seeded_key
 from rewardloom.options import MAX_CONTEXT_EXAMPLES
 
-# Training rows of a topic are numbered in 16**3 groups, each in its own task.
+# Training rows of a topic are numbered in 16**3 groups.
 GROUP_DIGITS = 3
 
+# Test rows of a topic are looked at in this many slices.
+SLICES = 64
+
+# How many test rows share one copy of a training row.
+WANTED_PER_COPY = 10_000
+
+
+def topic_sizes(train: DataFrame, test: DataFrame, topic: str, cap: int) -> DataFrame:
+    """Per topic of the training table: its size, and copies to make of its rows."""
+    sizes = train.groupBy(topic).agg(F.count(F.lit(1)).alias("topic_size"))
+    tests = test.groupBy(topic).agg(F.count(F.lit(1)).alias("tests"))
+    # Draws fall evenly on the rows of a topic.
+    wanted = F.col("tests") * F.least(F.lit(cap), F.col("topic_size")) / F.col("topic_size")
+    copies = F.greatest(F.lit(1), F.ceil(wanted / WANTED_PER_COPY))
+    return sizes.join(tests, topic).select(topic, "topic_size", copies.alias("copies"))
 
-def number_within_topic(train: DataFrame, topic: str, id_column: str) -> DataFrame:
+
+def number_within_topic(
+    train: DataFrame,
+    topic: str,
+    id_column: str,
+    sizes: DataFrame,
+    carry: dict[str, Column] | None = None,
+) -> DataFrame:
     """Number the rows of each topic from 0, in an order fixed by their ids.
 
-    Numbering a topic in one task would not survive a topic that holds a third
-    of the table. The rows of a topic are therefore spread over groups by a
-    digest of their id, numbered within the group, and shifted by the size of
-    the groups before it. Returns topic, id, ``position`` and ``topic_size``.
+    The rows of a topic are spread over groups by a digest of their id, numbered
+    within the group, and shifted by the size of the groups before it. Returns
+    topic, id, ``position``, the columns of ``sizes`` and those to carry.
     """
+    carry = carry or {}
+    added = [name for name in sizes.columns if name != topic]
     digest = F.md5(F.col(id_column).cast("string"))
     rows = train.where(F.col(topic).isNotNull()).select(
-        topic, id_column, digest.alias("digest"), F.substring(digest, 1, GROUP_DIGITS).alias("grp")
+        topic,
+        id_column,
+        digest.alias("digest"),
+        F.substring(digest, 1, GROUP_DIGITS).alias("grp"),
+        *[column.alias(name) for name, column in carry.items()],
     )
-    of_topic = Window.partitionBy(topic)
-    before = of_topic.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(topic).orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     groups = (
         rows.groupBy(topic, "grp")
         .count()
         .withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
-        .withColumn("topic_size", F.sum("count").over(of_topic))
         .drop("count")
+        .join(sizes, topic)
     )
     in_group = Window.partitionBy(topic, "grp").orderBy("digest", id_column)
     return (
         rows.withColumn("nth", F.row_number().over(in_group) - 1)
         .join(groups, [topic, "grp"])
-        .select(topic, id_column, (F.col("start") + F.col("nth")).alias("position"), "topic_size")
+        .select(
+            topic, id_column, (F.col("start") + F.col("nth")).alias("position"), *added, *carry
+        )
     )
 
 
@@ -82,37 +114,44 @@ def sample_examples(
     id_column: str = "row_id",
     cap: int = MAX_CONTEXT_EXAMPLES,
     seed: int = 42,
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Pairs of a test row and a training row of its topic, at most ``cap`` each.
 
-    Columns: ``test_id``, ``train_id`` and ``place``, a key to sort a test row's
-    examples by (then by ``train_id``): blank when the whole topic is used, so
-    that it stays in order, and pseudo-random when it is sampled.
-
-    Training rows that many test rows want, as in a topic of few training and
-    very many test rows, are hot join keys on the test side only; adaptive
-    execution splits those.
+    Columns: ``test_id``, ``train_id``, the training columns to ``carry`` and
+    ``place``, a key to sort a test row's examples by (then by ``train_id``):
+    blank when the whole topic is used, so that it stays in order, and
+    pseudo-random when it is sampled.
     """
-    numbered = number_within_topic(train, topic, id_column)
-    sizes = train.where(F.col(topic).isNotNull()).groupBy(topic).agg(
-        F.count(F.lit(1)).alias("topic_size")
-    )
+    train = train.where(F.col(topic).isNotNull())
+    test = test.select(F.col(id_column).alias("test_id"), require_topic(F.col(topic)).alias(topic))
+    sizes = topic_sizes(train, test, topic, cap)
+
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    numbered = number_within_topic(train, topic, id_column, sizes, carry).withColumn("copy", copy)
+    # Drawing takes far longer than the narrow rows it works on suggest; a fixed
+    # number of partitions keeps them from being coalesced by their size.
+    tasks = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a_slice = F.pmod(F.xxhash64("test_id"), F.lit(SLICES)).cast("int")
+    slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
     wanted = (
-        test.select(F.col(id_column).alias("test_id"), require_topic(F.col(topic)).alias(topic))
-        .join(sizes, topic)
+        test.withColumn("slice", a_slice)
+        .join(sizes.withColumn("slice", slices), [topic, "slice"])
+        .repartition(tasks, "test_id")
         .select(
             topic,
             "test_id",
-            F.explode(
-                draw_positions(F.col("topic_size"), cap, seed, F.col("test_id"))
-            ).alias("position"),
+            F.pmod(F.xxhash64("test_id"), F.col("copies")).alias("copy"),
+            F.explode(draw_positions(F.col("topic_size"), cap, seed, F.col("test_id"))).alias(
+                "position"
+            ),
         )
     )
     place = F.when(
         F.col("topic_size") > cap, seeded_key(seed, F.col("test_id"), F.col(id_column))
     ).otherwise("")
-    return wanted.join(numbered, [topic, "position"]).select(
-        "test_id", F.col(id_column).alias("train_id"), place.alias("place")
+    return wanted.join(numbered, [topic, "position", "copy"]).select(
+        "test_id", F.col(id_column).alias("train_id"), place.alias("place"), *(carry or {})
     )
 
 
@@ -127,20 +166,23 @@ def few_shot_prompts(
 ) -> DataFrame:
     """Add ``full_prompt`` and ``context_examples_count`` to the test rows.
 
-    Both tables have ``prompt`` and ``answers``. The sample is drawn on ids
-    alone; texts join it last, so each training text is shuffled once. Test rows
-    of a topic without training rows stay, with no examples.
+    Both tables have ``prompt`` and ``answers``. Test rows of a topic without
+    training rows stay, with no examples.
     """
     for table, name in ((train, "the training table"), (test, "the test table")):
         require_columns(table, [topic, id_column, "prompt", "answers"], name)
     pairs = sample_examples(
-        train, test, topic=topic, id_column=id_column, cap=cap, seed=seed
+        train,
+        test,
+        topic=topic,
+        id_column=id_column,
+        cap=cap,
+        seed=seed,
+        carry={"line": example_line(train)},
     )
-    lines = train.select(F.col(id_column).alias("train_id"), example_line(train).alias("line"))
     # At most cap lines per test row are collected.
     contexts = (
-        pairs.join(lines, "train_id")
-        .groupBy(F.col("test_id").alias(id_column))
+        pairs.groupBy(F.col("test_id").alias(id_column))
         .agg(F.array_sort(F.collect_list(F.struct("place", "train_id", "line"))).alias("examples"))
         .withColumn("examples", F.col("examples")["line"])
     )

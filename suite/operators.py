@@ -22,6 +22,7 @@ from rewardloom.operators.evaluate import (
     summarize,
 )
 from rewardloom.operators.few_shot import few_shot_prompts, sample_examples
+from rewardloom.operators.hooks import score_texts
 from rewardloom.operators.prepare import keep_filled, keep_first
 from rewardloom.operators.prompts import add_prompts, example_line, few_shot_prompt, last_content
 from rewardloom.operators.responses import ChatTemplate, equal_pairs, preference_pairs, tagged_response
@@ -722,6 +723,36 @@ def option_probabilities_query(spark, sf_dir):
     )
 
 
+@check(
+    "entailment_by_own_scorer",
+    sql.rollouts(
+        "SELECT sample_id, repeat_id, CASE WHEN g IS NULL THEN NULL ELSE round(2.0 * CASE WHEN g IN ('A', 'B') "
+        "THEN (length(reas) % 100)::DOUBLE / 100 ELSE 1 - (length(reas) % 100)::DOUBLE / 100 END, 6) END "
+        "AS entailment FROM p",
+        sql.PARSED,
+    ),
+)
+def entailment_by_own_scorer(spark, sf_dir):
+    """A stand-in for a classifier, run on the reasoning of every response."""
+
+    def make_scorer():
+        def scorer(texts):
+            scores = [len(text) % 100 / 100 for text in texts]
+            return [
+                [{"label": "LABEL_0", "score": 1 - s}, {"label": "LABEL_1", "score": s}] for s in scores
+            ]
+
+        return scorer
+
+    reasoning = parse.last_tagged(F.lower("response"), "reasoning")
+    scored = fixtures.rollouts(spark, sf_dir).withColumn(
+        "class_scores",
+        score_texts(make_scorer, reasoning, "array<struct<label:string,score:double>>"),
+    )
+    spec = [{"name": "entailment"}]
+    return rounded(score(scored, spec, keep=["sample_id", "repeat_id"], **rewards.COLUMNS))
+
+
 # ------------------------------------------------------------- evaluation
 
 

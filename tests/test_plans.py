@@ -65,13 +65,18 @@ def test_sample_is_a_filter(spark, sf_dir, plan):
     assert not re.search("Exchange|Sort|Join|Window", text)
 
 
-def test_few_shot_never_joins_on_topic_alone(spark, sf_dir, plan):
-    """Only the sizes, one row per topic, join the test rows by topic."""
+def test_few_shot_never_joins_rows_by_topic_alone(spark, sf_dir, plan):
+    """Only the two counts per topic are joined by topic."""
     df = materialize(fixtures.questions(spark, sf_dir), "questions")
     text = plan(sample_examples(df.where("split = 'train'"), df.where("split = 'test'"), topic="lang"))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", text)
     joins = re.findall(r"(?:SortMergeJoin|HashJoin) \[([^\]]*)\], \[", text)
-    assert sorted(len(keys.split(", ")) for keys in joins) == [1, 2, 2]
+    by_topic_only = [keys for keys in joins if "," not in keys]
+    # The two counts, for either side, and the counts of the groups.
+    assert len(by_topic_only) == 3 and len(joins) == 6
+    for line in text.splitlines():
+        if "Window [" in line:
+            assert "grp" in line
 
 
 def test_summary_reads_the_sample_ids_on_their_own(spark, sf_dir, plan):

@@ -16,7 +16,7 @@ from rewardloom.operators.evaluate import (
     sample_table,
     summarize,
 )
-from rewardloom.operators.few_shot import few_shot_prompts, number_within_topic, sample_examples
+from rewardloom.operators.few_shot import few_shot_prompts, number_within_topic, sample_examples, topic_sizes
 from rewardloom.operators.prepare import keep_filled, keep_first
 from rewardloom.operators.prompts import add_prompts, last_content
 from rewardloom.operators.responses import ChatTemplate, equal_pairs, tagged_response
@@ -189,9 +189,9 @@ def topic_table(spark, sizes, start=0):
 def test_numbering_is_dense(spark):
     train = topic_table(spark, {"hot": 5_000, "b": 3, "c": 1})
     found = collections.defaultdict(list)
-    for r in number_within_topic(train, "topic", "row_id").collect():
+    sizes = topic_sizes(train, train, "topic", 80)
+    for r in number_within_topic(train, "topic", "row_id", sizes).collect():
         found[r["topic"]].append(r["position"])
-        assert r["topic_size"] == {"hot": 5_000, "b": 3, "c": 1}[r["topic"]]
     assert {t: sorted(p) == list(range(len(p))) for t, p in found.items()} == {"hot": True, "b": True, "c": True}
 
 
@@ -214,6 +214,19 @@ def test_examples_per_test_row(spark):
     assert sorted(map(tuple, repartitioned.collect())) == sorted(map(tuple, pairs.collect()))
 
 
+def test_copies_change_nothing(spark, monkeypatch):
+    """Training rows that many test rows want are copied, for the same result."""
+    from rewardloom.operators import few_shot
+
+    train, test = topic_table(spark, {"t": 90, "one": 1}), topic_table(spark, {"t": 50, "one": 50}, start=1_000)
+    expected = sorted(map(tuple, sample_examples(train, test).collect()))
+    assert len(expected) == 50 * 80 + 50
+    monkeypatch.setattr(few_shot, "WANTED_PER_COPY", 7)
+    copies = {r["topic"]: r["copies"] for r in few_shot.topic_sizes(train, test, "topic", 80).collect()}
+    assert copies == {"t": 7, "one": 8}
+    assert sorted(map(tuple, sample_examples(train, test).collect())) == expected
+
+
 def test_examples_are_drawn_evenly(spark):
     """Each of 10 training rows is drawn for about 3 in 10 test rows."""
     train, test = topic_table(spark, {"t": 10}), topic_table(spark, {"t": 3_000}, start=100)
@@ -347,6 +360,17 @@ def test_option_probabilities(spark):
     assert tuple(df.select(*p.values()).first()) == (0.5, 0.5, 0.0)
 
 
+def test_own_scorer(spark):
+    from rewardloom.operators.hooks import score_texts
+
+    def make_detector():
+        return lambda texts: ["fr" if "é" in text else "en" for text in texts]
+
+    df = spark.createDataFrame([("né",), (None,), ("x",)], "completion string")
+    found = df.select(score_texts(make_detector, F.col("completion"), "string").alias("v")).collect()
+    assert [r["v"] for r in found] == ["fr", None, "en"]
+
+
 def test_group_advantage(spark):
     rows = [(1, 1.0), (1, 3.0), (2, 5.0), (2, 5.0), (3, 7.0)]
     df = spark.createDataFrame(rows, "sample_id long, reward_total double")
