@@ -32,9 +32,14 @@ class TwoStageColumns:
 
 @dataclass(frozen=True)
 class DatasetOptions:
-    """Where the questions are and what their columns mean."""
+    """Where the questions are and what their columns mean.
+
+    ``format`` is ``parquet`` (a table with a split column) or ``arrow_shards``
+    (a folder of Arrow shards per split, whose rows are numbered on reading).
+    """
 
     path: str | None = None
+    format: str = "parquet"
     train_split: str = "train"
     test_split: str = "test"
     split_column: str = "split"

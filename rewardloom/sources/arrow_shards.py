@@ -44,6 +44,11 @@ def _exists(path: str) -> bool:
     return filesystem.get_file_info(name).type == fs.FileType.File
 
 
+def has_splits(path: str) -> bool:
+    """Whether the folder holds named splits rather than one table."""
+    return _exists(f"{path.rstrip('/')}/dataset_dict.json")
+
+
 class Shard(InputPartition):
     def __init__(self, number: int, path: str):
         self.number = number

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardloom.options import DatasetOptions
+from rewardloom.sources import arrow_shards
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -33,11 +34,28 @@ def load_split(
     return table if split is None else table.where(F.col(split_column) == split)
 
 
+def load_shards(
+    spark: SparkSession, path: str, split: str | None = None, id_column: str = "row_id"
+) -> DataFrame:
+    """One split of a dataset of Arrow shards, its rows numbered in order."""
+    arrow_shards.register(spark)
+    reader = spark.read.format("arrow_shards").option("row_id", id_column)
+    return (reader if split is None else reader.option("split", split)).load(path)
+
+
+def _load(spark: SparkSession, dataset: DatasetOptions, path: str, split: str | None) -> DataFrame:
+    if dataset.format == "arrow_shards":
+        return load_shards(spark, path, split, dataset.id_column)
+    if dataset.format == "parquet":
+        return load_split(spark, path, split, dataset.split_column)
+    raise ValueError(f"unknown dataset format {dataset.format!r}")
+
+
 def load_splits(spark: SparkSession, dataset: DatasetOptions) -> tuple[DataFrame, DataFrame]:
     """The training and the test split."""
     return (
-        load_split(spark, dataset.path, dataset.train_split, dataset.split_column),
-        load_split(spark, dataset.path, dataset.test_split, dataset.split_column),
+        _load(spark, dataset, dataset.path, dataset.train_split),
+        _load(spark, dataset, dataset.path, dataset.test_split),
     )
 
 
@@ -46,12 +64,14 @@ def load_sft_table(spark: SparkSession, dataset: DatasetOptions) -> DataFrame |
 
     Its training split is used when it has splits, else all of it.
     """
-    if not (dataset.sft_column and dataset.sft_dataset_path):
+    path = dataset.sft_dataset_path
+    if not (dataset.sft_column and path):
         return None
-    table = spark.read.parquet(dataset.sft_dataset_path)
-    if dataset.split_column not in table.columns:
-        return table
-    return table.where(F.col(dataset.split_column) == dataset.sft_train_split)
+    if dataset.format == "arrow_shards":
+        with_splits = arrow_shards.has_splits(path)
+    else:
+        with_splits = dataset.split_column in spark.read.parquet(path).columns
+    return _load(spark, dataset, path, dataset.sft_train_split if with_splits else None)
 
 
 def write_splits(df: DataFrame, path: str, split_column: str = "split") -> None:

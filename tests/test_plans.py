@@ -85,6 +85,23 @@ def test_summary_reads_the_sample_ids_on_their_own(spark, sf_dir, plan):
     assert "ReadSchema: struct<sample_id:bigint>" in text
 
 
+def test_advantage_holds_no_group_in_one_task(spark, sf_dir, plan):
+    from rewardloom.operators.advantage import group_advantage
+
+    scores = score(written_rollouts(spark, sf_dir), ["soft_format"], keep=["sample_id"], **rewards.COLUMNS)
+    text = plan(group_advantage(materialize(scores, "scores"), reward="soft_format"))
+    assert "partial_avg" in text and not re.search("Window|collect_list", text)
+
+
+def test_report_aggregates_before_it_unpivots(spark, sf_dir, plan):
+    from rewardloom.operators.advantage import reward_report
+
+    names = ["soft_format", "multistep_format"]
+    scores = score(written_rollouts(spark, sf_dir), names, keep=[], **rewards.COLUMNS)
+    text = plan(reward_report(scores, names))
+    assert text.index("Generate inline") < text.index("HashAggregate") and text.count("Exchange") == 1
+
+
 def test_filters_are_pushed_down(spark, sf_dir, plan):
     from rewardloom.operators.prepare import keep_filled
 

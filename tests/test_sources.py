@@ -96,6 +96,13 @@ def test_arrow_shards(spark, tmp_path):
     assert [r["question"] for r in test.collect()] == ["z"]
     whole = spark.read.format("arrow_shards").load(str(tmp_path / "test"))
     assert whole.count() == 1
+    dataset = DatasetOptions(path=str(tmp_path), format="arrow_shards", sft_column="question", sft_dataset_path=str(tmp_path))
+    assert [t.count() for t in load_splits(spark, dataset)] == [4, 1]
+    assert load_sft_table(spark, dataset).count() == 4
+    flat = DatasetOptions(format="arrow_shards", sft_column="question", sft_dataset_path=str(tmp_path / "test"))
+    assert [r["row_id"] for r in load_sft_table(spark, flat).collect()] == [0]
+    with pytest.raises(ValueError, match="unknown dataset format"):
+        load_splits(spark, DatasetOptions(path=str(tmp_path), format="csv"))
     with pytest.raises(Exception, match="no split"):
         spark.read.format("arrow_shards").option("split", "dev").load(str(tmp_path)).count()
     with pytest.raises(Exception, match="is a split missing"):
