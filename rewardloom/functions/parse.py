@@ -50,7 +50,7 @@ def lettered_answer(text: Column) -> Column:
 def strict_confidence(text: Column) -> Column:
     """Confidence in 0..1 from one to three digits up to 100, else NULL."""
     raw = first_tagged(text, "confidence")
-    percent = F.when(raw.rlike("^[0-9]{1,3}$"), raw.cast("int"))
+    percent = F.when(raw.rlike("^[0-9]{1,3}$"), raw.try_cast("int"))
     return F.when(percent <= 100, percent.cast("double") / 100.0)
 
 

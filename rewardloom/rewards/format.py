@@ -235,7 +235,7 @@ def two_stage_format(min_think_lengths: list[int] | None = None) -> Reward:
 
     def value(r, found):
         percent = F.when(
-            found["confidence"].rlike("^[0-9]{1,3}$"), found["confidence"].cast("int")
+            found["confidence"].rlike("^[0-9]{1,3}$"), found["confidence"].try_cast("int")
         )
         fits = (
             (found["think1"] >= first)
