@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of the ten operators.
-MODULES = ["quality"]
+MODULES = ["quality", "secrets", "decontaminate", "bpe", "jaccard"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
