@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of the ten operators.
-MODULES = ["quality", "secrets", "decontaminate", "bpe", "jaccard"]
+MODULES = ["quality", "secrets", "decontaminate", "bpe", "jaccard", "sharding", "urls", "backoff", "toxicity", "editing"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
