@@ -106,8 +106,51 @@ def quote(literal: str) -> str:
     return re.escape(literal)
 
 
+def _float_text(number: Column) -> Column:
+    """A double as Python writes it: exponents only below 1e-4 and from 1e16 on."""
+    text = number.cast("string")
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    # Spark writes d.ddd and E, the exponent, below 1e-3 and from 1e7 on.
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), "^-", "")
+    exponent = F.substring_index(text, "E", -1).try_cast("int")
+    digits = F.replace(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("."), F.lit(""))
+    fraction = F.substr(digits, F.lit(2))
+    zeros = F.repeat(F.lit("0"), exponent + 1 - F.length(digits))
+    large = F.when(F.length(digits) <= exponent + 1, F.concat(digits, zeros, F.lit(".0"))).otherwise(
+        F.concat(F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2))
+    )
+    written = F.concat(
+        F.substr(digits, F.lit(1), F.lit(1)),
+        F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""),
+        F.when(exponent < 0, "e-").otherwise("e+"),
+        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+    )
+    # Two digits at least; lpad would cut a third.
+    written = F.when(F.abs(exponent) < 100, written).otherwise(
+        F.concat(F.regexp_replace(written, r"e([+-])\d+$", "e$1"), F.abs(exponent).cast("string"))
+    )
+    shifted = (
+        F.when(exponent == -4, F.concat(F.lit("0.000"), digits))
+        .when((exponent > 0) & (exponent < 16), large)
+        .otherwise(written)
+    )
+    return (
+        F.when(F.isnan(number), "nan")
+        .when(F.abs(number) == float("inf"), F.concat(sign, F.lit("inf")))
+        .when(F.contains(text, F.lit("E")), F.concat(sign, shifted))
+        .otherwise(text)
+    )
+
+
 def as_text(column: Column, data_type: T.DataType) -> Column:
-    """A value as it reads inside a formatted Python string (NULL is ``None``)."""
+    """A value as it reads inside a formatted Python string (NULL is ``None``).
+
+    ``ValueError`` for arrays, maps and structs.
+    """
+    if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
+        raise ValueError(f"a column of type {data_type.simpleString()} can't be part of a text")
+    if isinstance(data_type, T.FractionalType) and not isinstance(data_type, T.DecimalType):
+        return F.coalesce(_float_text(column.cast("double")), F.lit("None"))
     if isinstance(data_type, T.BooleanType):
         text = F.when(column, "True").otherwise("False")
         return F.when(column.isNull(), "None").otherwise(text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rewardloom.scratch import materialize
+
 
 def group_advantage(
     rewards: DataFrame,
@@ -16,7 +18,8 @@ def group_advantage(
 
     The difference to the group's mean over its (sample) standard deviation plus
     ``epsilon``; 0 in a group of one. Group statistics are pre-aggregated before
-    the shuffle and joined back, so that no task has to hold a group.
+    the shuffle, written (one row per group) and joined back: no task has to hold
+    a group, and a join with a written table is split where a group is large.
 
     The rewards are read twice: write them first (or pass a written table)
     unless computing them is cheap.
@@ -24,6 +27,7 @@ def group_advantage(
     statistics = rewards.groupBy(group).agg(
         F.avg(reward).alias("_mean"), F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias("_sd")
     )
+    statistics = materialize(statistics, "statistics")
     advantage = (F.col(reward) - F.col("_mean")) / (F.col("_sd") + epsilon)
     return (
         rewards.join(statistics, group).withColumn("advantage", advantage).drop("_mean", "_sd")

@@ -6,9 +6,11 @@ of a topic are numbered instead, every test row draws the numbers it wants, and
 only those rows are joined. Work is proportional to the rows read plus the
 examples returned, whatever the topics' sizes.
 
-A topic may hold a large share of either table, so no step gathers a topic in
-one task: training rows are numbered in groups, test rows meet their topic's
-size in slices, and a training row wanted by very many test rows is copied.
+Rows are numbered and drawn by topic and id alone; the examples' text is joined
+to the pairs at the end, once. A topic may hold a large share of either table, so
+no step gathers a topic in one task: training rows are numbered in groups whose
+number grows with the topic, and joins with a topic or a wanted row are split
+where one is large.
 """
 
 from __future__ import annotations
@@ -20,49 +22,39 @@ from rewardloom.operators.prepare import require_columns, require_topic
 from rewardloom.operators.prompts import example_line, few_shot_prompt, last_content
 from rewardloom.operators.sampling import seeded_key
 from rewardloom.options import MAX_CONTEXT_EXAMPLES
+from rewardloom.scratch import materialize
 
-# Training rows of a topic are numbered in 16**3 groups.
-GROUP_DIGITS = 3
+# Training rows numbered by one task, and positions drawn by one.
+ROWS_PER_GROUP = 100_000
+DRAWS_PER_TASK = 100_000
 
-# Test rows of a topic are looked at in this many slices.
-SLICES = 64
 
-# How many test rows share one copy of a training row.
-WANTED_PER_COPY = 10_000
-
-
-def topic_sizes(train: DataFrame, test: DataFrame, topic: str, cap: int) -> DataFrame:
-    """Per topic of the training table: its size, and copies to make of its rows."""
+def topic_sizes(train: DataFrame, test: DataFrame, topic: str) -> DataFrame:
+    """Per topic of both tables: its training rows, its groups and its test rows; written, as several jobs read it."""
     sizes = train.groupBy(topic).agg(F.count(F.lit(1)).alias("topic_size"))
     tests = test.groupBy(topic).agg(F.count(F.lit(1)).alias("tests"))
-    # Draws fall evenly on the rows of a topic.
-    wanted = F.col("tests") * F.least(F.lit(cap), F.col("topic_size")) / F.col("topic_size")
-    copies = F.greatest(F.lit(1), F.ceil(wanted / WANTED_PER_COPY))
-    return sizes.join(tests, topic).select(topic, "topic_size", copies.alias("copies"))
+    groups = F.ceil(F.col("topic_size") / ROWS_PER_GROUP).cast("long")
+    return materialize(sizes.join(tests, topic).withColumn("groups", groups), "topics")
 
 
 def number_within_topic(
-    train: DataFrame,
-    topic: str,
-    id_column: str,
-    sizes: DataFrame,
-    carry: dict[str, Column] | None = None,
+    train: DataFrame, topic: str, id_column: str, sizes: DataFrame
 ) -> DataFrame:
     """Number the rows of each topic from 0, in an order fixed by their ids.
 
     The rows of a topic are spread over groups by a digest of their id, numbered
     within the group, and shifted by the size of the groups before it. Returns
-    topic, id, ``position``, the columns of ``sizes`` and those to carry.
+    topic, id and ``position``.
     """
-    carry = carry or {}
-    added = [name for name in sizes.columns if name != topic]
     digest = F.md5(F.col(id_column).cast("string"))
-    rows = train.where(F.col(topic).isNotNull()).select(
-        topic,
-        id_column,
-        digest.alias("digest"),
-        F.substring(digest, 1, GROUP_DIGITS).alias("grp"),
-        *[column.alias(name) for name, column in carry.items()],
+    # Groups are ranges of the digest: its first 32 bits scaled to the number of groups.
+    first = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    group = F.shiftright(first * F.col("groups"), 32)
+    rows = (
+        train.where(F.col(topic).isNotNull())
+        .select(topic, id_column)
+        .join(sizes.select(topic, "groups"), topic)
+        .select(topic, id_column, digest.alias("digest"), group.alias("grp"))
     )
     before = Window.partitionBy(topic).orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     groups = (
@@ -70,15 +62,12 @@ def number_within_topic(
         .count()
         .withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
         .drop("count")
-        .join(sizes, topic)
     )
     in_group = Window.partitionBy(topic, "grp").orderBy("digest", id_column)
     return (
         rows.withColumn("nth", F.row_number().over(in_group) - 1)
         .join(groups, [topic, "grp"])
-        .select(
-            topic, id_column, (F.col("start") + F.col("nth")).alias("position"), *added, *carry
-        )
+        .select(topic, id_column, (F.col("start") + F.col("nth")).alias("position"))
     )
 
 
@@ -123,36 +112,33 @@ def sample_examples(
     blank when the whole topic is used, so that it stays in order, and
     pseudo-random when it is sampled.
     """
-    train = train.where(F.col(topic).isNotNull())
+    known = train.where(F.col(topic).isNotNull())
     test = test.select(F.col(id_column).alias("test_id"), require_topic(F.col(topic)).alias(topic))
-    sizes = topic_sizes(train, test, topic, cap)
-
-    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
-    numbered = number_within_topic(train, topic, id_column, sizes, carry).withColumn("copy", copy)
-    # Drawing takes far longer than the narrow rows it works on suggest; a fixed
-    # number of partitions keeps them from being coalesced by their size.
-    tasks = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a_slice = F.pmod(F.xxhash64("test_id"), F.lit(SLICES)).cast("int")
-    slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
+    sizes = topic_sizes(known, test, topic)
+    numbered = number_within_topic(known, topic, id_column, sizes)
+
+    # Drawing takes far longer than the narrow rows it works on suggest, so the
+    # number of tasks follows the number of draws rather than of bytes.
+    draws = sizes.agg(F.sum(F.col("tests") * F.least(F.col("topic_size"), F.lit(cap)))).first()[0]
+    tasks = max(1, -(-(draws or 0) // DRAWS_PER_TASK))
+    positions = draw_positions(F.col("topic_size"), cap, seed, F.col("test_id"))
     wanted = (
-        test.withColumn("slice", a_slice)
-        .join(sizes.withColumn("slice", slices), [topic, "slice"])
+        test.join(sizes.select(topic, "topic_size"), topic)
         .repartition(tasks, "test_id")
-        .select(
-            topic,
-            "test_id",
-            F.pmod(F.xxhash64("test_id"), F.col("copies")).alias("copy"),
-            F.explode(draw_positions(F.col("topic_size"), cap, seed, F.col("test_id"))).alias(
-                "position"
-            ),
-        )
+        .select(topic, "topic_size", "test_id", F.explode(positions).alias("position"))
     )
     place = F.when(
         F.col("topic_size") > cap, seeded_key(seed, F.col("test_id"), F.col(id_column))
     ).otherwise("")
-    return wanted.join(numbered, [topic, "position", "copy"]).select(
-        "test_id", F.col(id_column).alias("train_id"), place.alias("place"), *(carry or {})
+    pairs = wanted.join(numbered, [topic, "position"]).select(
+        "test_id", F.col(id_column).alias("train_id"), place.alias("place")
+    )
+    if not carry:
+        return pairs
+    carried = train.select(
+        F.col(id_column).alias("train_id"), *[column.alias(name) for name, column in carry.items()]
     )
+    return pairs.join(carried, "train_id").select("test_id", "train_id", "place", *carry)
 
 
 def few_shot_prompts(

@@ -19,7 +19,22 @@ def require_topic(topic: Column) -> Column:
     return F.coalesce(F.nullif(topic, F.lit("")), F.raise_error(message).cast("string"))
 
 
-def keep_first(df: DataFrame, column: str, id_column: str = "row_id") -> DataFrame:
+def without_topic(df: DataFrame, topic: str = "topic") -> DataFrame:
+    """The rows that ``require_topic`` would fail on, to be put aside."""
+    return df.where(F.coalesce(F.col(topic), F.lit("")) == "")
+
+
+def counted(df: DataFrame, kept: Column, observation: Observation | None) -> DataFrame:
+    """``df`` with the rows before and after a filter counted while it is read."""
+    if observation is None:
+        return df
+    after = F.count_if(kept).alias("rows_after")
+    return df.observe(observation, F.count(F.lit(1)).alias("rows_before"), after)
+
+
+def keep_first(
+    df: DataFrame, column: str, id_column: str = "row_id", observation: Observation | None = None
+) -> DataFrame:
     """One row per value of ``column``: the one with the lowest id.
 
     NULL is one value. Without the column the table is returned as it is.
@@ -28,20 +43,22 @@ def keep_first(df: DataFrame, column: str, id_column: str = "row_id") -> DataFra
     sends at most one row per value and a value that fills a third of the table
     costs no more than any other. Sorting is led by an 8-byte hash; the long
     value itself is compared only where hashes meet, which keeps the result
-    exact.
+    exact. An ``observation`` counts the rows before and after; it ends the limit's
+    work before the shuffle, so ask for it only where the counts are needed.
     """
     if column not in df.columns:
-        return df
+        return counted(df, F.lit(True), observation)
     same_value = Window.partitionBy(F.xxhash64(column), F.col(column)).orderBy(id_column)
     rank = "_rank_in_duplicates"
-    return df.withColumn(rank, F.row_number().over(same_value)).where(F.col(rank) == 1).drop(rank)
+    ranked = df.withColumn(rank, F.row_number().over(same_value))
+    return counted(ranked, F.col(rank) == 1, observation).where(F.col(rank) == 1).drop(rank)
 
 
 def filled(*columns: str) -> Column:
-    """True where every column holds text: neither NULL nor empty."""
+    """True where every column holds a value: neither NULL nor an empty text."""
     condition = F.lit(True)
     for column in columns:
-        condition = condition & F.col(column).isNotNull() & (F.col(column) != "")
+        condition = condition & F.col(column).isNotNull() & (F.col(column).cast("string") != "")
     return condition
 
 
@@ -54,7 +71,4 @@ def keep_filled(
     ``rows_after``) are collected while the table is used, without a job of
     their own.
     """
-    if observation is not None:
-        kept = F.count_if(filled(*columns)).alias("rows_after")
-        df = df.observe(observation, F.count(F.lit(1)).alias("rows_before"), kept)
-    return df.where(filled(*columns))
+    return counted(df, filled(*columns), observation).where(filled(*columns))

@@ -18,7 +18,7 @@ class ChatTemplate:
     """How a conversation is written out as one text.
 
     ``start``, then for each message ``before`` role ``between`` content
-    ``after``.
+    ``after``. A NULL role or content is written ``None``: no message is lost.
     """
 
     start: str = ""
@@ -30,7 +30,11 @@ class ChatTemplate:
         written = F.transform(
             messages,
             lambda m: F.concat(
-                F.lit(self.before), m["role"], F.lit(self.between), m["content"], F.lit(self.after)
+                F.lit(self.before),
+                F.coalesce(m["role"], F.lit("None")),
+                F.lit(self.between),
+                F.coalesce(m["content"], F.lit("None")),
+                F.lit(self.after),
             ),
         )
         return F.concat(F.lit(self.start), F.array_join(written, ""))

@@ -19,8 +19,12 @@ def expand_repeats(samples: DataFrame, num_repeats: int = NUM_REPEATS) -> DataFr
 def attach_ground_truth(
     rollouts: DataFrame, samples: DataFrame, columns: list[str], key: str = "sample_id"
 ) -> DataFrame:
-    """Add sample columns, such as the true answer, to each sample's rollouts."""
-    return rollouts.join(samples.select(key, *columns), key)
+    """Add sample columns, such as the true answer, to each sample's rollouts.
+
+    Rollouts whose sample is missing stay, with NULL; the evaluation counts a
+    missing true answer as an error.
+    """
+    return rollouts.join(samples.select(key, *columns), key, "left")
 
 
 def attach_model_outputs(

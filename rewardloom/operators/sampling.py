@@ -56,19 +56,12 @@ def exact_fraction(
         if wanted == row["count"]:
             # The whole group belongs to the sample.
             return df.where(F.substring(key, 1, len(prefix)) <= prefix)
-        if row["count"] <= 16**DIGITS:
-            break
 
+    # The digest is used up: rows with this very key are told apart by id.
     last = (
-        keys.where(F.startswith("key", F.lit(prefix)))
-        .orderBy("key", "id")
-        .limit(wanted)
-        .agg(F.max(F.struct("key", "id")).alias("last"))
-        .first()["last"]
-    )
-    return df.where(
-        (key < last["key"]) | ((key == last["key"]) & (F.col(id_column) <= F.lit(last["id"])))
+        keys.where(F.col("key") == prefix).select("id").orderBy("id").limit(wanted).agg(F.max("id").alias("id")).first()["id"]
     )
+    return df.where((key < prefix) | ((key == prefix) & (F.col(id_column) <= F.lit(last))))
 
 
 def in_sample_order(df: DataFrame, seed: int, id_column: str = "row_id") -> DataFrame:

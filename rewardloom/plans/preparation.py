@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from rewardloom.operators.prepare import keep_first
 from rewardloom.operators.prompts import add_prompts
@@ -13,18 +13,23 @@ from rewardloom.sources.splits import load_splits
 
 
 def prepare(
-    train: DataFrame, test: DataFrame, options: Options, dedup: bool = True
+    train: DataFrame,
+    test: DataFrame,
+    options: Options,
+    dedup: bool = True,
+    observation: Observation | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Prompts of both splits.
 
     In this order: duplicate questions are dropped from both splits, a fraction
     of the training split is sampled, prompts are added. The sample counts rows
     first, so the deduplicated table is written in between; otherwise each
-    count would deduplicate again.
+    count would deduplicate again. An ``observation`` counts the training rows
+    before and after deduplication.
     """
     dataset = options.dataset
     if dedup:
-        train = keep_first(train, dataset.dedup_column, dataset.id_column)
+        train = keep_first(train, dataset.dedup_column, dataset.id_column, observation)
         test = keep_first(test, dataset.dedup_column, dataset.id_column)
     if dataset.subset_fraction is not None:
         if dedup:

@@ -21,6 +21,8 @@ def score_rollouts(
     **columns: str,
 ) -> DataFrame:
     """Keys, one column per reward and ``reward_total``, for a checked reward list."""
+    if not specs:
+        raise ValueError("no reward functions are configured")
     check_formats(specs)
     scores = score(rollouts, specs, keep=KEYS if keep is None else keep, **columns)
     return scores.withColumn("reward_total", total_reward(reward_columns(specs), weights))

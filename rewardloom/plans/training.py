@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from rewardloom.operators.few_shot import few_shot_prompts
 from rewardloom.operators.prepare import keep_filled, require_columns
@@ -23,6 +23,7 @@ def sft_table(
     template: ChatTemplate,
     separate: DataFrame | None = None,
     keep: list[str] | None = None,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Training texts of the rows that have a training column.
 
@@ -34,17 +35,23 @@ def sft_table(
     if separate is not None:
         return training_texts(separate, dataset, template, keep)
     require_columns(train, [dataset.sft_column], "supervised training")
-    return training_texts(keep_filled(train, dataset.sft_column), dataset, template, keep)
+    usable = keep_filled(train, dataset.sft_column, observation=observation)
+    return training_texts(usable, dataset, template, keep)
 
 
-def dpo_table(train: DataFrame, options: Options, keep: list[str] | None = None) -> DataFrame:
+def dpo_table(
+    train: DataFrame,
+    options: Options,
+    keep: list[str] | None = None,
+    observation: Observation | None = None,
+) -> DataFrame:
     """Preference pairs of the rows that have both comments."""
     dataset = options.dataset
     if not dataset.sft_column:
         raise ValueError("preference training needs sft_column to be configured")
     needed = [dataset.sft_column, dataset.dpo_comment_column]
     require_columns(train, needed, "preference training")
-    return preference_pairs(keep_filled(train, *needed), dataset, keep)
+    return preference_pairs(keep_filled(train, *needed, observation=observation), dataset, keep)
 
 
 def few_shot_table(train: DataFrame, test: DataFrame, options: Options) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rewardloom.functions.language import detect_language
+from rewardloom.functions.language import FUNCTION_WORDS, detect_language
 from rewardloom.functions.text import contains_any
 from rewardloom.rewards.base import Reward, register
 
@@ -61,8 +61,10 @@ def language(language: str, detected_column: str | None = None) -> Reward:
     """1.0 when the response is in the wanted language.
 
     Reads a detector's result from ``detected_column`` when one is given, else
-    decides by function words.
+    decides by function words; a language without such words is then an error.
     """
+    if not detected_column and language not in FUNCTION_WORDS:
+        raise ValueError(f"no function words for {language!r}, only for {', '.join(FUNCTION_WORDS)}; pass detected_column")
 
     def detected(r):
         return F.col(detected_column) if detected_column else detect_language(r.completion)

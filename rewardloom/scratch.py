@@ -7,32 +7,27 @@ planner true sizes to decide on broadcasts.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
-# Stand-ins for an unset folder, by application.
-_LOCAL_FOLDERS: dict[str, str] = {}
+# The folder used where the session names none.
+_WHERE_UNSET: list[str] = []
+
+
+def use_where_unset(folder: str) -> None:
+    """Name the folder for sessions without the setting, as tests and benches do."""
+    _WHERE_UNSET[:] = [folder]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    In local mode, where one machine is the whole cluster, an unset folder is
-    replaced by a new temporary one. On a cluster it must be set.
-    """
-    folder = spark.conf.get(SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    """The folder named by ``spark.checkpoint.dir``, else by ``use_where_unset``."""
+    folder = spark.conf.get(SETTING, None) or next(iter(_WHERE_UNSET), None)
+    if not folder:
         raise RuntimeError(f"set {SETTING} to a folder that all executors can reach")
-    if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="rewardloom-")
-    return _LOCAL_FOLDERS[context.applicationId]
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

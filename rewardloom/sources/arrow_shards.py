@@ -9,6 +9,13 @@ partition and is streamed batch by batch.
 
 The folder must be reachable from all executors. Option ``row_id`` names a
 column to add that numbers the rows in dataset order, unique but with gaps.
+Option ``columns`` (comma-separated) reads only the named columns of the stream.
+Columns are matched by name, so shards may order them differently; a shard that
+lacks one is an error. A dataset without shards has no schema to read: pass one to
+get an empty table.
+
+Filters are not pushed into the reader: Spark 4.1 keeps those of one query for the
+next one on the same DataFrame, if that has none to push, and so loses its rows.
 """
 
 from __future__ import annotations
@@ -81,26 +88,37 @@ class ArrowShards(DataSource):
         import pyarrow as pa
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        with _open(self.shards()[0].path) as file, pa.ipc.open_stream(file) as stream:
+        shards = self.shards()
+        if not shards:
+            raise ValueError(f"{self._folder()} has no shards; pass a schema to read it as an empty table")
+        with _open(shards[0].path) as file, pa.ipc.open_stream(file) as stream:
             schema = from_arrow_schema(stream.schema)
+        if "columns" in self.options:
+            wanted = [name.strip() for name in self.options["columns"].split(",")]
+            if missing := [name for name in wanted if name not in schema.names]:
+                raise ValueError(f"{self._folder()} has no column {', '.join(missing)}")
+            schema = StructType([schema[name] for name in wanted])
         if "row_id" in self.options:
             schema = StructType([StructField(self.options["row_id"], LongType()), *schema.fields])
         return schema
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ShardReader(self.shards(), "row_id" in self.options, schema)
+        return ShardReader(self.shards(), self.options.get("row_id"), schema)
 
 
 class ShardReader(DataSourceReader):
-    def __init__(self, shards: list[Shard], numbered: bool, schema: StructType):
+    def __init__(self, shards: list[Shard], row_id: str | None, schema: StructType):
         self._shards = shards
-        self._numbered = numbered
+        self._row_id = row_id
         self._schema = schema
 
     def partitions(self) -> list[Shard]:
         return self._shards
 
-    def read(self, partition: Shard) -> Iterator:
+    def read(self, partition: Shard | None) -> Iterator:
+        # Spark reads a list of no partitions as one that is None.
+        if partition is None:
+            return
         import numpy as np
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -109,12 +127,16 @@ class ShardReader(DataSourceReader):
         row = partition.number * ROWS_PER_SHARD
         with _open(partition.path) as file, pa.ipc.open_stream(file) as stream:
             for batch in stream:
-                arrays = list(batch.columns)
-                if self._numbered:
-                    arrays.insert(0, pa.array(np.arange(row, row + batch.num_rows)))
-                    row += batch.num_rows
-                cast = [array.cast(field.type) for array, field in zip(arrays, target)]
-                yield pa.RecordBatch.from_arrays(cast, schema=target)
+                arrays = []
+                for field in target:
+                    if field.name == self._row_id:
+                        arrays.append(pa.array(np.arange(row, row + batch.num_rows)))
+                    elif field.name in batch.schema.names:
+                        arrays.append(batch.column(field.name).cast(field.type))
+                    else:
+                        raise ValueError(f"{partition.path} has no column {field.name!r}")
+                row += batch.num_rows
+                yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
 
 def register(spark: SparkSession) -> None:

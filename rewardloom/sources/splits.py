@@ -9,29 +9,23 @@ from rewardloom.options import DatasetOptions
 from rewardloom.sources import arrow_shards
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core something to do when the scan has too few splits.
-
-    A file of one row group is read by one task, and all row-wise work above the
-    scan would stay there. Large tables have many splits and are left as they
-    are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(2 * cores, key)
-
-
 def load_split(
     spark: SparkSession, path: str, split: str | None = None, split_column: str = "split"
 ) -> DataFrame:
     """One split of a Parquet table, or the whole table.
 
     With the table partitioned by ``split_column`` only that split's files are
-    read. ``split=None`` is for tables without splits.
+    read. ``split=None`` is for tables without splits. A split without rows is an
+    error: its name is probably misspelt.
     """
     table = spark.read.parquet(path)
-    return table if split is None else table.where(F.col(split_column) == split)
+    if split is None:
+        return table
+    rows = table.where(F.col(split_column) == split)
+    # Looks for one row, in that split's files.
+    if rows.select(split_column).isEmpty():
+        raise ValueError(f"no split {split!r} in {path}")
+    return rows
 
 
 def load_shards(

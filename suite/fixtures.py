@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from rewardloom.operators.prompts import add_prompts
 from rewardloom.operators.rollouts import expand_repeats
 from rewardloom.options import DatasetOptions
-from rewardloom.sources.splits import spread
+
+# Partitions to deal documents into, where the caller wants more tasks than the scan has splits (as bench.py does).
+PARTITIONS: int | None = None
 
 SYSTEM_PROMPT = "Answer as the voter would."
 REPEATS = 8
@@ -119,17 +121,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    return rows.repartition(PARTITIONS, "doc_id") if PARTITIONS else rows
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         QUESTIONS,
-        documents=spread(table(spark, sf_dir, "documents"), "doc_id"),
+        documents=documents(spark, sf_dir),
         labels=table(spark, sf_dir, "labels"),
     )
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
-    repeated = expand_repeats(documents, REPEATS)
+    repeated = expand_repeats(documents(spark, sf_dir), REPEATS)
     columns = [F.expr(sql).alias(name) for name, sql in ROLLOUT_COLUMNS.items()]
     dataset = DatasetOptions(system_prompt=SYSTEM_PROMPT, answer_column="ground_truth")
     prompted = add_prompts(repeated.select(*columns).withColumn("flag", F.col("answer_only")), dataset)

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rewardloom.functions import parse
+from rewardloom.functions.language import detect_language
 from rewardloom.functions.text import after_last, before_first, first_word, has_pair, occurrences
 from rewardloom.operators.evaluate import (
     evaluate_few_shot,
@@ -23,7 +24,7 @@ from rewardloom.operators.evaluate import (
 )
 from rewardloom.operators.few_shot import few_shot_prompts, sample_examples
 from rewardloom.operators.hooks import score_texts
-from rewardloom.operators.prepare import keep_filled, keep_first
+from rewardloom.operators.prepare import keep_filled, keep_first, without_topic
 from rewardloom.operators.prompts import add_prompts, example_line, few_shot_prompt, last_content
 from rewardloom.operators.responses import ChatTemplate, equal_pairs, preference_pairs, tagged_response
 from rewardloom.operators.rollouts import (
@@ -34,15 +35,16 @@ from rewardloom.operators.rollouts import (
 )
 from rewardloom.operators.sampling import exact_fraction
 from rewardloom.operators.scoring import score
-from rewardloom.operators.advantage import reward_report
-from rewardloom.options import DatasetOptions, Options, TwoStageColumns
+from rewardloom.operators.advantage import group_advantage, reward_report
+from rewardloom.options import DatasetOptions, Options, TwoStageColumns, merge
 from rewardloom.plans.evaluation import evaluate_and_store
-from rewardloom.plans.preparation import prepare
+from rewardloom.plans.preparation import prepare, prepare_from
 from rewardloom.plans.scoring import advantages, score_rollouts
-from rewardloom.plans.training import build_training_tables
+from rewardloom.plans.training import build_training_tables, dpo_table, sft_table
 from rewardloom.scratch import materialize, scratch_path
+from rewardloom.schemas import FEW_SHOT_SCHEMA
 from rewardloom.sources import arrow_shards
-from rewardloom.sources.results import read_csv, read_json, write_csv, write_json
+from rewardloom.sources.results import read_csv, read_json, write_csv, write_json, write_metrics
 from rewardloom.sources.splits import load_sft_table, load_split, load_splits, write_splits
 from rewardloom.streaming.online import write_scores
 from suite import fixtures, rewards, sql
@@ -195,6 +197,40 @@ def scan_arrow_shards(spark, sf_dir):
     return table.select("doc_id", "lang", "source", "n_chars", *digest(F.col("text"), "text"))
 
 
+@check(
+    "scan_arrow_shards_mixed",
+    "SELECT doc_id, n_chars, md5(text) AS text_md5, true AS is_numbered FROM documents WHERE lang = 'en'",
+)
+def scan_arrow_shards_mixed(spark, sf_dir):
+    """Named columns of shards that order theirs differently, with a filter and row numbers."""
+    import json
+
+    path = scratch_path(spark, "arrow")
+    documents = fixtures.table(spark, sf_dir, "documents")
+    halves = [documents.where("doc_id % 2 = 0"), documents.where("doc_id % 2 = 1").select("lang", "text", "n_chars", "doc_id")]
+    for i, half in enumerate(halves):
+        write_arrow_shards(half, f"{path}/train/{i}")
+    from pyarrow import fs
+
+    filesystem, folder = fs.FileSystem.from_uri(path)
+
+    def read(name):
+        with filesystem.open_input_file(f"{folder}/{name}") as file:
+            return json.loads(file.read())
+
+    def write(name, content):
+        with filesystem.open_output_stream(f"{folder}/{name}") as file:
+            file.write(json.dumps(content).encode())
+
+    files = [f"{i}/{f['filename']}" for i in (0, 1) for f in read(f"train/{i}/state.json")["_data_files"]]
+    write("train/state.json", {"_data_files": [{"filename": f} for f in files]})
+    write("dataset_dict.json", {"splits": ["train"]})
+    arrow_shards.register(spark)
+    reader = spark.read.format("arrow_shards").option("split", "train").option("row_id", "row_id")
+    rows = reader.option("columns", "doc_id, text, lang, n_chars").load(path).where("lang = 'en'")
+    return rows.select("doc_id", "n_chars", F.md5("text").alias("text_md5"), (F.col("row_id") >= 0).alias("is_numbered"))
+
+
 # ---------------------------------------------------------------- prompts
 
 
@@ -287,12 +323,16 @@ for _name, _dataset, _text in (
     )
 
 
-def _chat_sql(response: str) -> str:
+# What Python writes for a question that is missing on some rows.
+NULL_QUESTION = "CASE WHEN row_id % 4 <> 1 THEN question ELSE 'None' END"
+
+
+def _chat_sql(response: str, question: str = "question") -> str:
     def message(role, content):
         return f"'<|start|>{role}<|end|>' || chr(10) || chr(10) || {content} || '<|eot|>'"
 
     return "'<|begin|>' || " + " || ".join(
-        [message("system", SYSTEM_SQL), message("user", "question"), message("assistant", response)]
+        [message("system", SYSTEM_SQL), message("user", question), message("assistant", response)]
     )
 
 
@@ -338,6 +378,39 @@ def training_texts_of_separate_table(spark, sf_dir):
     return tables["texts"].select("row_id", *digest(F.col("text"), "text"))
 
 
+@check(
+    "training_texts_of_null_questions",
+    sql.questions(
+        f"SELECT row_id, {digest_sql(_chat_sql(_single('answer_comment'), question=NULL_QUESTION), 'text')} FROM q WHERE {FILLED}"
+    ),
+)
+def training_texts_of_null_questions(spark, sf_dir):
+    """A NULL question is written None; the user's message stays."""
+    train = fixtures.questions(spark, sf_dir).withColumn("question", F.expr("CASE WHEN row_id % 4 <> 1 THEN question END"))
+    texts = build_training_tables(train, train, Options(dataset=PLAIN), "sft", TEMPLATE, keep=["row_id"])["texts"]
+    return texts.select("row_id", *digest(F.col("text"), "text"))
+
+
+NUMBERS = "CASE row_id % 8 WHEN 0 THEN 0.0005 WHEN 1 THEN 12345678.9 WHEN 2 THEN 1e16 WHEN 3 THEN 0.00001 WHEN 4 THEN -2.5e-7 WHEN 5 THEN 57.0 WHEN 6 THEN 1e7 ELSE -123456789012.25 END"
+# The same numbers as Python writes them.
+WRITTEN = "CASE row_id % 8 WHEN 0 THEN '0.0005' WHEN 1 THEN '12345678.9' WHEN 2 THEN '1e+16' WHEN 3 THEN '1e-05' WHEN 4 THEN '-2.5e-07' WHEN 5 THEN '57.0' WHEN 6 THEN '10000000.0' ELSE '-123456789012.25' END"
+
+
+@check(
+    "response_number_text",
+    sql.questions(
+        f"SELECT row_id, '<think>' || row_id || '</think><confidence>' || {WRITTEN} || '</confidence><think>x</think><answer>' || answer || '</answer>' AS response FROM q"
+    ),
+)
+def response_number_text(spark, sf_dir):
+    """Doubles and a bigint training column in a two-stage response."""
+    table = fixtures.questions(spark, sf_dir).withColumns(
+        {"confidence": F.expr(f"CAST({NUMBERS} AS DOUBLE)"), "think1": F.col("row_id").cast("string"), "think2": F.lit("x"), "answer_comment": F.col("row_id")}
+    )
+    kept = keep_filled(table, "answer_comment")
+    return kept.select("row_id", tagged_response(kept, STAGED).alias("response"))
+
+
 @check(
     "preference_pairs",
     sql.questions(
@@ -594,14 +667,14 @@ def repeats(spark, sf_dir):
     "ground_truth_joined",
     sql.rollouts(
         f"SELECT sample_id, repeat_id, q.answer AS answers, {digest_sql('response', 'response')} "
-        "FROM r JOIN q ON q.row_id = r.sample_id",
+        "FROM r LEFT JOIN q ON q.row_id = r.sample_id AND q.row_id % 6 <> 2",
         f"q AS ({fixtures.QUESTIONS_SQL})",
     ),
 )
 def ground_truth_joined(spark, sf_dir):
     samples = fixtures.questions(spark, sf_dir).select(
         F.col("row_id").alias("sample_id"), F.col("answer").alias("answers")
-    )
+    ).where("sample_id % 6 <> 2")
     joined = attach_ground_truth(fixtures.rollouts(spark, sf_dir), samples, ["answers"])
     return joined.select("sample_id", "repeat_id", "answers", *digest(F.col("response"), "response"))
 
@@ -895,9 +968,15 @@ def result_metrics_by_topic(spark, sf_dir):
     return rounded(result_metrics(result_rows(evaluated), by=["topic"]))
 
 
+FEW_SHOT_PROMPT = "chr(10) || chr(10) || 'Question: ' || r.question"
+
+
 def _few_shot_evaluated(spark, sf_dir, carry=None):
     rollouts = fixtures.rollouts(spark, sf_dir).withColumns(
-        {"full_prompt": F.concat(F.lit("\n\nQuestion: "), "question"), "context_examples_count": F.lit(0)}
+        {
+            "full_prompt": F.concat(F.lit("\n\nQuestion: "), "question"),
+            "context_examples_count": (F.col("sample_id") % 80).cast("int"),
+        }
     )
     return evaluate_few_shot(rollouts, response="reply", carry=carry)
 
@@ -905,9 +984,12 @@ def _few_shot_evaluated(spark, sf_dir, carry=None):
 @check(
     "few_shot_results",
     sql.rollouts(
-        f"SELECT sample_id, repeat_id, {digest_sql('predicted_answer', 'predicted')}, ground_truth, "
-        f"{digest_sql('text', 'response')}, parsed_successfully, is_correct, "
-        "round(answer_prob_A, 6) AS answer_prob_A FROM f WHERE NOT is_error",
+        f"SELECT f.sample_id, f.repeat_id, {digest_sql('predicted_answer', 'predicted')}, f.ground_truth, "
+        f"{digest_sql('f.text', 'response')}, {digest_sql('r.question', 'question')}, "
+        f"{digest_sql(FEW_SHOT_PROMPT, 'full_prompt')}, CAST(f.sample_id % 80 AS INT) AS context_examples_count, "
+        "parsed_successfully, is_correct, round(answer_prob_A, 6) AS answer_prob_A, "
+        "round(answer_prob_B, 6) AS answer_prob_B, round(answer_prob_C, 6) AS answer_prob_C "
+        "FROM f JOIN r ON r.sample_id = f.sample_id AND r.repeat_id = f.repeat_id WHERE NOT is_error",
         sql.REPLIED,
     ),
 )
@@ -920,9 +1002,14 @@ def few_shot_results(spark, sf_dir):
             *digest(F.col("predicted_answer"), "predicted"),
             "ground_truth",
             *digest(F.col("full_response"), "response"),
+            *digest(F.col("question"), "question"),
+            *digest(F.col("full_prompt"), "full_prompt"),
+            "context_examples_count",
             "parsed_successfully",
             "is_correct",
             "answer_prob_A",
+            "answer_prob_B",
+            "answer_prob_C",
         )
     )
 
@@ -944,6 +1031,195 @@ def few_shot_metrics_by_topic(spark, sf_dir):
     return rounded(few_shot_metrics(evaluated, fixtures.REPEATS, by=["topic"]))
 
 
+# ------------------------------------------- in-context learning end to end
+
+
+def _reply_sql(question: str, number: str) -> str:
+    """A model's replies, made of the prompt's question and the ids."""
+    letter = f"substr('ABC', CAST(({number}) % 3 AS INT) + 1, 1)"
+    return (
+        f"CASE ({number}) % 5 WHEN 0 THEN {letter} WHEN 1 THEN {letter} || ' because ' || {question} "
+        f"WHEN 2 THEN ' ' || lower({letter}) || chr(10) WHEN 3 THEN '' ELSE NULL END"
+    )
+
+
+_ICL_NUMBER = "row_id * 8 + repeat_id"
+_ICL = (
+    *_few_shot_ctes("topic"),
+    _CONTEXT,
+    "a AS (SELECT q.row_id, q.question, q.answer, CAST(coalesce(k, 0) AS INT) AS k, "
+    f"{_FULL_PROMPT} AS full_prompt FROM q LEFT JOIN c ON c.test_id = q.row_id WHERE q.split = 'test')",
+    f"b AS (SELECT a.*, CAST(range AS INT) AS repeat_id, {_reply_sql('question', 'row_id * 8 + range')} AS reply FROM a, range(8))",
+    f"e AS (SELECT *, {sql.strip('reply')} AS text, regexp_extract({sql.strip('reply')}, '^([^{sql.S[1:-1]}]+)', 1) AS predicted FROM b)",
+)
+
+
+def _icl_prompts(spark, sf_dir):
+    options = Options.from_mapping(
+        {
+            "reasoning": {
+                "dataset": {"system_prompt": fixtures.SYSTEM_PROMPT},
+                "baseline": {"num_repeats": fixtures.REPEATS, "max_context_examples": CAP},
+                "random_seed": SEED,
+            }
+        }
+    )
+    train, test = _splits(spark, sf_dir)
+    train, test = prepare(train, test, options, dedup=False)
+    return build_training_tables(train, test, options, "in_context_learning")["prompts"]
+
+
+def _icl_evaluated(spark, sf_dir):
+    """Splits, few-shot prompts, repeats, replies, and their evaluation."""
+    prompts = _icl_prompts(spark, sf_dir)
+    replies = prompts.withColumns(
+        {"reply": F.expr(_reply_sql("question", _ICL_NUMBER)), "sample_id": F.col("row_id"), "logit_a": F.lit(None).cast("double"), "logit_b": F.lit(0.0), "logit_c": F.lit(0.0)}
+    )
+    return evaluate_few_shot(replies, response="reply", ground_truth="answers")
+
+
+@check(
+    "in_context_learning",
+    sql.questions(
+        f"SELECT row_id AS sample_id, repeat_id, {digest_sql('question', 'question')}, {digest_sql('predicted', 'predicted')}, "
+        f"answer AS ground_truth, {digest_sql('text', 'response')}, {digest_sql('full_prompt', 'full_prompt')}, "
+        "k AS context_examples_count, upper(predicted) IN ('A', 'B', 'C') AS parsed_successfully, "
+        "upper(predicted) = upper(answer) AS is_correct, 0.333::DOUBLE AS answer_prob_A, 0.333::DOUBLE AS answer_prob_B, "
+        "0.333::DOUBLE AS answer_prob_C FROM e WHERE text IS NOT NULL",
+        *_ICL,
+    ),
+)
+def in_context_learning(spark, sf_dir):
+    """The written few-shot results, read back by their own schema."""
+    path = scratch_path(spark, "few-shot-results")
+    write_json(result_rows(_icl_evaluated(spark, sf_dir)), path)
+    results = read_json(spark, path, FEW_SHOT_SCHEMA)
+    return rounded(
+        results.select(
+            "sample_id",
+            "repeat_id",
+            *digest(F.col("question"), "question"),
+            *digest(F.col("predicted_answer"), "predicted"),
+            "ground_truth",
+            *digest(F.col("full_response"), "response"),
+            *digest(F.col("full_prompt"), "full_prompt"),
+            "context_examples_count",
+            "parsed_successfully",
+            "is_correct",
+            *[f"answer_prob_{o}" for o in "ABC"],
+        )
+    )
+
+
+@check(
+    "in_context_learning_metrics",
+    sql.questions(
+        "SELECT round(count(*) FILTER (WHERE text IS NOT NULL AND upper(predicted) = upper(answer)) / count(*), 6) AS accuracy, "
+        "round(count(*) FILTER (WHERE text IS NOT NULL AND upper(predicted) IN ('A', 'B', 'C')) / count(*), 6) AS parsing_success_rate, "
+        "count(*) FILTER (WHERE text IS NOT NULL AND upper(predicted) = upper(answer)) AS correct_answers, count(*) AS total_answers, "
+        "count(*) FILTER (WHERE text IS NULL OR upper(predicted) NOT IN ('A', 'B', 'C')) AS unparseable_answers, 8 AS num_repeats FROM e",
+        *_ICL,
+    ),
+)
+def in_context_learning_metrics(spark, sf_dir):
+    """The written metrics record, read back."""
+    path = scratch_path(spark, "few-shot-metrics")
+    metrics = few_shot_metrics(_icl_evaluated(spark, sf_dir), fixtures.REPEATS)
+    write_metrics(metrics, path)
+    return rounded(spark.read.schema(metrics.schema).json(path))
+
+
+# ------------------------------------------------ checks, counts and options
+
+
+@check(
+    "rows_without_topic",
+    sql.questions("SELECT row_id, split FROM q WHERE row_id % 9 IN (0, 1)"),
+)
+def rows_without_topic(spark, sf_dir):
+    """Rows put aside because few-shot prompts need a topic; the others pass."""
+    topic = F.expr("CASE row_id % 9 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE topic END")
+    return without_topic(fixtures.questions(spark, sf_dir).withColumn("topic", topic)).select("row_id", "split")
+
+
+_COUNTS = "SELECT '{step}' AS step, count(*) AS rows_before, count(*) FILTER (WHERE {kept}) AS rows_after FROM {rows}"
+
+
+@check(
+    "rows_before_and_after",
+    sql.questions(
+        " UNION ALL ".join(
+            [
+                _COUNTS.format(step="dedup", kept="first", rows="(SELECT row_number() OVER (PARTITION BY question ORDER BY row_id) = 1 AS first FROM q WHERE split = 'train')"),
+                _COUNTS.format(step="texts", kept=FILLED, rows="q"),
+                _COUNTS.format(step="pairs", kept=BOTH_FILLED, rows="q"),
+            ]
+        )
+    ),
+)
+def rows_before_and_after(spark, sf_dir):
+    """What deduplication and the filters of both training tables drop."""
+    train = fixtures.questions(spark, sf_dir)
+    options = Options(dataset=PLAIN)
+    tables = {}
+    tables["dedup"] = lambda o: keep_first(train.where("split = 'train'"), "question", observation=o)
+    tables["texts"] = lambda o: sft_table(train, options, TEMPLATE, observation=o)
+    tables["pairs"] = lambda o: dpo_table(train, options, observation=o)
+    rows = []
+    for step, build in tables.items():
+        observation = Observation(step)
+        build(observation).write.format("noop").mode("overwrite").save()
+        rows.append((step, observation.get["rows_before"], observation.get["rows_after"]))
+    return spark.createDataFrame(rows, "step string, rows_before long, rows_after long")
+
+
+@check(
+    "prepared_from_configuration",
+    sql.questions(
+        f"SELECT split, row_id, answer AS answers, {digest_sql('question', 'question')} FROM "
+        "(SELECT * FROM s UNION ALL SELECT * FROM d WHERE split = 'test')",
+        _DEDUPED,
+        "t AS (SELECT * FROM d WHERE split = 'train')",
+        f"s AS ({_fraction_sql('t', FRACTION)})",
+    ),
+)
+def prepared_from_configuration(spark, sf_dir):
+    """Stored splits, with options from a configuration's mapping and an override."""
+    path = scratch_path(spark, "questions")
+    write_splits(fixtures.questions(spark, sf_dir), path)
+    config = {"reasoning": {"dataset": {"path": path, "system_prompt": "x", "subset_fraction": 0.9}, "random_seed": SEED}}
+    options = Options.from_mapping(merge(config, {"reasoning": {"dataset": {"subset_fraction": FRACTION}}}))
+    train, test = prepare_from(spark, options)
+    both = train.unionByName(test)
+    return both.select("split", "row_id", "answers", *digest(last_content(F.col("prompt")), "question"))
+
+
+# The lexicon of the check is written out on its own.
+_VOTES = {
+    "de": "auf das den der die ein eine ist mit nicht sich und von zu",
+    "en": "and are as by for in is it of that the this to with",
+    "es": "con del el en es las los para por que se un una y",
+    "fr": "avec dans des du est et la le les pour qui sur un une",
+}
+_VOTE_SQL = {
+    code: f"len(list_intersect(words, string_split('{words}', ' ')))" for code, words in _VOTES.items()
+}
+
+
+@check(
+    "language_agreement",
+    "WITH w AS (SELECT lang, list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS words FROM documents), "
+    f"v AS (SELECT lang, {', '.join(f'{x} AS {c}' for c, x in _VOTE_SQL.items())} FROM w), "
+    "g AS (SELECT lang, CASE WHEN greatest(de, en, es, fr) = 0 THEN 'en' WHEN de = greatest(de, en, es, fr) THEN 'de' "
+    "WHEN en = greatest(de, en, es, fr) THEN 'en' WHEN es = greatest(de, en, es, fr) THEN 'es' ELSE 'fr' END AS found FROM v) "
+    "SELECT lang, found, count(*) AS n FROM g GROUP BY ALL",
+)
+def language_agreement(spark, sf_dir):
+    """How often the vote of function words names the documents' language."""
+    documents = fixtures.table(spark, sf_dir, "documents")
+    return documents.groupBy("lang", detect_language(F.col("text")).alias("found")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------- rewards in training
 
 
@@ -1016,6 +1292,23 @@ def group_advantage_query(spark, sf_dir):
     )
 
 
+@check(
+    "group_advantage_hot_sample",
+    sql.rollouts(
+        "SELECT t.sample_id, t.repeat_id, round((reward_total - m) / (sd + 0.0001::DOUBLE), 4) + 0.0::DOUBLE AS advantage FROM "
+        "(SELECT t.*, lang FROM t JOIN r USING (sample_id, repeat_id)) t JOIN (SELECT lang, avg(reward_total) AS m, "
+        "coalesce(stddev_samp(reward_total), 0) AS sd FROM t JOIN r USING (sample_id, repeat_id) GROUP BY lang) g ON g.lang = t.lang",
+        *_SCORES,
+    ),
+)
+def group_advantage_hot_sample(spark, sf_dir):
+    """Advantage within few large groups, the largest with most of the rows."""
+    rollouts = fixtures.rollouts(spark, sf_dir)
+    scores = score_rollouts(rollouts, SHIPPED_SPECS, WEIGHTS, keep=["sample_id", "repeat_id", "lang"], **rewards.COLUMNS)
+    scored = group_advantage(materialize(scores, "scores"), group="lang")
+    return scored.select("sample_id", "repeat_id", F.round("advantage", 4).alias("advantage"))
+
+
 _TRAINING = _named(TRAINING_SPECS)
 
 

@@ -102,12 +102,41 @@ def _language(wanted: str) -> str:
 HARD = _blocks("reasoning", "answer")
 STEPS = _blocks("step1", "step2", "step3", "answer")
 STAGES = _blocks("think", "confidence", "think", "answer")
+# Fixed value: what the repeated-block format is.
 THOUGHTS = f"((<thought>(.*?)</thought>{S}*)+){S}*<answer>(.*?)</answer>"
 
+# The phrases that show the profile was used.
 PHRASES = [
-    f"{lead}user''s {noun}"
-    for lead in ("based on the ", "from the ", "using the ", "the ", "", "according to the ")
-    for noun in ("preferences", "past", "profile", "history", "data")
+    "based on the user''s preferences",
+    "based on the user''s past",
+    "based on the user''s profile",
+    "based on the user''s history",
+    "based on the user''s data",
+    "from the user''s preferences",
+    "from the user''s past",
+    "from the user''s profile",
+    "from the user''s history",
+    "from the user''s data",
+    "using the user''s preferences",
+    "using the user''s past",
+    "using the user''s profile",
+    "using the user''s history",
+    "using the user''s data",
+    "the user''s preferences",
+    "the user''s past",
+    "the user''s profile",
+    "the user''s history",
+    "the user''s data",
+    "user''s preferences",
+    "user''s past",
+    "user''s profile",
+    "user''s history",
+    "user''s data",
+    "according to the user''s preferences",
+    "according to the user''s past",
+    "according to the user''s profile",
+    "according to the user''s history",
+    "according to the user''s data",
 ]
 
 

@@ -94,5 +94,7 @@ REPLIED = f"""f0 AS (
   SELECT *, upper(predicted_answer) IN ('A', 'B', 'C') AS parsed_successfully,
          coalesce(upper(predicted_answer) = upper({strip('ground_truth')}), false) AS is_correct,
          CASE WHEN nologit THEN 0.333 ELSE wa / (wa + wb + wc) END AS answer_prob_A,
+         CASE WHEN nologit THEN 0.333 ELSE wb / (wa + wb + wc) END AS answer_prob_B,
+         CASE WHEN nologit THEN 0.333 ELSE wc / (wa + wb + wc) END AS answer_prob_C,
          reply IS NULL OR ground_truth IS NULL AS is_error
   FROM f1)"""

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from rewardloom.options import DatasetOptions
 from rewardloom.scratch import SETTING, materialize, shared_folder
 from rewardloom.sources import arrow_shards
 from rewardloom.sources.results import read_csv, read_json, write_csv, write_json, write_summary
-from rewardloom.sources.splits import load_sft_table, load_split, load_splits, spread, write_splits
+from rewardloom.sources.splits import load_sft_table, load_split, load_splits, write_splits
 
 AWKWARD = ["", None, 'a"b', "a\nb", "a\r\nb", " lead and trail ", "x,y", '\\"q\\', '"', "\r", "a\\", '""', " z",
            "#c", "\t", "'", "é😀", "null", "\\N", "<answer>\n\"A\", B</answer>\n"]
@@ -40,9 +41,12 @@ def test_csv_header_order(spark, tmp_path):
     )
 
 
-def test_summary_is_one_file(spark, tmp_path):
+def test_summary_keeps_its_tasks(spark, tmp_path):
+    """Groups are not brought into one task; an ungrouped summary is one anyway."""
     write_summary(spark.range(5).repartition(5), str(tmp_path / "out"))
-    assert len(list((tmp_path / "out").glob("*.json"))) == 1
+    assert len(list((tmp_path / "out").glob("*.json"))) > 1
+    write_summary(spark.range(50).agg(F.count("*").alias("n")), str(tmp_path / "one"))
+    assert len(list((tmp_path / "one").glob("*.json"))) == 1
 
 
 def test_splits(spark, tmp_path, plan):
@@ -53,7 +57,8 @@ def test_splits(spark, tmp_path, plan):
     assert (train.count(), test.count()) == (7, 3)
     assert "PartitionFilters: [isnotnull(split" in plan(test)
     assert load_split(spark, path).count() == 10
-    assert load_split(spark, path, "nope").count() == 0
+    with pytest.raises(ValueError, match="no split 'nope'"):
+        load_split(spark, path, "nope")
     assert load_sft_table(spark, DatasetOptions(path=path)) is None
     assert load_sft_table(spark, DatasetOptions(sft_column="x", sft_dataset_path=path)).count() == 7
     flat = str(tmp_path / "flat")
@@ -109,27 +114,66 @@ def test_arrow_shards(spark, tmp_path):
         spark.read.format("arrow_shards").load(str(tmp_path)).count()
 
 
-def test_spread(spark):
-    assert spread(spark.range(10, numPartitions=1), "id").rdd.getNumPartitions() == 16
-    wide = spark.range(100, numPartitions=40)
-    assert spread(wide, "id") is wide
-
-
 class Session:
     """What the choice of the folder depends on."""
 
-    def __init__(self, master, **settings):
+    def __init__(self, **settings):
         self.conf = settings
-        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})
 
 
-def test_shared_folder(tmp_path):
-    for master in ("yarn", "local[2]"):
-        assert shared_folder(Session(master, **{SETTING: f"{tmp_path}/"})) == str(tmp_path)
+def test_shared_folder(tmp_path, monkeypatch):
+    from rewardloom import scratch
+
+    monkeypatch.setattr(scratch, "_WHERE_UNSET", [])
+    assert shared_folder(Session(**{SETTING: f"{tmp_path}/"})) == str(tmp_path)
     with pytest.raises(RuntimeError, match="set spark.checkpoint.dir"):
-        shared_folder(Session("yarn"))
-    unset = shared_folder(Session("local[2]"))
-    assert unset == shared_folder(Session("local[2]"))
+        shared_folder(Session())
+    scratch.use_where_unset("/shared/own")
+    assert shared_folder(Session()) == "/shared/own"
+    assert shared_folder(Session(**{SETTING: f"{tmp_path}/"})) == str(tmp_path)
+
+
+def write_shard(folder, name, table):
+    with pa.OSFile(str(folder / name), "wb") as file, pa.ipc.new_stream(file, table.schema) as stream:
+        stream.write_table(table, max_chunksize=2)
+
+
+def write_state(folder, *names):
+    (folder / "state.json").write_text(json.dumps({"_data_files": [{"filename": n} for n in names]}))
+
+
+def test_shards_by_name(spark, tmp_path):
+    write_shard(tmp_path, "a.arrow", pa.table({"question": ["q1", None, "q3"], "answer": ["A", "B", "C"], "n": [1, 2, None]}))
+    write_shard(tmp_path, "b.arrow", pa.table({"n": [4], "answer": ["D"], "question": ["q4"]}))
+    write_state(tmp_path, "a.arrow", "b.arrow")
+    arrow_shards.register(spark)
+    reader = spark.read.format("arrow_shards").option("row_id", "row_id")
+    rows = reader.load(str(tmp_path)).orderBy("row_id").collect()
+    assert [(r["question"], r["answer"], r["n"]) for r in rows] == [("q1", "A", 1), (None, "B", 2), ("q3", "C", None), ("q4", "D", 4)]
+    ids = [r["row_id"] for r in rows]
+    some = reader.option("columns", "n, answer").load(str(tmp_path))
+    assert some.columns == ["row_id", "n", "answer"]
+    for condition, expected in (("n > 1", "BD"), ("answer = 'A'", "A"), ("n IS NULL", "C"), ("n <= 2 AND answer >= 'B'", "B"), ("n = 1 OR answer = 'D'", "AD"), (f"row_id = {ids[3]}", "D")):
+        assert "".join(r["answer"] for r in some.where(condition).orderBy("row_id").collect()) == expected, condition
+    with pytest.raises(Exception, match="no column x"):
+        reader.option("columns", "x").load(str(tmp_path)).count()
+
+
+def test_shard_without_a_column(spark, tmp_path):
+    write_shard(tmp_path, "a.arrow", pa.table({"question": ["q1"], "n": [1]}))
+    write_shard(tmp_path, "b.arrow", pa.table({"question": ["q1"]}))
+    write_state(tmp_path, "a.arrow", "b.arrow")
+    arrow_shards.register(spark)
+    with pytest.raises(Exception, match="no column 'n'"):
+        spark.read.format("arrow_shards").load(str(tmp_path)).collect()
+
+
+def test_no_shards(spark, tmp_path):
+    write_state(tmp_path)
+    arrow_shards.register(spark)
+    with pytest.raises(Exception, match="has no shards"):
+        spark.read.format("arrow_shards").load(str(tmp_path)).count()
+    assert spark.read.format("arrow_shards").schema("question string").load(str(tmp_path)).count() == 0
 
 
 def test_materialize(spark):

@@ -74,6 +74,74 @@ def test_exact_fraction_descends_into_large_groups(spark, monkeypatch):
         assert sample == set(ordered[: int(5_000 * fraction)])
 
 
+def test_exact_fraction_with_equal_keys(spark, monkeypatch):
+    """Where the digest is used up, ids decide."""
+    from rewardloom.operators import sampling
+
+    monkeypatch.setattr(sampling, "seeded_key", lambda seed, *columns: F.lit("0" * 32))
+    df = spark.range(100).withColumnRenamed("id", "row_id")
+    assert {r["row_id"] for r in exact_fraction(df, 0.37, 1).collect()} == set(range(37))
+
+
+def test_hot_group_is_split(spark):
+    """The statistics' join is split where one group holds most rows."""
+    from rewardloom.operators.advantage import group_advantage
+
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(400_000, numPartitions=8).select(
+            F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 5_000).alias("sample_id"), F.rand(1).alias("reward_total")
+        )
+        scored = group_advantage(rows)
+        scored.write.format("noop").mode("overwrite").save()
+        scored.count()
+        joined = scored.agg(F.sum("advantage"))
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_missing_samples_keep_their_rollouts(spark):
+    from rewardloom.operators.rollouts import attach_ground_truth
+
+    rollouts = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "sample_id long, response string")
+    samples = spark.createDataFrame([(1, "A")], "sample_id long, answers string")
+    found = {(r["sample_id"], r["answers"]) for r in attach_ground_truth(rollouts, samples, ["answers"]).collect()}
+    assert found == {(1, "A"), (2, None), (None, None)}
+
+
+def test_filled_takes_any_type(spark):
+    from rewardloom.operators.prepare import keep_filled, without_topic
+
+    df = spark.createDataFrame([(1, 0, "x"), (2, None, "y"), (3, 5, ""), (4, 6, None)], "i int, n long, s string")
+    assert [r["i"] for r in keep_filled(df, "n").collect()] == [1, 3, 4]
+    assert [r["i"] for r in keep_filled(df, "n", "s").collect()] == [1]
+    assert [r["i"] for r in without_topic(df, "s").collect()] == [3, 4]
+
+
+def test_no_rewards_is_an_error(spark):
+    from rewardloom.plans.scoring import score_rollouts
+    from rewardloom.rewards.content import language
+
+    with pytest.raises(ValueError, match="no reward functions"):
+        score_rollouts(spark.range(1), [])
+    with pytest.raises(ValueError, match="no function words"):
+        language("it")
+    language("it", detected_column="lang")
+
+
 def test_exact_fraction_limits(spark):
     df = spark.range(10).withColumnRenamed("id", "row_id")
     for fraction in (0.0, -0.1, 1.1):
@@ -189,7 +257,7 @@ def topic_table(spark, sizes, start=0):
 def test_numbering_is_dense(spark):
     train = topic_table(spark, {"hot": 5_000, "b": 3, "c": 1})
     found = collections.defaultdict(list)
-    sizes = topic_sizes(train, train, "topic", 80)
+    sizes = topic_sizes(train, train, "topic")
     for r in number_within_topic(train, "topic", "row_id", sizes).collect():
         found[r["topic"]].append(r["position"])
     assert {t: sorted(p) == list(range(len(p))) for t, p in found.items()} == {"hot": True, "b": True, "c": True}
@@ -214,19 +282,37 @@ def test_examples_per_test_row(spark):
     assert sorted(map(tuple, repartitioned.collect())) == sorted(map(tuple, pairs.collect()))
 
 
-def test_copies_change_nothing(spark, monkeypatch):
-    """Training rows that many test rows want are copied, for the same result."""
+def test_groups_change_nothing(spark, monkeypatch):
+    """Topics numbered in many groups and drawn in many tasks give the same examples."""
     from rewardloom.operators import few_shot
 
-    train, test = topic_table(spark, {"t": 90, "one": 1}), topic_table(spark, {"t": 50, "one": 50}, start=1_000)
+    train, test = topic_table(spark, {"t": 900, "one": 1}), topic_table(spark, {"t": 50, "one": 50}, start=1_000)
     expected = sorted(map(tuple, sample_examples(train, test).collect()))
     assert len(expected) == 50 * 80 + 50
-    monkeypatch.setattr(few_shot, "WANTED_PER_COPY", 7)
-    copies = {r["topic"]: r["copies"] for r in few_shot.topic_sizes(train, test, "topic", 80).collect()}
-    assert copies == {"t": 7, "one": 8}
+    monkeypatch.setattr(few_shot, "ROWS_PER_GROUP", 7)
+    monkeypatch.setattr(few_shot, "DRAWS_PER_TASK", 100)
+    groups = {r["topic"]: r["groups"] for r in few_shot.topic_sizes(train, test, "topic").collect()}
+    assert groups == {"t": 129, "one": 1}
     assert sorted(map(tuple, sample_examples(train, test).collect())) == expected
 
 
+def test_examples_carry_no_text_through_windows(spark):
+    """Numbering and drawing work on ids: the text is joined at the end."""
+    import re
+
+    train, test = topic_table(spark, {"t": 90}), topic_table(spark, {"t": 5}, start=1_000)
+    plans = []
+    for rows in (train, topic_table(spark, {"t": 990})):
+        prompts = few_shot_prompts(rows, test)
+        plan = prompts._jdf.queryExecution().optimizedPlan().toString()
+        below = [plan[m.start() :].split("\n") for m in re.finditer(r"Window \[", plan)]
+        assert below
+        for lines in below:
+            assert "question" not in lines[0] and "line" not in lines[0]
+        plans.append(re.sub(r"#\d+L?|\d+", "", plan.split("LocalRelation")[0]))
+    assert plans[0] == plans[1]
+
+
 def test_examples_are_drawn_evenly(spark):
     """Each of 10 training rows is drawn for about 3 in 10 test rows."""
     train, test = topic_table(spark, {"t": 10}), topic_table(spark, {"t": 3_000}, start=100)
