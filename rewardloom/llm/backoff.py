@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardloom.llm.bpe import slices
-from rewardloom.llm.common import table
+from rewardloom.llm.common import WORDS_SQL, table
 from rewardloom.scratch import scratch_path
 
 ORDER, ALPHA = 2, 0.4
@@ -262,8 +262,21 @@ def scores(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: st
 def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the score of every document, also per word."""
     found = scores(table(spark, sf_dir, "documents"))
-    return found.withColumn("mean_score", F.expr("CASE WHEN n_words > 0 THEN log_score / n_words ELSE 0D END"))
+    mean = F.expr("round(CASE WHEN n_words > 0 THEN log_score / n_words ELSE 0D END, 6) + 0D")
+    return found.select("doc_id", "n_words", (F.round("log_score", 3) + F.lit(0.0)).alias("log_score"), mean.alias("mean_score"))
 
 
 QUERIES = {"op6_language_model_scores": language_model_scores}
-ORACLES: dict[str, str] = {}
+#: Scores of words and pairs; sums are rounded, as their order differs.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS_SQL} AS w FROM documents),
+t AS (SELECT rid, i, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS y FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c AS (SELECT rid, i, y, count(*) OVER (PARTITION BY x) - count(*) OVER (PARTITION BY rid, x) AS c1,
+    count(*) OVER (PARTITION BY y, x) - count(*) OVER (PARTITION BY rid, y, x) AS c2, count(*) OVER () - count(*) OVER (PARTITION BY rid) AS others FROM t),
+h AS (SELECT *, lag(c1) OVER (PARTITION BY rid ORDER BY i) AS c0 FROM c),
+z AS (SELECT rid, sum(CASE WHEN y IS NOT NULL AND c2 > 0 THEN ln(c2) - ln(greatest(c0, 1))
+    ELSE ln(CASE WHEN c1 > 0 THEN c1 ELSE 0.5::DOUBLE END) - ln(greatest(others, 1)) + CASE WHEN y IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END END) AS s FROM h GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0), 3) + 0.0::DOUBLE AS log_score,
+    round(CASE WHEN len(w) > 0 THEN s / len(w) ELSE 0 END, 6) + 0.0::DOUBLE AS mean_score FROM d LEFT JOIN z USING (rid)"""
+
+ORACLES = {"op6_language_model_scores": ORACLE}

@@ -10,6 +10,12 @@ from rewardloom.scratch import materialize
 #: White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: DuckDB's expression for the words of a text, A-Z lower-cased.
+WORDS_SQL = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[\x20\x09-\x0D]+'), lambda x: x <> '')"
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rewardloom.llm.common import smallest_labels, table
+from rewardloom.llm.common import WORDS_SQL, smallest_labels, table
 from rewardloom.scratch import materialize
 
 WORDS = 3
@@ -347,4 +347,20 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_jaccard_join": jaccard_join}
-ORACLES: dict[str, str] = {}
+
+#: Brute force over all pairs of sets that share a shingle.
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS_SQL} AS w FROM documents),
+s AS (SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS g FROM d),
+c AS (SELECT dense_rank() OVER (ORDER BY g) AS cid, rid, doc_id, g FROM s),
+k AS (SELECT cid, any_value(g) AS g, min(doc_id) AS rep FROM c WHERE len(g) > 0 GROUP BY cid),
+e AS (SELECT cid, len(g) AS n, unnest(g) AS x FROM k),
+p AS (SELECT a.cid AS a, b.cid AS b FROM e a JOIN e b ON a.x = b.x AND a.cid < b.cid AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    GROUP BY a.cid, b.cid HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT cid AS a, cid AS b FROM k UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT r.a AS cid, min(k.rep) AS component_id FROM r JOIN k ON k.cid = r.b GROUP BY r.a)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, CASE WHEN len(g) = 0 THEN doc_id ELSE component_id END AS component_id FROM c LEFT JOIN m USING (cid)"""
+
+ORACLES = {"op4_jaccard_join": ORACLE}

@@ -162,4 +162,30 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_secret_scans": secret_scans}
-ORACLES: dict[str, str] = {}
+
+
+def _oracle() -> str:
+    finds = []
+    limits = {"short_access": BASE["access"][2], "short_assign": BASE["assign"][2]}
+    for rank, (kind, (pattern, group, least)) in enumerate([*BASE.items(), *WEAK.items()]):
+        p = pattern.replace("'", "''")
+        below = f" AND length(g) < {limits[kind]}" if kind in limits else ""
+        finds.append(
+            f"SELECT rid, before + rest AS s, before + rest + length(m) AS e, {rank} AS rank, {str(kind in WEAK).lower()} AS weak, '{CLASSES[kind]}' = 'secret' AS secret FROM ("
+            "SELECT *, coalesce(sum(rest + length(m)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM ("
+            "SELECT rid, i, length(rests[i]) AS rest, ms[i] AS m, gs[i] AS g FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ("
+            f"SELECT rid, string_split_regex(text, '{p}') AS rests, regexp_extract_all(text, '{p}', 0) AS ms, regexp_extract_all(text, '{p}', {group}) AS gs FROM d)))) WHERE length(g) >= {least}{below}"
+        )
+    kinds = ", ".join(f"'{k}'" for k in KINDS)
+    written = f"string_agg(([{kinds}])[rank + 1] || ':' || s || ':' || e, ',' ORDER BY s, rank, e)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({' UNION ALL '.join(finds)}),
+base AS (SELECT rid, {', '.join(f"count(*) FILTER (WHERE rank = {i}) AS n_{k}" for i, k in enumerate(BASE))}, {written} AS w FROM f WHERE NOT weak GROUP BY rid),
+found AS (SELECT rid, {written} AS w FROM f WHERE NOT weak OR EXISTS (SELECT 1 FROM f o WHERE o.rid = f.rid AND o.secret <> f.secret
+    AND greatest(o.s - f.e, f.s - o.e) <= {SCOPE}) GROUP BY rid)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base.w, '')) AS base_sha256, coalesce(found.w, '') AS spans
+FROM d LEFT JOIN base USING (rid) LEFT JOIN found USING (rid)"""
+
+
+ORACLES = {"op8_secret_scans": _oracle()}
