@@ -9,6 +9,7 @@ through; an empty table stays empty.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rewardloom.llm import bpe, decontaminate, jaccard, quality, secrets
 from rewardloom.llm.common import table
@@ -31,8 +32,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret."""
-    return secrets.redacted(docs)
+    """All documents, with a mark in place of each secret, and their new lengths."""
+    clean = secrets.redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
