@@ -37,21 +37,42 @@ EDITS = "array<struct<start:int,end:int,text:string>>"
 class PieceTree:
     """Lengths and token counts of a text's pieces, summed in a segment tree over blocks of pieces."""
 
-    def __init__(self, blocks: list[list[tuple[int, int]]]):
-        self.blocks = blocks or [[]]
+    def __init__(self, pieces, sizes):
+        """``pieces``: an array of (length, tokens) rows; ``sizes``: how many of them each block has."""
+        import numpy as np
+
+        ends = np.cumsum(sizes, dtype=np.int64) if len(sizes) else np.zeros(1, np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        upto = np.zeros((len(pieces) + 1, 2), np.int64)
+        np.cumsum(pieces, axis=0, out=upto[1:])
+        # Blocks stay rows of the array until an edit touches them.
+        self.blocks = [pieces[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         self.width = 1 << max(0, (len(self.blocks) - 1).bit_length())
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, block in enumerate(self.blocks):
-            self.chars[self.width + i] = sum(p[0] for p in block)
-            self.tokens[self.width + i] = sum(p[1] for p in block)
-        for node in range(self.width - 1, 0, -1):
-            self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-            self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
+        level = np.zeros((self.width, 2), np.int64)
+        level[: len(ends)] = upto[ends] - upto[starts]
+        levels = [level]
+        while len(levels[-1]) > 1:
+            levels.append(levels[-1][0::2] + levels[-1][1::2])
+        # Node 1 is the root, node n has the children 2 n and 2 n + 1.
+        nodes = np.concatenate([np.zeros((1, 2), np.int64), *levels[::-1]])
+        self.chars, self.tokens = nodes[:, 0].tolist(), nodes[:, 1].tolist()
 
     @classmethod
     def of(cls, text: str, coder: BytePairEncoder) -> PieceTree:
-        pieces = [(len(p), len(coder.young.get(p) or coder.piece(p))) for p in coder.find(text)]
-        return cls([pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)])
+        import numpy as np
+
+        pieces = coder.find(text)
+        get, slow = coder.young.get, coder.piece
+        rows = np.empty((len(pieces), 2), np.uint32)
+        rows[:, 0] = np.fromiter(map(len, pieces), np.uint32, len(pieces))
+        rows[:, 1] = np.fromiter([len(get(p) or slow(p)) for p in pieces], np.uint32, len(pieces))
+        return cls(rows, dealt(len(pieces)))
+
+    def block(self, i: int) -> list[tuple[int, int]]:
+        """A block's pieces as a list."""
+        if not isinstance(self.blocks[i], list):
+            self.blocks[i] = [tuple(p) for p in self.blocks[i].tolist()]
+        return self.blocks[i]
 
     @property
     def total(self) -> int:
@@ -60,8 +81,8 @@ class PieceTree:
     def renew(self, block: int) -> None:
         """The sums from a block to the root."""
         node = self.width + block
-        self.chars[node] = sum(p[0] for p in self.blocks[block])
-        self.tokens[node] = sum(p[1] for p in self.blocks[block])
+        self.chars[node] = sum(p[0] for p in self.block(block))
+        self.tokens[node] = sum(p[1] for p in self.block(block))
         while node > 1:
             node //= 2
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -79,7 +100,7 @@ class PieceTree:
                 start += self.chars[node]
                 node += 1
         block = node - self.width
-        for i, (length, _) in enumerate(self.blocks[block]):
+        for i, (length, _) in enumerate(self.block(block)):
             if at < start + length:
                 return block, i, start
             start += length
@@ -108,7 +129,7 @@ class PieceTree:
                         break
                     old_block, old_piece = old_block + 1, 0
                     continue
-                old_at += self.blocks[old_block][old_piece][0]
+                old_at += self.block(old_block)[old_piece][0]
                 old_piece += 1
             if old_at >= end and old_at + grown == stop:
                 synced = (old_block, old_piece)
@@ -116,14 +137,14 @@ class PieceTree:
         if synced is None:
             synced = (len(self.blocks) - 1, len(self.blocks[-1]))
         last, upto = synced
-        rest = self.blocks[last][upto:]
-        head = self.blocks[block][:piece]
+        rest = self.block(last)[upto:]
+        head = self.block(block)[:piece]
         if last == block:
             self.blocks[block] = head + pieces + rest
         else:
             self.blocks[block] = head + pieces
             for i in range(block + 1, last):
-                if self.blocks[i]:
+                if len(self.blocks[i]):
                     self.blocks[i] = []
                     self.renew(i)
             self.blocks[last] = rest
@@ -131,16 +152,20 @@ class PieceTree:
         self.renew(block)
         if len(self.blocks[block]) > 64 * LEAF:
             # A block that took in much new text is dealt out again.
-            flat = [p for b in self.blocks for p in b]
-            self.__init__([flat[i : i + LEAF] for i in range(0, len(flat), LEAF)])
+            rows = self.rows()
+            self.__init__(rows, dealt(len(rows)))
         return after, len(pieces)
 
+    def rows(self):
+        import numpy as np
+
+        return np.concatenate([np.asarray(b, np.uint32).reshape(-1, 2) for b in self.blocks])
+
     def packed(self) -> bytes:
         import numpy as np
 
-        flat = np.array([p for b in self.blocks for p in b], np.uint32).reshape(-1, 2)
-        sizes = np.array([len(self.blocks), *[len(b) for b in self.blocks]], np.uint32)
-        return sizes.tobytes() + flat.tobytes()
+        sizes = np.array([len(self.blocks), *map(len, self.blocks)], np.uint32)
+        return sizes.tobytes() + self.rows().tobytes()
 
     @classmethod
     def unpacked(cls, state: bytes) -> PieceTree:
@@ -148,9 +173,13 @@ class PieceTree:
 
         numbers = np.frombuffer(state, np.uint32)
         n = int(numbers[0])
-        ends = np.cumsum(numbers[: n + 1]) - n
-        flat = [*map(tuple, numbers[n + 1 :].reshape(-1, 2).tolist())]
-        return cls([flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+        return cls(numbers[n + 1 :].reshape(-1, 2), numbers[1 : n + 1])
+
+
+def dealt(pieces: int) -> list[int]:
+    """Sizes of blocks for so many pieces."""
+    full, rest = divmod(pieces, LEAF)
+    return [LEAF] * full + [rest] * (rest > 0 or not full)
 
 
 def in_order(edits: Iterable | None, length: int) -> list[tuple[int, int, str]]:
