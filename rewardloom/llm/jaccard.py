@@ -44,6 +44,8 @@ PERCENT = 90
 FIRST = 5
 #: Bits of a signature, in 64-bit parts; classes per block of a cell; children per tree node.
 PARTS, BLOCK, FANOUT = 16, 512, 8
+#: Rows of blocks that a task traverses.
+ROWS_PER_TASK = 10_000
 
 
 def hashes_of(text: str | None):
@@ -77,11 +79,11 @@ def signature_of(hashes) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-SETS = "n long, digest binary, first array<long>, rest array<long>, signature array<long>"
+SETS = "n long, digest binary, first array<long>, rest array<long>"
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, rid: str | None = None) -> DataFrame:
-    """Per row: rid, doc_id, the set's size and digest, the prefix's possible shingles, and the signature."""
+    """Per row: rid, doc_id, the set's size and digest, and the prefix's possible shingles."""
 
     def run(batches):
         import numpy as np
@@ -96,12 +98,11 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, rid: str | None = None
                 early = x % np.uint64(FIRST) == 0
                 first, need = x[early], prefix_length(n) if n else 0
                 rest = x[~early][: max(0, need - len(first))]
-                sign = np.frombuffer(signature_of(x), np.int64) if n else np.empty(0, np.int64)
-                out.append((n, xxhash.xxh3_128_digest(x.tobytes()), first.view(np.int64), rest.view(np.int64), sign))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                out.append((n, xxhash.xxh3_128_digest(x.tobytes()), first.view(np.int64), rest.view(np.int64)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             arrays = [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]]
-            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "n", "digest", "first", "rest", "signature"])
+            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "n", "digest", "first", "rest"])
 
     rows = docs.select(
         (F.col(rid) if rid else F.lit(None)).cast("long").alias("rid"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
@@ -110,7 +111,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, rid: str | None = None
 
 
 def token_sets(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFrame:
-    """(cid, tokens) of ``classes`` (cid, rep, digest), from the texts of their smallest doc_ids."""
+    """(cid, tokens, signature) of ``classes`` (cid, rep, digest), from the texts of their smallest doc_ids."""
 
     def run(batches):
         import numpy as np
@@ -119,23 +120,28 @@ def token_sets(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> D
 
         for batch in batches:
             sets = [hashes_of(t) for t in batch.column(0).to_pylist()]
-            arrays = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["digest", "tokens"])
+            longs = pa.list_(pa.int64())
+            arrays = [
+                pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
+                pa.array([x.view(np.int64) for x in sets], longs),
+                pa.array([np.frombuffer(signature_of(x), np.int64) for x in sets], longs),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["digest", "tokens", "signature"])
 
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text"))
     wanted = texts.alias("t").join(classes.select("rep").distinct().alias("c"), F.expr("t.rep <=> c.rep"), "left_semi")
-    found = wanted.select("text").mapInArrow(run, "digest binary, tokens array<long>")
-    return found.join(classes.select("cid", "digest"), "digest").select("cid", "tokens").dropDuplicates(["cid"])
+    found = wanted.select("text").mapInArrow(run, "digest binary, tokens array<long>, signature array<long>")
+    return found.join(classes.select("cid", "digest"), "digest").select("cid", "tokens", "signature").dropDuplicates(["cid"])
 
 
 def prefixes(classes: DataFrame) -> DataFrame:
     """(cid, n, token): the shingles of each class's prefix that another class has in its own."""
     length = F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1")
-    base = classes.select("cid", "n", F.size("first").alias("ns"), length.alias("p"), "first", "rest")
-    rows = base.select("cid", "n", "ns", "p", F.explode(F.concat(F.transform("first", lambda x: F.struct(x.alias("token"), F.lit(False).alias("late"))), F.transform("rest", lambda x: F.struct(x.alias("token"), F.lit(True).alias("late"))))).alias("x"))
-    rows = rows.select("cid", "n", "ns", "p", "x.token", "x.late")
+    # Only what the joins on shingles need is shuffled with them.
+    rows = classes.select("cid", F.explode(F.concat(F.transform("first", lambda x: F.struct(x.alias("token"), F.lit(False).alias("late"))), F.transform("rest", lambda x: F.struct(x.alias("token"), F.lit(True).alias("late"))))).alias("x"))
+    rows = rows.select("cid", "x.token", "x.late")
     common = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    hits = rows.join(common, "token")
+    hits = rows.join(common, "token").join(classes.select("cid", "n", F.size("first").alias("ns"), length.alias("p")), "cid")
     ranked = hits.selectExpr(
         "*",
         "ns - count_if(NOT late) OVER (PARTITION BY cid) AS alone",
@@ -300,6 +306,8 @@ def tree_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     second = pairs.where("one <> two").select("cell", "one", "two", F.col("two").alias("block"), F.lit(2).alias("side"))
     asked = reduce(DataFrame.unionByName, (own, first, second)).withColumn("task", F.xxhash64("cell", "one", "two"))
     rows = asked.select("task", "side", "cell", "block").join(members, ["cell", "block"]).select("task", "side", "cid", "comp", "n", "signature")
+    # Traversal takes long for the bytes it reads: the number of tasks follows the rows.
+    rows = rows.repartition(max(1, -(-rows.count() // ROWS_PER_TASK)), "task")
     found = rows.groupBy("task").applyInPandas(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -308,7 +316,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid:
     """Per row: rid, doc_id, n_shingles, digest, component (a number), component_id (its smallest doc_id)."""
     sets = materialize(shingle_sets(docs, doc_id, text, rid), "sets")
     one = sets.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("rest").alias("rest"), F.first("signature").alias("signature")
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("rest").alias("rest")
     )
     classes = materialize(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
     cells = materialize(prefixes(classes).withColumn("band", _band()), "cells")
@@ -317,9 +325,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid:
     links = materialize(verified(star_pairs(cells), tokens), "links")
     labels = smallest_labels(links)
     labelled = cells.join(labels, cells["cid"] == labels["node"], "left").select("token", "band", "cid", "n", F.coalesce("label", "cid").alias("comp"))
-    members = open_cells(labelled).join(classes.select("cid", "signature"), "cid")
+    members = open_cells(labelled).join(tokens.select("cid", "signature"), "cid")
     members = materialize(blocks(members), "members")
-    more = verified(tree_pairs(members, node_pairs(members)), tokens)
+    pairs = materialize(node_pairs(members), "blocks")
+    more = verified(tree_pairs(members, pairs), tokens)
     labels = smallest_labels(links.unionByName(more))
     named = classes.select("cid", "rep", "digest").join(labels, classes["cid"] == labels["node"], "left").select("cid", "rep", "digest", F.coalesce("label", "cid").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
