@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from suite import operators, rewards
 from suite.check import differences, duck
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = {**operators.QUERIES, **rewards.QUERIES}
+ORACLES = {**operators.ORACLES, **rewards.ORACLES}
 
 
 @pytest.fixture(scope="module")
