@@ -7,7 +7,8 @@ that other documents have: its count over its history's count; each step down co
 other document has counts as half a word.
 
 The n-grams of a chunk of documents are exploded once per distinct n-gram and
-chunk, as 64-bit hashes with their counts. These rows are partitioned by hash into count tables: a
+chunk, as 56-bit hashes with their counts (of ten trillion different n-grams, one in ten thousand
+would share its hash). These rows are partitioned by hash into count tables: a
 row packs the sorted hashes of one chunk that fall in one partition. Each
 partition sums the counts of equal hashes and answers with the sums in the order asked, and
 the answers are joined to the chunks, where logarithms are summed per document. However
@@ -31,7 +32,9 @@ from rewardloom.scratch import scratch_path
 
 ORDER, ALPHA = 2, 0.4
 #: Characters of a chunk's documents, and distinct n-grams (per chunk) of a partition of the count tables.
-CHUNK_CHARS, PARTITION_GRAMS = 4_000_000, 1_000_000
+CHUNK_CHARS, PARTITION_GRAMS = 16_000_000, 1_000_000
+#: Bits of a hash.
+HASH_BITS = 56
 
 
 class Chunk:
@@ -54,7 +57,7 @@ class Chunk:
             hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
             ends.append(ends[-1] + len(found))
         all_ = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        types, words = np.unique(all_, return_inverse=True)
+        types, words = np.unique(all_ >> np.uint64(64 - HASH_BITS), return_inverse=True)
         return cls(types, words.astype(np.uint32), np.array(ends, np.int64))
 
     def grams(self, order: int):
@@ -80,7 +83,7 @@ class Chunk:
             x ^= x >> np.uint64(32)
             places = np.full(len(self.words), -1, np.int64)
             places[at] = inverse
-            hashes = x
+            hashes = x >> np.uint64(64 - HASH_BITS)
             yield hashes, places
 
     def scores(self, counts, total: int, order: int):
@@ -129,7 +132,7 @@ def chunks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             for start, n in slices(lengths, CHUNK_CHARS):
                 part = batch.slice(start, n)
                 chunk = Chunk.of(part.column(1).to_pylist())
-                blobs = [x.tobytes() for x in (chunk.types, chunk.words, chunk.ends)]
+                blobs = [pack(chunk.types), squeeze(chunk.words), squeeze(chunk.ends)]
                 arrays = [pa.array([number], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), *[pa.array([b], pa.binary()) for b in blobs]]
                 arrays.append(pa.array([len(chunk.words)], pa.int64()))
                 yield pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "types", "words", "ends", "n_words"])
@@ -138,14 +141,32 @@ def chunks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     found = rows.mapInArrow(run, "chunk long, ids array<long>, types binary, words binary, ends binary, n_words long")
     path = scratch_path(docs.sparkSession, "chunks")
-    found.write.option("compression", "zstd").parquet(path)
+    found.write.parquet(path)
     return docs.sparkSession.read.schema(found.schema).parquet(path)
 
 
+def squeeze(numbers) -> bytes:
+    """An array's bytes, the lowest of all numbers first, compressed."""
+    import pyarrow as pa
+
+    planes = numbers.view("uint8").reshape(len(numbers), numbers.itemsize).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def stretch(squeezed: bytes, kind):
+    """The array of numbers of a ``kind`` that was squeezed."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, size = int.from_bytes(squeezed[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(squeezed[8:], n * size, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
 def _chunk(types, words, ends) -> Chunk:
     import numpy as np
 
-    return Chunk(np.frombuffer(types, np.uint64), np.frombuffer(words, np.uint32), np.frombuffer(ends, np.int64))
+    return Chunk(unpack(types), stretch(words, np.uint32), stretch(ends, np.int64))
 
 
 def _partitions(hashes, n_partitions: int):
@@ -153,29 +174,31 @@ def _partitions(hashes, n_partitions: int):
     import numpy as np
 
     order = np.argsort(hashes, kind="stable")
-    width = (1 << 64) // n_partitions + 1
-    bounds = np.array([min(i * width, (1 << 64) - 1) for i in range(n_partitions)], np.uint64)
+    width = (1 << HASH_BITS) // n_partitions + 1
+    bounds = np.arange(n_partitions, dtype=np.uint64) * np.uint64(width)
     return order, np.append(np.searchsorted(hashes[order], bounds), len(hashes))
 
 
 def pack(hashes) -> bytes:
-    """Sorted hashes as the first one and six-byte differences; as they are if one is larger."""
+    """Sorted hashes as the first one and differences in as many bytes as the largest needs."""
     import numpy as np
 
+    if not len(hashes):
+        return b""
     steps = np.diff(hashes)
-    if len(steps) and int(steps.max()) >= 1 << 48:
-        return b"\x00" + hashes.tobytes()
-    return b"\x01" + hashes[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    size = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    return bytes([size]) + hashes[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
 def unpack(packed: bytes):
     import numpy as np
 
-    if packed[0] == 0:
-        return np.frombuffer(packed, np.uint64, offset=1)
-    steps = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, 6)
+    if not packed:
+        return np.empty(0, np.uint64)
+    size = packed[0]
+    steps = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, size) if size else np.empty((0, 0), np.uint8)
     wide = np.zeros((len(steps) + 1, 8), np.uint8)
-    wide[1:, :6] = steps
+    wide[1:, :size] = steps
     wide[0] = np.frombuffer(packed, np.uint8, 8, offset=1)
     return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
 
@@ -196,7 +219,7 @@ def counts_of(chunks: DataFrame, order: int, n_partitions: int) -> DataFrame:
                     for part in range(n_partitions):
                         own = at[starts[part] : starts[part + 1]]
                         if len(own):
-                            rows.append((number, n, part, pack(hashes[own]), times[own].tobytes()))
+                            rows.append((number, n, part, pack(hashes[own]), squeeze(times[own])))
                     if len(rows) * 2 > n_partitions:
                         yield _batch(rows)
                         rows = []
@@ -214,13 +237,11 @@ def counts_of(chunks: DataFrame, order: int, n_partitions: int) -> DataFrame:
         import pyarrow as pa
 
         hashes = [unpack(b) for b in rows.column("hashes").to_pylist()]
-        times = [np.frombuffer(b, np.uint32) for b in rows.column("times").to_pylist()]
+        times = [stretch(b, np.uint32) for b in rows.column("times").to_pylist()]
         distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         sums = np.bincount(inverse, weights=np.concatenate(times), minlength=len(distinct)).astype(np.int64)[inverse]
         ends = np.cumsum([len(h) for h in hashes])
-        # In four bytes where these hold the sums.
-        narrow = np.uint32 if len(sums) == 0 or sums.max() < 1 << 32 else np.int64
-        blobs = [x.astype(narrow).tobytes() for x in np.split(sums, ends[:-1])]
+        blobs = [squeeze(x) for x in np.split(sums, ends[:-1])]
         return pa.table([rows.column("chunk"), rows.column("n"), rows.column("part"), pa.array(blobs, pa.binary())], ["chunk", "n", "part", "counts"])
 
     rows = chunks.select("chunk", "types", "words", "ends").mapInArrow(asked, "chunk long, n int, part int, hashes binary, times binary")
@@ -230,7 +251,7 @@ def counts_of(chunks: DataFrame, order: int, n_partitions: int) -> DataFrame:
 def scores(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, log_score): one row per document, the sum of its words' natural log scores."""
     chunks = chunks_of(docs, doc_id, text)
-    sizes = chunks.agg(F.sum("n_words").alias("words"), F.sum(F.octet_length("types")).alias("types")).first()
+    sizes = chunks.agg(F.sum("n_words").alias("words")).first()
     total = sizes["words"] or 0
     n_partitions = max(1, -(-total // PARTITION_GRAMS))
     answers = counts_of(chunks, order, n_partitions)
@@ -250,7 +271,7 @@ def scores(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: st
             sums = np.zeros(len(hashes), np.int64)
             for part, blob in found[n].items():
                 own = at[starts[part] : starts[part + 1]]
-                sums[own] = np.frombuffer(blob, np.uint32 if len(blob) == 4 * len(own) else np.int64)
+                sums[own] = stretch(blob, np.int64)
             counts.append(sums)
         lengths, sums = chunk.scores(counts, total, order)
         return pa.table([pa.array(row["ids"], pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "n_words", "log_score"])

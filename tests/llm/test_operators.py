@@ -496,9 +496,10 @@ def test_backoff_edges(empty, spark):
 def test_packing():
     import numpy as np
 
-    for hashes in ([5], [0, 1, (1 << 64) - 1], sorted(random.Random(1).sample(range(1 << 50), 1000))):
+    for hashes in ([], [5], [0, 1, (1 << 64) - 1], sorted(random.Random(1).sample(range(1 << 50), 1000))):
         x = np.array(hashes, np.uint64)
-        assert (backoff.unpack(backoff.pack(x)) == x).all()
+        assert (backoff.unpack(backoff.pack(x)) == x).all() and (backoff.stretch(backoff.squeeze(x), np.uint64) == x).all()
+        assert len(backoff.unpack(backoff.pack(x))) == len(x)
 
 
 # 7: sharding
