@@ -32,7 +32,7 @@ from rewardloom.scratch import scratch_path
 
 ORDER, ALPHA = 2, 0.4
 #: Characters of a chunk's documents, and distinct n-grams (per chunk) of a partition of the count tables.
-CHUNK_CHARS, PARTITION_GRAMS = 16_000_000, 1_000_000
+CHUNK_CHARS, PARTITION_GRAMS = 8_000_000, 1_000_000
 #: Bits of a hash.
 HASH_BITS = 56
 
