@@ -15,6 +15,9 @@ from rewardloom.llm import bpe, decontaminate, jaccard, quality, secrets
 from rewardloom.llm.common import table
 from rewardloom.scratch import materialize
 
+#: Near copies: words of a shingle and similarity in percent.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, with cutoffs fitted to this input."""
@@ -23,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of linked texts."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

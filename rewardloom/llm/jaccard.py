@@ -1,10 +1,10 @@
 """N-gram Jaccard join by signature trees (operator 4).
 
-Two documents link when the Jaccard similarity of their sets of three-word
-shingles is 0.9 or more. No link between different sets is lost:
+Two documents link when the Jaccard similarity of their sets of shingles of ``words``
+words is ``percent`` or more (three words and 90 unless the caller names others). No link between different sets is lost:
 
 1. Equal sets are one class from here on, however many documents share it.
-2. Linked sets share a shingle of their prefixes: the first n - ceil(0.9 n) + 1
+2. Linked sets share a shingle of their prefixes: the first n - ceil(n percent / 100) + 1
    shingles in a global order. The order puts a fifth of all hashes first, rare ones
    before frequent ones, so a prefix is mostly shingles of no other document, which are dropped at once.
 3. Each (shingle, size band) cell verifies its classes against one centre, and verified
@@ -18,7 +18,7 @@ shingles is 0.9 or more. No link between different sets is lost:
 
 Blocks hold a bounded number of classes, so no group meets in one task.
 
-Words are runs without white space, A-Z lower-cased; a text of one or two words
+Words are runs without white space, A-Z lower-cased; a text of fewer words than a shingle
 has one shingle. Defined results: NULL and empty texts have no shingles and
 link with nothing; equal texts link with each other; repeated rows get the same
 component; a NULL doc_id never names a component unless all its documents have none; an
@@ -37,9 +37,8 @@ from pyspark.sql import types as T
 from rewardloom.llm.common import WORDS_SQL, smallest_labels, table
 from rewardloom.scratch import materialize
 
-WORDS = 3
-#: The similarity in percent.
-PERCENT = 90
+#: Words of a shingle and the similarity in percent, where the caller names no others.
+WORDS, PERCENT = 3, 90
 #: One in so many hashes comes first in the order of shingles.
 FIRST = 5
 #: Bits of a signature, in 64-bit parts; classes per block of a cell; children per tree node.
@@ -48,18 +47,23 @@ PARTS, BLOCK, FANOUT = 16, 512, 8
 ROWS_PER_TASK = 10_000
 
 
-def hashes_of(text: str | None):
-    """Sorted distinct 64-bit hashes of a text's shingles."""
+def hashes_of(text: str | None, size: int = WORDS):
+    """Sorted distinct 64-bit hashes of a text's shingles of ``size`` words."""
     import numpy as np
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    if len(words) < WORDS:
+    if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    x = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + (h[1:-1] ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] * np.uint64(0x165667B19E3779F9)
+    n = len(words) - size + 1
+    x = h[:n].copy()
+    for k in range(1, size):
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x += h[k : k + n]
     # Mixed so that every bit depends on all words.
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
@@ -67,8 +71,8 @@ def hashes_of(text: str | None):
     return np.unique(x)
 
 
-def prefix_length(n: int) -> int:
-    return n - (PERCENT * n + 99) // 100 + 1
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return n - (percent * n + 99) // 100 + 1
 
 
 def signature_of(hashes) -> bytes:
@@ -82,7 +86,7 @@ def signature_of(hashes) -> bytes:
 SETS = "n long, digest binary, first array<long>, rest array<long>"
 
 
-def shingle_sets(docs: DataFrame, doc_id: str, text: str, rid: str | None = None) -> DataFrame:
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, rid: str | None = None, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: rid, doc_id, the set's size and digest, and the prefix's possible shingles."""
 
     def run(batches):
@@ -93,10 +97,10 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, rid: str | None = None
         for batch in batches:
             out = []
             for t in batch.column(2).to_pylist():
-                x = hashes_of(t)
+                x = hashes_of(t, words)
                 n = len(x)
                 early = x % np.uint64(FIRST) == 0
-                first, need = x[early], prefix_length(n) if n else 0
+                first, need = x[early], prefix_length(n, percent) if n else 0
                 rest = x[~early][: max(0, need - len(first))]
                 out.append((n, xxhash.xxh3_128_digest(x.tobytes()), first.view(np.int64), rest.view(np.int64)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -110,7 +114,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, rid: str | None = None
     return rows.mapInArrow(run, f"rid long, doc_id long, {SETS}")
 
 
-def token_sets(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFrame:
+def token_sets(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, words: int = WORDS) -> DataFrame:
     """(cid, tokens, signature) of ``classes`` (cid, rep, digest), from the texts of their smallest doc_ids."""
 
     def run(batches):
@@ -119,7 +123,7 @@ def token_sets(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> D
         import xxhash
 
         for batch in batches:
-            sets = [hashes_of(t) for t in batch.column(0).to_pylist()]
+            sets = [hashes_of(t, words) for t in batch.column(0).to_pylist()]
             longs = pa.list_(pa.int64())
             arrays = [
                 pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
@@ -134,9 +138,9 @@ def token_sets(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> D
     return found.join(classes.select("cid", "digest"), "digest").select("cid", "tokens", "signature").dropDuplicates(["cid"])
 
 
-def prefixes(classes: DataFrame) -> DataFrame:
+def prefixes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(cid, n, token): the shingles of each class's prefix that another class has in its own."""
-    length = F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1")
+    length = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
     # Only what the joins on shingles need is shuffled with them.
     rows = classes.select("cid", F.explode(F.concat(F.transform("first", lambda x: F.struct(x.alias("token"), F.lit(False).alias("late"))), F.transform("rest", lambda x: F.struct(x.alias("token"), F.lit(True).alias("late"))))).alias("x"))
     rows = rows.select("cid", "x.token", "x.late")
@@ -153,28 +157,28 @@ def prefixes(classes: DataFrame) -> DataFrame:
     return found.join(shared, "token")
 
 
-def _band(n: str = "n"):
+def _band(n: str = "n", percent: int = PERCENT):
     """Sizes whose sets can link lie in the same or in neighbouring bands."""
-    return F.floor(F.log(F.col(n).cast("double")) / F.lit(-math.log(PERCENT / 100)) + F.lit(1e-9)).cast("int")
+    return F.floor(F.log(F.col(n).cast("double")) / F.lit(-math.log(percent / 100)) + F.lit(1e-9)).cast("int")
 
 
-def verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that link, by exact intersection."""
     left = tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))
     right = tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b")
     return both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both")).where(
-        f"100 * both >= {PERCENT} * (na + nb - both)"
+        f"100 * both >= {percent} * (na + nb - both)"
     ).select("a", "b")
 
 
-def star_pairs(cells: DataFrame) -> DataFrame:
+def star_pairs(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Every class of a (token, band) with the band's centre, and centres of neighbouring bands: pairs grow with the rows."""
     centres = cells.groupBy("token", "band").agg(F.min(F.struct("n", "cid")).alias("c"))
     own = cells.join(centres, ["token", "band"]).select(F.col("cid").alias("a"), F.col("c.cid").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"))
     up = centres.select("token", (F.col("band") + 1).alias("band"), F.col("c").alias("d"))
     across = centres.join(up, ["token", "band"]).select(F.col("c.cid").alias("a"), F.col("d.cid").alias("b"), F.col("c.n").alias("na"), F.col("d.n").alias("nb"))
-    pairs = own.unionByName(across).where(f"a <> b AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    pairs = own.unionByName(across).where(f"a <> b AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -201,7 +205,7 @@ def blocks(members: DataFrame) -> DataFrame:
     return found.select("cell", "cid", "comp", "n", "signature", F.struct("own", F.expr("pmod(xxhash64(cid), shares)").alias("i")).alias("block"))
 
 
-def node_pairs(members: DataFrame) -> DataFrame:
+def node_pairs(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(cell, one, two): pairs of blocks that may hold a link between components."""
     part = lambda i: F.expr(f"bit_or(signature[{i}])").alias(f"s{i}")
     nodes = members.groupBy("cell", "block").agg(
@@ -212,8 +216,8 @@ def node_pairs(members: DataFrame) -> DataFrame:
     # Two shingles may share a bit: slack is how many more there are than bits.
     overlap = " + ".join(f"bit_count(p.s{i} & q.s{i})" for i in range(PARTS)) + " + least(p.slack, q.slack)"
     return one.join(two, F.expr("p.cell = q.cell AND p.block <= q.block")).where(
-        f"NOT (p.c0 = q.c1 AND p.c1 = q.c0 AND p.c0 = p.c1) AND 100 * p.n1 >= {PERCENT} * q.n0 AND 100 * q.n1 >= {PERCENT} * p.n0"
-        f" AND {100 + PERCENT} * ({overlap}) >= {PERCENT} * (p.n0 + q.n0)"
+        f"NOT (p.c0 = q.c1 AND p.c1 = q.c0 AND p.c0 = p.c1) AND 100 * p.n1 >= {percent} * q.n0 AND 100 * q.n1 >= {percent} * p.n0"
+        f" AND {100 + percent} * ({overlap}) >= {percent} * (p.n0 + q.n0)"
     ).selectExpr("p.cell", "p.block AS one", "q.block AS two")
 
 
@@ -244,26 +248,26 @@ def tree(bits, n, comp) -> Node:
     return level[0]
 
 
-def may_link(one: Node, two: Node) -> bool:
+def may_link(one: Node, two: Node, percent: int = PERCENT) -> bool:
     """Whether members of two nodes may link across components."""
     import numpy as np
 
     if one.comps == two.comps and one.comps[0] == one.comps[1]:
         return False
-    if 100 * one.high < PERCENT * two.low or 100 * two.high < PERCENT * one.low:
+    if 100 * one.high < percent * two.low or 100 * two.high < percent * one.low:
         return False
     overlap = int(np.bitwise_count(one.bits & two.bits).sum()) + min(one.slack, two.slack)
-    return (100 + PERCENT) * overlap >= PERCENT * (one.low + two.low)
+    return (100 + percent) * overlap >= percent * (one.low + two.low)
 
 
-def traversed(one: Node, two: Node, left, right) -> list[tuple[int, int]]:
+def traversed(one: Node, two: Node, left, right, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Pairs of rows of two blocks (bits, n, comp) that may link, by dual traversal."""
     import numpy as np
 
     found, queue = [], [(one, two)]
     while queue:
         p, q = queue.pop()
-        if not may_link(p, q):
+        if not may_link(p, q, percent):
             continue
         if p.children or q.children:
             # The larger node is opened; a node paired with itself pairs each of its children once.
@@ -278,12 +282,12 @@ def traversed(one: Node, two: Node, left, right) -> list[tuple[int, int]]:
         extra = xn[:, None] - np.bitwise_count(xb[:, None, :] & ~yb[None, :, :]).sum(axis=2)
         lacking = yn[None, :] - np.bitwise_count(yb[None, :, :] & ~xb[:, None, :]).sum(axis=2)
         both = np.minimum(extra, lacking)
-        good = ((100 + PERCENT) * both >= PERCENT * (xn[:, None] + yn[None, :])) & (xc[:, None] != yc[None, :])
+        good = ((100 + percent) * both >= percent * (xn[:, None] + yn[None, :])) & (xc[:, None] != yc[None, :])
         found += [(int(p.at[i]), int(q.at[j])) for i, j in zip(*np.nonzero(good), strict=True)]
     return found
 
 
-def tree_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+def tree_pairs(members: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): classes of different components that the trees can't tell apart."""
 
     def run(rows):
@@ -298,7 +302,7 @@ def tree_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
         (a, *left), (b, *right) = sides
         one = tree(*left)
         two = one if (rows["side"] == 0).all() else tree(*right)
-        found = traversed(one, two, left, right)
+        found = traversed(one, two, left, right, percent)
         return pd.DataFrame({"a": [int(a[i]) for i, _ in found], "b": [int(b[j]) for _, j in found]}, dtype="int64")
 
     own = pairs.where("one = two").select("cell", "one", "two", F.col("one").alias("block"), F.lit(0).alias("side"))
@@ -312,23 +316,23 @@ def tree_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid: str | None = None) -> DataFrame:
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid: str | None = None, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: rid, doc_id, n_shingles, digest, component (a number), component_id (its smallest doc_id)."""
-    sets = materialize(shingle_sets(docs, doc_id, text, rid), "sets")
+    sets = materialize(shingle_sets(docs, doc_id, text, rid, words, percent), "sets")
     one = sets.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("rest").alias("rest")
     )
     classes = materialize(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    cells = materialize(prefixes(classes).withColumn("band", _band()), "cells")
+    cells = materialize(prefixes(classes, percent).withColumn("band", _band(percent=percent)), "cells")
     near = classes.select("cid", "rep", "digest").join(cells.select("cid").distinct(), "cid", "left_semi")
-    tokens = materialize(token_sets(docs, doc_id, text, near), "tokens")
-    links = materialize(verified(star_pairs(cells), tokens), "links")
+    tokens = materialize(token_sets(docs, doc_id, text, near, words), "tokens")
+    links = materialize(verified(star_pairs(cells, percent), tokens, percent), "links")
     labels = smallest_labels(links)
     labelled = cells.join(labels, cells["cid"] == labels["node"], "left").select("token", "band", "cid", "n", F.coalesce("label", "cid").alias("comp"))
     members = open_cells(labelled).join(tokens.select("cid", "signature"), "cid")
     members = materialize(blocks(members), "members")
-    pairs = materialize(node_pairs(members), "blocks")
-    more = verified(tree_pairs(members, pairs), tokens)
+    pairs = materialize(node_pairs(members, percent), "blocks")
+    more = verified(tree_pairs(members, pairs, percent), tokens, percent)
     labels = smallest_labels(links.unionByName(more))
     named = classes.select("cid", "rep", "digest").join(labels, classes["cid"] == labels["node"], "left").select("cid", "rep", "digest", F.coalesce("label", "cid").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -340,10 +344,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid:
     )
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each component, the smallest doc_id's first row; texts without words stay."""
     numbered = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
-    found = components(numbered.select("rid", "row.*") if "rid" not in docs.columns else numbered.select("rid", F.col(f"row.`{doc_id}`").alias(doc_id), F.col(f"row.`{text}`").alias(text)), doc_id, text, "rid")
+    found = components(numbered.select("rid", "row.*") if "rid" not in docs.columns else numbered.select("rid", F.col(f"row.`{doc_id}`").alias(doc_id), F.col(f"row.`{text}`").alias(text)), doc_id, text, "rid", words, percent)
     # NULL identifiers come last.
     first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("k"))
     kept = first.select("k.rid").unionByName(found.where("component IS NULL").select("rid"))

@@ -177,6 +177,34 @@ def test_jaccard_many_blocks(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(rows)
 
 
+def test_jaccard_other_shingles(spark, docs):
+    """Five words and 80 percent, against brute force."""
+    rng = random.Random(3)
+    rows = rows_of(docs)
+    for family in range(20):
+        words = [f"f{family}w{i}" for i in range(100)]
+        rows.append((1000 + 2 * family, " ".join(words)))
+        for k in rng.sample(range(10, 90, 6), 2):
+            words[k] = "other"
+        rows.append((1001 + 2 * family, " ".join(words)))
+    found = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append(frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset())
+    alike = [[b for b, y in enumerate(sets) if x and 100 * len(x & y) >= 80 * len(x | y)] for x in sets]
+    want = Counter()
+    for k, (i, _) in enumerate(rows):
+        reached, queue = {k}, [k]
+        while queue:
+            new = set(alike[queue.pop()]) - reached
+            reached |= new
+            queue += new
+        want[i, len(sets[k]), min((rows[j][0] for j in reached if rows[j][0] is not None), default=None)] += 1
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == want
+    assert all((1001 + 2 * family, 96, 1000 + 2 * family) in want for family in range(20))
+
+
 def test_tree_finds_every_link():
     import numpy as np
 

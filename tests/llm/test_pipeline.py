@@ -91,6 +91,15 @@ def test_empty_table(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_near_copies_of_scattered_words(spark, folder):
+    """Two replaced words in a hundred: 0.81 alike by shingles of five words, 0.88 by three."""
+    words = [f"w{i}" for i in range(100)]
+    copy = [*words[:30], "other", *words[31:70], "other", *words[71:]]
+    unlike = [*words[:20], "x", *words[21:40], "x", *words[41:60], "x", *words[61:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(unlike))], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()} == {1, 3}
+
+
 def test_stages_call_the_operators():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secret_redaction", "tokens"]
     assert secrets.KINDS[:3] == ["assign", "access", "hex"]
