@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash (operator 9).
 
-A document's words slide past in windows as long as each benchmark item. Windows
+A document's words slide past in windows as long as each benchmark item; a document
+shorter than an item is one window itself. Windows
 that share no shingle with an item can't be alike and are left out first, which
 loses nothing. The SimHash over weighted shingles of the others is looked up among
 the items': the 64 bits fall into four blocks, and fingerprints within ``RADIUS`` bits
@@ -126,7 +127,7 @@ class Items:
         # Starts of windows that hold such a place, by the windows' size.
         starts: dict[int, set[int]] = defaultdict(set)
         for item, at in places.items():
-            size = self.sizes[item]
+            size = min(self.sizes[item], len(words))
             length = min(SHINGLE, size)
             last = len(words) - size
             for i in at:
@@ -144,11 +145,11 @@ class Items:
                 shingles = shingles_of(words[low : high + size], min(SHINGLE, size))
                 for k, fingerprint in enumerate(self.fingerprints(shingles, count).tolist()):
                     for item in self.near(fingerprint):
-                        if self.sizes[item] == size:
+                        if min(self.sizes[item], len(words)) == size:
                             alike = similarity(self.bags[item], Counter(shingles[k : k + count]))
                             if alike >= SIMILARITY and (-alike, low + k) < best.get(item, (0.0, 0)):
                                 best[item] = (-alike, low + k)
-        found = [(self.ids[i], -alike, start, self.sizes[i]) for i, (alike, start) in best.items()]
+        found = [(self.ids[i], -alike, start, min(self.sizes[i], len(words))) for i, (alike, start) in best.items()]
         return sorted(found)
 
 

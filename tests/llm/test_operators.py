@@ -356,6 +356,31 @@ def test_leaks(spark, benchmark, docs, empty):
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_documents_shorter_than_the_item(spark, benchmark):
+    """A document that is an item less some words is one window itself."""
+    items = {r["item_id"]: r["text"].split() for r in benchmark.collect() if r["item_id"] < 100 and len((r["text"] or "").split()) >= 30}
+    rows = []
+    for item, words in items.items():
+        middle = len(words) // 2
+        for k, part in enumerate([words[1:], words[:-1], words[1:-1], words[: middle] + words[middle + 1 :], words[:middle], words[:4], words]):
+            rows.append((item * 10 + k, " ".join(part)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["row"]["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["first_word"], r["n_words"]) for r in decontaminate.leaks(table, benchmark, "doc_id").collect()}
+    want = {}
+    for i, text in rows:
+        words = text.split()
+        for item, own in items.items():
+            size = min(len(own), len(words))
+            bag = Counter(decontaminate.shingles_of(own))
+            alike = [decontaminate.similarity(bag, Counter(decontaminate.shingles_of(words[s : s + size]))) for s in range(len(words) - size + 1)]
+            if max(alike) >= 0.8:
+                want[i, item] = (round(max(alike), 9), alike.index(max(alike)), size)
+    assert found == want and all((item * 10 + k, item) in want for item in items for k in (0, 1, 2, 6))
+    assert not {i for i, _ in want} & {item * 10 + k for item in items for k in (4, 5)}
+    kept = {r["doc_id"] for r in decontaminate.clean(table, benchmark).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_leaks_by_slices(spark, benchmark, monkeypatch):
     """A benchmark in several slices gives the same leaks."""
     table = benchmark.where("item_id < 100").selectExpr("item_id AS doc_id", "concat('x ', text, ' y') AS text")
