@@ -1,7 +1,7 @@
 """N-gram Jaccard join by signature trees (operator 4).
 
 Two documents link when the Jaccard similarity of their sets of shingles of ``words``
-words is ``percent`` or more (three words and 90 unless the caller names others). No link between different sets is lost:
+words is ``percent`` or more (three words and 90 unless the caller names others). No component loses a link that it needs:
 
 1. Equal sets are one class from here on, however many documents share it.
 2. Linked sets share a shingle of their prefixes: the first n - ceil(n percent / 100) + 1
@@ -18,6 +18,10 @@ words is ``percent`` or more (three words and 90 unless the caller names others)
 
 Blocks hold a bounded number of classes, so no group meets in one task.
 
+``components`` and ``one_of_each`` verify no pair that is in one component already. ``links`` returns every
+link between different sets with the rows of each set: steps 3 and the pruning by component in 4 are left out. ``link_counts``
+adds their number per row.
+
 Words are runs without white space, A-Z lower-cased; a text of fewer words than a shingle
 has one shingle. Defined results: NULL and empty texts have no shingles and
 link with nothing; equal texts link with each other; repeated rows get the same
@@ -240,7 +244,9 @@ def tree(bits, n, comp) -> Node:
     """A tree over classes in order of component, size and signature, so that near ones share nodes."""
     import numpy as np
 
-    order = np.lexsort((bits[:, 0], n, comp))
+    # Where every class is a component of its own, these say nothing of nearness.
+    alone = len(np.unique(comp)) == len(comp)
+    order = np.lexsort((bits[:, 0], n) if alone else (bits[:, 0], n, comp))
     level = [Node(order[i : i + FANOUT], bits, n, comp) for i in range(0, len(order), FANOUT)]
     while len(level) > 1:
         groups = [level[i : i + FANOUT] for i in range(0, len(level), FANOUT)]
@@ -316,8 +322,8 @@ def tree_pairs(members: DataFrame, pairs: DataFrame, percent: int = PERCENT) ->
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid: str | None = None, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row: rid, doc_id, n_shingles, digest, component (a number), component_id (its smallest doc_id)."""
+def _prepared(docs: DataFrame, doc_id: str, text: str, rid: str | None, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with their sets' digests, classes of equal sets, cells of prefix shingles, and the sets in cells; all written."""
     sets = materialize(shingle_sets(docs, doc_id, text, rid, words, percent), "sets")
     one = sets.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("rest").alias("rest")
@@ -326,22 +332,72 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid:
     cells = materialize(prefixes(classes, percent).withColumn("band", _band(percent=percent)), "cells")
     near = classes.select("cid", "rep", "digest").join(cells.select("cid").distinct(), "cid", "left_semi")
     tokens = materialize(token_sets(docs, doc_id, text, near, words), "tokens")
-    links = materialize(verified(star_pairs(cells, percent), tokens, percent), "links")
-    labels = smallest_labels(links)
-    labelled = cells.join(labels, cells["cid"] == labels["node"], "left").select("token", "band", "cid", "n", F.coalesce("label", "cid").alias("comp"))
+    return sets, classes, cells, tokens
+
+
+def _tree_links(labelled: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between classes of different ``comp`` in the cells, by signature trees."""
     members = open_cells(labelled).join(tokens.select("cid", "signature"), "cid")
     members = materialize(blocks(members), "members")
     pairs = materialize(node_pairs(members, percent), "blocks")
-    more = verified(tree_pairs(members, pairs, percent), tokens, percent)
-    labels = smallest_labels(links.unionByName(more))
+    return verified(tree_pairs(members, pairs, percent), tokens, percent)
+
+
+def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(cid, digest, component, component_id) of every class."""
+    labels = smallest_labels(links)
     named = classes.select("cid", "rep", "digest").join(labels, classes["cid"] == labels["node"], "left").select("cid", "rep", "digest", F.coalesce("label", "cid").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("digest", "component", "component_id")
-    rows = sets.select("rid", "doc_id", "n", "digest").join(named, "digest", "left")
-    return rows.select(
-        "rid", "doc_id", F.col("n").alias("n_shingles"), "digest", "component",
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return named.join(least, "component").select("cid", "digest", "component", "component_id")
+
+
+#: The columns of ``components`` from rows joined with their classes.
+COMPONENT_COLUMNS = [
+    "rid", "doc_id", "n AS n_shingles", "digest", "component", "CASE WHEN n > 0 THEN component_id ELSE doc_id END AS component_id"
+]
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid: str | None = None, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per row: rid, doc_id, n_shingles, digest, component (a number), component_id (its smallest doc_id).
+
+    Pairs that are in one component already are not verified; ``links`` has them all.
+    """
+    sets, classes, cells, tokens = _prepared(docs, doc_id, text, rid, words, percent)
+    links = materialize(verified(star_pairs(cells, percent), tokens, percent), "links")
+    labels = smallest_labels(links)
+    labelled = cells.join(labels, cells["cid"] == labels["node"], "left").select("token", "band", "cid", "n", F.coalesce("label", "cid").alias("comp"))
+    named = _named(classes, links.unionByName(_tree_links(labelled, tokens, percent)))
+    rows = sets.select("rid", "doc_id", "n", "digest").join(named.select("digest", "component", "component_id"), "digest", "left")
+    return rows.selectExpr(*COMPONENT_COLUMNS)
+
+
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid: str | None = None, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and which rows have these sets.
+
+    The first table has (a, b, rep_a, rep_b), a < b: two classes of equal sets that link and the smallest
+    doc_id of each. The second has all rows' rid, doc_id, n, digest and class ``cid``, NULL for rows without words.
+    Every class is a component of its own here, so that no pair is left out.
+    """
+    sets, classes, cells, tokens = _prepared(docs, doc_id, text, rid, words, percent)
+    each = cells.select("token", "band", "cid", "n", F.col("cid").alias("comp"))
+    found = materialize(_tree_links(each, tokens, percent), "links")
+    reps = classes.select("cid", "rep")
+    found = found.join(reps.select(F.col("cid").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("cid").alias("b"), F.col("rep").alias("rep_b")), "b")
+    rows = sets.select("rid", "doc_id", "n", "digest").join(classes.select("digest", "cid"), "digest", "left")
+    return found.select("a", "b", "rep_a", "rep_b"), rows.select("rid", "doc_id", "n", "digest", "cid")
+
+
+def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid: str | None = None, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The columns of ``components`` and n_links: how many other rows a row links with, those of equal sets included."""
+    found, rows = links(docs, doc_id, text, rid, words, percent)
+    found, rows = materialize(found.select("a", "b"), "links"), materialize(rows, "rows")
+    sizes = materialize(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("members")), "sizes")
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes, both["b"] == sizes["cid"]).groupBy("a").agg(F.sum("members").alias("others"))
+    counts = sizes.join(others, sizes["cid"] == others["a"], "left").select("cid", F.expr("members - 1 + coalesce(others, 0) AS n_links"))
+    classes = rows.where("cid IS NOT NULL").groupBy("cid", "digest").agg(F.min("doc_id").alias("rep"))
+    named = _named(classes, found).select("cid", "component", "component_id").join(counts, "cid")
+    return rows.join(named, "cid", "left").selectExpr(*COMPONENT_COLUMNS, "coalesce(n_links, 0L) AS n_links")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

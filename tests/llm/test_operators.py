@@ -177,6 +177,33 @@ def test_jaccard_many_blocks(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(rows)
 
 
+def test_jaccard_links_within_components(spark, monkeypatch):
+    """Every link is found and counted, also between texts that a third one links already."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rng = random.Random(11)
+    rows = [(500, None), (501, ""), (None, "no identifier here"), (502, "no identifier here")]
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for i in range(20):
+            words = list(base)
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(120)] = f"x{rng.randrange(12)}"
+            rows.append((family * 100 + i, " ".join(words)))
+    rows += [rows[10]] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [sets_of(t) for _, t in rows]
+    like = lambda x, y: bool(x) and 100 * len(x & y) >= 90 * len(x | y)
+    rep = {x: min((i for (i, _), y in zip(rows, sets, strict=True) if x == y and i is not None), default=None) for x in set(sets)}
+    want = {frozenset((rep[x], rep[y])) for x in rep for y in rep if x != y and like(x, y)}
+    pairs, _ = jaccard.links(table)
+    found = [frozenset((r["rep_a"], r["rep_b"])) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 60
+    counts = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.link_counts(table).collect())
+    n_links = Counter((i, len(x), sum(like(x, y) for y in sets) - 1 if x else 0) for (i, _), x in zip(rows, sets, strict=True))
+    assert Counter((i, n, k) for i, n, _, k in counts.elements()) == n_links
+    assert Counter((i, n, c) for i, n, c, _ in counts.elements()) == brute_components(rows)
+
+
 def test_jaccard_other_shingles(spark, docs):
     """Five words and 80 percent, against brute force."""
     rng = random.Random(3)
