@@ -2,7 +2,7 @@
 
 A table that several jobs read is written once and read back, which cuts its
 lineage (a lost executor does not undo it), keeps column pruning and gives the
-planner true sizes to decide on broadcasts.
+planner true sizes to decide on broadcasts. ``discard`` deletes a table that nothing reads any more.
 """
 
 from __future__ import annotations
@@ -39,4 +39,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables. Nothing may read them, or tables that depend on them, from then on."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
