@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-#: Modules of the ten operators.
-MODULES = ["quality", "secrets", "decontaminate", "bpe", "jaccard", "sharding", "urls", "backoff", "toxicity", "editing"]
+#: Modules of the operators.
+MODULES = ["quality", "secrets", "decontaminate", "bpe", "jaccard", "sharding", "urls", "backoff", "toxicity", "editing", "merkle", "centroids", "repeats"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
