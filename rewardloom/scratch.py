@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Spark's setting to delete an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 # The folder used where the session names none.
 _WHERE_UNSET: list[str] = []
@@ -36,10 +38,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back. The shuffles that made it go when it is written."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
     return found
 
