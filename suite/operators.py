@@ -43,7 +43,9 @@ from rewardloom.plans.scoring import advantages, score_rollouts
 from rewardloom.plans.training import build_training_tables, dpo_table, sft_table
 from rewardloom.scratch import materialize, scratch_path
 from rewardloom.schemas import FEW_SHOT_SCHEMA
+from rewardloom.operators.evaluation_state import coarser, read_state, state_of, summary_of, write_state
 from rewardloom.sources import arrow_shards
+from rewardloom.sources.copartitioned import load, store, with_ground_truth, with_group_advantage, with_model_outputs
 from rewardloom.sources.results import read_csv, read_json, write_csv, write_json, write_metrics
 from rewardloom.sources.splits import load_sft_table, load_split, load_splits, write_splits
 from rewardloom.streaming.online import write_scores
@@ -695,6 +697,32 @@ def model_outputs_joined(spark, sf_dir):
     )
 
 
+def _stored(df, name: str, **layout):
+    """A table stored by sample, loaded as another session would."""
+    path = scratch_path(df.sparkSession, name)
+    store(df, path, **layout)
+    return load(df.sparkSession, path)
+
+
+@check("ground_truth_joined_stored", ORACLES["ground_truth_joined"])
+def ground_truth_joined_stored(spark, sf_dir):
+    samples = fixtures.questions(spark, sf_dir).select(
+        F.col("row_id").alias("sample_id"), F.col("answer").alias("answers")
+    ).where("sample_id % 6 <> 2")
+    rollouts = _stored(fixtures.rollouts(spark, sf_dir), "rollouts")
+    joined = with_ground_truth(rollouts, _stored(samples, "samples", within=None, like=rollouts), ["answers"])
+    return joined.select("sample_id", "repeat_id", "answers", *digest(F.col("response"), "response"))
+
+
+@check("model_outputs_joined_stored", ORACLES["model_outputs_joined"])
+def model_outputs_joined_stored(spark, sf_dir):
+    rollouts = fixtures.rollouts(spark, sf_dir)
+    columns = ["logit_a", "logit_b"]
+    outputs = rollouts.where(F.col("logit_a").isNotNull()).select("sample_id", "repeat_id", *columns)
+    stored = _stored(rollouts.drop(*columns), "rollouts")
+    return with_model_outputs(stored, _stored(outputs, "outputs", like=stored), columns).select("sample_id", "repeat_id", *columns)
+
+
 # ---------------------------------------------------------------- parsing
 
 
@@ -937,6 +965,25 @@ def summary_by_topic(spark, sf_dir):
     return rounded(summarize(evaluated, by=["topic"], samples=samples))
 
 
+def _merged_runs(spark, sf_dir, by):
+    """States of three runs that share their samples, kept by run and merged; no run is evaluated twice."""
+    path = scratch_path(spark, "states")
+    evaluated = evaluate_responses(fixtures.rollouts(spark, sf_dir), carry=["topic"])
+    for run in range(3):
+        write_state(state_of(evaluated.where(F.col("repeat_id") % 3 == run), ["topic"]), path, f"run-{run}")
+    return rounded(summary_of(coarser(read_state(spark, path, ["topic"]), by)))
+
+
+@check("summary_of_merged_runs", _summary_sql())
+def summary_of_merged_runs(spark, sf_dir):
+    return _merged_runs(spark, sf_dir, [])
+
+
+@check("summary_by_topic_of_merged_runs", _summary_sql("topic"))
+def summary_by_topic_of_merged_runs(spark, sf_dir):
+    return _merged_runs(spark, sf_dir, ["topic"])
+
+
 @check("stored_evaluation", _summary_sql("lang"))
 def stored_evaluation(spark, sf_dir):
     """The written summary, read back."""
@@ -1309,6 +1356,21 @@ def group_advantage_hot_sample(spark, sf_dir):
     return scored.select("sample_id", "repeat_id", F.round("advantage", 4).alias("advantage"))
 
 
+@check("group_advantage_stored", ORACLES["group_advantage"])
+def group_advantage_stored(spark, sf_dir):
+    scores = score_rollouts(fixtures.rollouts(spark, sf_dir), SHIPPED_SPECS, WEIGHTS, keep=["sample_id", "repeat_id"], **rewards.COLUMNS)
+    scored = with_group_advantage(_stored(materialize(scores, "scores"), "scores"))
+    return scored.select("sample_id", "repeat_id", F.round("reward_total", 6).alias("reward_total"), F.round("advantage", 4).alias("advantage"))
+
+
+@check("group_advantage_stored_hot_sample", ORACLES["group_advantage_hot_sample"])
+def group_advantage_stored_hot_sample(spark, sf_dir):
+    """The same where some groups have more rows than a bucket should."""
+    scores = score_rollouts(fixtures.rollouts(spark, sf_dir), SHIPPED_SPECS, WEIGHTS, keep=["sample_id", "repeat_id", "lang"], **rewards.COLUMNS)
+    scored = with_group_advantage(_stored(materialize(scores, "scores"), "scores", key="lang", within="sample_id"))
+    return scored.select("sample_id", "repeat_id", F.round("advantage", 4).alias("advantage"))
+
+
 _TRAINING = _named(TRAINING_SPECS)
 
 
