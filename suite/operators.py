@@ -199,6 +199,28 @@ def scan_arrow_shards(spark, sf_dir):
     return table.select("doc_id", "lang", "source", "n_chars", *digest(F.col("text"), "text"))
 
 
+@check(
+    "scan_arrow_batches",
+    "SELECT doc_id, n_chars, md5(text) AS text_md5, count(*) OVER () AS n_rows, 0::BIGINT AS first_row, count(*) OVER () - 1 AS last_row FROM documents",
+)
+def scan_arrow_batches(spark, sf_dir):
+    """A shard read in many runs of its record batches by a written index, with row numbers without gaps."""
+    path = scratch_path(spark, "arrow")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64")
+    write_arrow_shards(fixtures.table(spark, sf_dir, "documents").repartition(2, "doc_id"), path)
+    spark.conf.set(size, before)
+    arrow_shards.register(spark)
+    index = scratch_path(spark, "index")
+    arrow_shards.write_index(spark, path, index)
+    reader = spark.read.format("arrow_shards").option("row_id", "row_id").option("partition_bytes", str(256 << 10)).option("index", index)
+    rows = materialize(reader.option("columns", "doc_id, text, n_chars").load(path), "batches")
+    ends = rows.agg(F.countDistinct("row_id").alias("n_rows"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+    # One row.
+    return rows.select("doc_id", "n_chars", F.md5("text").alias("text_md5")).crossJoin(F.broadcast(ends))
+
+
 @check(
     "scan_arrow_shards_mixed",
     "SELECT doc_id, n_chars, md5(text) AS text_md5, true AS is_numbered FROM documents WHERE lang = 'en'",

@@ -114,6 +114,74 @@ def test_arrow_shards(spark, tmp_path):
         spark.read.format("arrow_shards").load(str(tmp_path)).count()
 
 
+@pytest.fixture(scope="module")
+def long_shards(tmp_path_factory):
+    """Two shards: one of 40 record batches with compressed bodies, one with dictionaries that change between batches."""
+    folder = tmp_path_factory.mktemp("shards")
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    with pa.OSFile(str(folder / "a.arrow"), "wb") as file:
+        batches = [pa.RecordBatch.from_pydict({"text": pa.array([f"{i} {k} " + "x" * 500 for k in range(i % 7)], pa.string()), "n": pa.array([i] * (i % 7), pa.int64())}) for i in range(40)]
+        with pa.ipc.new_stream(file, batches[0].schema, options=options) as stream:
+            for batch in batches:
+                stream.write_batch(batch)
+    with pa.OSFile(str(folder / "b.arrow"), "wb") as file:
+        words = [["u", "v"], ["u", "v", "w"], ["z"], ["z"]]
+        coded = [pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays([0, len(d) - 1], d), pa.array([100 + i, 100 + i])], ["text", "n"]) for i, d in enumerate(words)]
+        with pa.ipc.new_stream(file, coded[0].schema) as stream:
+            for batch in coded:
+                stream.write_batch(batch)
+    write_state(folder, "a.arrow", "b.arrow")
+    want = [(r["text"], r["n"]) for b in batches for r in b.to_pylist()]
+    return folder, want + [(d[k], 100 + i) for i, d in enumerate(words) for k in (0, -1)]
+
+
+@pytest.mark.parametrize("most", [1, 4_000, 1 << 30])
+def test_runs_of_batches(spark, long_shards, most):
+    """Runs of any size give the rows in order; small ones give many tasks."""
+    folder, want = long_shards
+    arrow_shards.register(spark)
+    schema = "row_id long, text string, n long"
+    df = spark.read.format("arrow_shards").schema(schema).option("row_id", "row_id").option("partition_bytes", str(most)).load(str(folder))
+    rows = df.orderBy("row_id").collect()
+    assert [(r["text"], r["n"]) for r in rows] == want
+    assert [r["row_id"] for r in rows] == list(range(len(want)))
+    tasks = df.rdd.getNumPartitions()
+    assert (tasks == 44) if most == 1 else (5 < tasks < 44) if most == 4_000 else (tasks == 4)
+    narrow = spark.read.format("arrow_shards").schema("n long").option("partition_bytes", str(most)).load(str(folder))
+    assert sorted(r["n"] for r in narrow.collect()) == sorted(n for _, n in want)
+
+
+def test_headers_say_what_readers_read(long_shards):
+    """Rows and places by the headers alone, against the library's reader."""
+    folder, want = long_shards
+    for name in ("a.arrow", "b.arrow"):
+        found = arrow_shards.batches_of(str(folder / name))
+        with pa.OSFile(str(folder / name)) as file, pa.ipc.open_stream(file) as stream:
+            assert [b.rows for b in found if b.kind == arrow_shards.RECORDS] == [b.num_rows for b in stream]
+        assert found[0].kind == arrow_shards.SCHEMA and all(a.end == b.start for a, b in zip(found, found[1:]))
+    assert sum(b.kind == arrow_shards.DICTIONARY for b in arrow_shards.batches_of(str(folder / "b.arrow"))) >= 2
+
+
+def test_written_index(spark, long_shards, tmp_path):
+    folder, want = long_shards
+    index = arrow_shards.write_index(spark, str(folder), str(tmp_path / "index"))
+    assert index.where("kind = 3").agg(F.sum("rows")).first()[0] == len(want)
+    arrow_shards.register(spark)
+    reader = spark.read.format("arrow_shards").schema("row_id long, text string, n long").option("row_id", "row_id").option("partition_bytes", "4000")
+    rows = reader.option("index", str(tmp_path / "index")).load(str(folder)).orderBy("row_id").collect()
+    assert [(r["text"], r["n"]) for r in rows] == want
+
+
+def test_broken_shards(long_shards, tmp_path):
+    content = (long_shards[0] / "a.arrow").read_bytes()
+    (tmp_path / "cut.arrow").write_bytes(content[: len(content) // 2])
+    with pytest.raises(ValueError, match="ends within a message"):
+        arrow_shards.batches_of(str(tmp_path / "cut.arrow"))
+    (tmp_path / "none.arrow").write_bytes(b"")
+    with pytest.raises(ValueError, match="not an Arrow stream"):
+        arrow_shards.batches_of(str(tmp_path / "none.arrow"))
+
+
 class Session:
     """What the choice of the folder depends on."""
 
