@@ -32,8 +32,20 @@ def counted(df: DataFrame, kept: Column, observation: Observation | None) -> Dat
     return df.observe(observation, F.count(F.lit(1)).alias("rows_before"), after)
 
 
+class RowCounts:
+    """Rows before and after a step that isn't a filter on single rows, counted where they enter and where they leave it."""
+
+    def __init__(self, name: str | None = None):
+        self.before, self.after = (Observation(f"{name} {side}" if name else None) for side in ("before", "after"))
+
+    @property
+    def get(self) -> dict[str, int]:
+        """``rows_before`` and ``rows_after``, once the table was used."""
+        return {"rows_before": self.before.get["rows"], "rows_after": self.after.get["rows"]}
+
+
 def keep_first(
-    df: DataFrame, column: str, id_column: str = "row_id", observation: Observation | None = None
+    df: DataFrame, column: str, id_column: str = "row_id", observation: RowCounts | None = None
 ) -> DataFrame:
     """One row per value of ``column``: the one with the lowest id.
 
@@ -43,15 +55,17 @@ def keep_first(
     sends at most one row per value and a value that fills a third of the table
     costs no more than any other. Sorting is led by an 8-byte hash; the long
     value itself is compared only where hashes meet, which keeps the result
-    exact. An ``observation`` counts the rows before and after; it ends the limit's
-    work before the shuffle, so ask for it only where the counts are needed.
+    exact. An ``observation`` counts the rows as they are read and those that are kept; the limit stays between.
     """
+    rows = F.count(F.lit(1)).alias("rows")
+    if observation:
+        df = df.observe(observation.before, rows)
     if column not in df.columns:
-        return counted(df, F.lit(True), observation)
+        return df.observe(observation.after, rows) if observation else df
     same_value = Window.partitionBy(F.xxhash64(column), F.col(column)).orderBy(id_column)
     rank = "_rank_in_duplicates"
-    ranked = df.withColumn(rank, F.row_number().over(same_value))
-    return counted(ranked, F.col(rank) == 1, observation).where(F.col(rank) == 1).drop(rank)
+    kept = df.withColumn(rank, F.row_number().over(same_value)).where(F.col(rank) == 1).drop(rank)
+    return kept.observe(observation.after, rows) if observation else kept
 
 
 def filled(*columns: str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from rewardloom.operators.prepare import keep_first
+from rewardloom.operators.prepare import RowCounts, keep_first
 from rewardloom.operators.prompts import add_prompts
 from rewardloom.operators.sampling import exact_fraction
 from rewardloom.options import Options
@@ -17,7 +17,7 @@ def prepare(
     test: DataFrame,
     options: Options,
     dedup: bool = True,
-    observation: Observation | None = None,
+    observation: RowCounts | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Prompts of both splits.
 

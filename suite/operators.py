@@ -24,7 +24,7 @@ from rewardloom.operators.evaluate import (
 )
 from rewardloom.operators.few_shot import few_shot_prompts, sample_examples
 from rewardloom.operators.hooks import score_texts
-from rewardloom.operators.prepare import keep_filled, keep_first, without_topic
+from rewardloom.operators.prepare import RowCounts, keep_filled, keep_first, without_topic
 from rewardloom.operators.prompts import add_prompts, example_line, few_shot_prompt, last_content
 from rewardloom.operators.responses import ChatTemplate, equal_pairs, preference_pairs, tagged_response
 from rewardloom.operators.rollouts import (
@@ -34,7 +34,7 @@ from rewardloom.operators.rollouts import (
     option_probabilities,
 )
 from rewardloom.operators.sampling import exact_fraction
-from rewardloom.operators.scoring import score
+from rewardloom.operators.scoring import check_formats, score
 from rewardloom.operators.advantage import group_advantage, reward_report
 from rewardloom.options import DatasetOptions, Options, TwoStageColumns, merge
 from rewardloom.plans.evaluation import evaluate_and_store
@@ -1214,6 +1214,46 @@ def rows_without_topic(spark, sf_dir):
 _COUNTS = "SELECT '{step}' AS step, count(*) AS rows_before, count(*) FILTER (WHERE {kept}) AS rows_after FROM {rows}"
 
 
+_FORMATS = ["hard_format", "modular_step_format", "multistep_format", "multistep_xml_format", "soft_format", "three_step_format", "two_stage_format", "xml_format"]
+
+
+@check(
+    "format_pairs",
+    f"""WITH n AS (SELECT unnest({_FORMATS}) AS name), f AS (SELECT name, CASE WHEN name IN ('hard_format', 'soft_format', 'xml_format') THEN 'plain'
+        WHEN name IN ('three_step_format', 'modular_step_format') THEN 'modular' WHEN name = 'two_stage_format' THEN 'staged' ELSE 'multistep' END AS family FROM n),
+    w AS (SELECT a.name AS first_format, b.name AS second_format, NOT (
+        (a.family = 'modular') <> (b.family = 'modular') AND (a.family IN ('plain', 'multistep') OR b.family IN ('plain', 'multistep'))
+        OR a.family = 'modular' AND b.family = 'modular'
+        OR (a.family = 'staged') <> (b.family = 'staged')  AND (a.family IN ('plain', 'multistep', 'modular') OR b.family IN ('plain', 'multistep', 'modular'))) AS accepted
+        FROM f a JOIN f b ON a.name < b.name),
+    l AS (SELECT lang, list_sort(list(DISTINCT {_FORMATS}[1 + doc_id % 8])) AS used FROM documents GROUP BY lang, doc_id % 5)
+    SELECT first_format, second_format, accepted, count(*) FILTER (WHERE list_contains(used, first_format) AND list_contains(used, second_format)) AS configured
+    FROM w CROSS JOIN l GROUP BY ALL""",
+)
+def format_pairs(spark, sf_dir):
+    """Which pairs of format rewards may be used together, and how many configurations (here: of documents' groups) have both."""
+    from itertools import combinations
+
+    def accepted(pair):
+        try:
+            check_formats(pair)
+        except ValueError:
+            return False
+        return True
+
+    pairs = [(a, b, accepted([a, b])) for a, b in combinations(_FORMATS, 2)]
+    judged = spark.createDataFrame(pairs, "first_format string, second_format string, accepted boolean")
+    names = F.array(*map(F.lit, _FORMATS))
+    used = fixtures.table(spark, sf_dir, "documents").groupBy("lang", (F.col("doc_id") % 5).alias("part")).agg(
+        F.collect_set(F.get(names, (F.col("doc_id") % 8).cast("int"))).alias("used")
+    )
+    # A pair of eight names for each configuration that has both.
+    both = used.select(F.explode("used").alias("first_format"), "used").select("first_format", F.explode("used").alias("second_format"))
+    counts = both.groupBy("first_format", "second_format").agg(F.count("*").alias("n"))
+    joined = judged.join(counts, ["first_format", "second_format"], "left")
+    return joined.select("first_format", "second_format", "accepted", F.coalesce("n", F.lit(0).cast("long")).alias("configured"))
+
+
 @check(
     "rows_before_and_after",
     sql.questions(
@@ -1236,7 +1276,7 @@ def rows_before_and_after(spark, sf_dir):
     tables["pairs"] = lambda o: dpo_table(train, options, observation=o)
     rows = []
     for step, build in tables.items():
-        observation = Observation(step)
+        observation = RowCounts(step) if step == "dedup" else Observation(step)
         build(observation).write.format("noop").mode("overwrite").save()
         rows.append((step, observation.get["rows_before"], observation.get["rows_after"]))
     return spark.createDataFrame(rows, "step string, rows_before long, rows_after long")

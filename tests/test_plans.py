@@ -2,11 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from rewardloom.operators.evaluate import evaluate_responses, summarize
 from rewardloom.operators.few_shot import sample_examples
-from rewardloom.operators.prepare import keep_first
+from rewardloom.operators.prepare import RowCounts, keep_first
 from rewardloom.operators.prompts import add_prompts
 from rewardloom.operators.responses import ChatTemplate, preference_pairs, training_texts
 from rewardloom.operators.sampling import exact_fraction
@@ -51,9 +52,15 @@ def test_training_tables_are_row_wise(spark, sf_dir, plan):
         assert not re.search("Exchange|Python", plan(table))
 
 
-def test_dedup_limits_before_the_shuffle(spark, sf_dir, plan):
+@pytest.mark.parametrize("observed", [False, True])
+def test_dedup_limits_before_the_shuffle(spark, sf_dir, plan, observed):
     documents = fixtures.table(spark, sf_dir, "documents")
-    text = plan(keep_first(documents, "text", "doc_id"))
+    counts = RowCounts() if observed else None
+    first = keep_first(documents, "text", "doc_id", counts)
+    text = plan(first)
+    if observed:
+        first.write.format("noop").mode("overwrite").save()
+        assert counts.get == {"rows_before": documents.count(), "rows_after": documents.select("text").distinct().count()}
     assert text.count("Exchange") == 1
     partial, final = text.index("row_number(), 1, Partial"), text.index("row_number(), 1, Final")
     assert final < text.index("Exchange") < partial
