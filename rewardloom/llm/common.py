@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.scratch import materialize
+from rewardloom.scratch import discard, materialize
 
 #: White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -45,20 +45,22 @@ def smallest_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written, so that the rows of a hub are split in the join.
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # The node itself also hangs under its smallest neighbour.
         large = large.unionByName(low.where("a <> m").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         large = materialize(large, "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        discard(edges, low)
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after = materialize(small, "edges")
+        edges = materialize(small, "edges")
+        discard(large, low)
         # Done when every node hangs under a root directly: no node is above and below an edge.
-        if after.select("a").join(after.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-            deep = after.groupBy("a").count().where("count > 1").isEmpty()
+        if edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+            deep = edges.groupBy("a").count().where("count > 1").isEmpty()
             if deep:
-                roots = after.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-                return after.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
-        edges = after
+                roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+                return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
     raise RuntimeError(f"components not settled after {rounds} rounds")

@@ -7,19 +7,20 @@ words is ``percent`` or more (three words and 90 unless the caller names others)
 2. Linked sets share a shingle of their prefixes: the first n - ceil(n percent / 100) + 1
    shingles in a global order. The order puts a fifth of all hashes first, rare ones
    before frequent ones, so a prefix is mostly shingles of no other document, which are dropped at once.
-3. Each (shingle, size band) cell verifies its classes against one centre, and verified
+3. Each (shingle, size band) cell verifies its classes against one centre, the class with most copies, and verified
    links are merged to components. A family of near copies is settled here with one check per member.
-4. Cells that still hold several components go through signature trees. A node has
-   the OR of its members' token bitmaps, their range of sizes and their components. Blocks
-   of a cell are the tree's upper nodes and are paired by a join that drops pairs by
-   size, by maximum possible overlap, or because both are one component; the surviving blocks' trees
-   are traversed pairwise in the same way down to pairs of classes.
-5. These pairs are verified by exact intersection, and components are merged once more.
+4. Cells that still hold several components go through signature trees. A cell's classes are dealt to blocks of a bounded number
+   of classes and shingles, and blocks are paired unless their sizes or a common component rule links out. A task gets a pair of blocks with their
+   texts, numbers the shingles that two of its classes share, and so has bitmaps that are exact, however large the sets. A tree's node has the OR of its members'
+   bitmaps, their range of sizes and their components; two trees are traversed together, and pairs of nodes are dropped by
+   size, by maximum possible overlap, or because all is one component.
+5. At the leaves the bitmaps give the intersection itself, so pairs are verified where they are found and merged there: a task returns
+   at most one link per class, never its candidates. Components are merged once more.
 
 Blocks hold a bounded number of classes, so no group meets in one task.
 
 ``components`` and ``one_of_each`` verify no pair that is in one component already. ``links`` returns every
-link between different sets with the rows of each set: steps 3 and the pruning by component in 4 are left out. ``link_counts``
+link between different sets with the rows of each set: steps 3 and the pruning by component in 4 and 5 are left out. ``link_counts``
 adds their number per row.
 
 Words are runs without white space, A-Z lower-cased; a text of fewer words than a shingle
@@ -34,29 +35,31 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rewardloom.llm.common import WORDS_SQL, smallest_labels, table
-from rewardloom.scratch import materialize
+from rewardloom.scratch import discard, materialize
 
 #: Words of a shingle and the similarity in percent, where the caller names no others.
 WORDS, PERCENT = 3, 90
 #: One in so many hashes comes first in the order of shingles.
 FIRST = 5
-#: Bits of a signature, in 64-bit parts; classes per block of a cell; children per tree node.
-PARTS, BLOCK, FANOUT = 16, 512, 8
+#: Most classes and shingles of a block, about; classes of a leaf; children of a tree's node.
+BLOCK, BLOCK_SHINGLES, LEAF, FANOUT = 512, 1_000_000, 16, 8
 #: Rows of blocks that a task traverses.
-ROWS_PER_TASK = 10_000
+ROWS_PER_TASK = 2_000
 
 
-def hashes_of(text: str | None, size: int = WORDS):
-    """Sorted distinct 64-bit hashes of a text's shingles of ``size`` words."""
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def hashes_of(words: list[bytes], size: int = WORDS):
+    """Sorted distinct 64-bit hashes of the shingles of ``size`` words."""
     import numpy as np
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < size:
@@ -79,19 +82,11 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def signature_of(hashes) -> bytes:
-    import numpy as np
-
-    bits = np.zeros(PARTS * 64, np.uint8)
-    bits[(hashes >> np.uint64(17)) % np.uint64(PARTS * 64)] = 1
-    return np.packbits(bits).tobytes()
-
-
 SETS = "n long, digest binary, first array<long>, rest array<long>"
 
 
-def shingle_sets(docs: DataFrame, doc_id: str, text: str, rid: str | None = None, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row: rid, doc_id, the set's size and digest, and the prefix's possible shingles."""
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, a hash of the text, the set's size and digest, and the prefix's possible shingles."""
 
     def run(batches):
         import numpy as np
@@ -101,7 +96,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, rid: str | None = None
         for batch in batches:
             out = []
             for t in batch.column(2).to_pylist():
-                x = hashes_of(t, words)
+                x = hashes_of(words_of(t), words)
                 n = len(x)
                 early = x % np.uint64(FIRST) == 0
                 first, need = x[early], prefix_length(n, percent) if n else 0
@@ -110,53 +105,71 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, rid: str | None = None
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             arrays = [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]]
-            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "n", "digest", "first", "rest"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_hash", "n", "digest", "first", "rest"])
 
-    rows = docs.select(
-        (F.col(rid) if rid else F.lit(None)).cast("long").alias("rid"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
-    )
-    return rows.mapInArrow(run, f"rid long, doc_id long, {SETS}")
+    rows = docs.select(*_row_key(doc_id, text), F.col(f"`{text}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, row_hash long, {SETS}")
+
+
+def _row_key(doc_id: str, text: str):
+    """What tells rows apart: identifier and text."""
+    return F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("row_hash")
 
 
-def token_sets(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, words: int = WORDS) -> DataFrame:
-    """(cid, tokens, signature) of ``classes`` (cid, rep, digest), from the texts of their smallest doc_ids."""
+def near_texts(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, words: int = WORDS) -> DataFrame:
+    """(cid, n, words) of ``classes`` (cid, n, rep, digest): the words of their smallest doc_id's text, joined by blanks and compressed.
+
+    Compressed words take a third of the bytes of their hashes, and these are made again where they are compared.
+    """
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            sets = [hashes_of(t, words) for t in batch.column(0).to_pylist()]
-            longs = pa.list_(pa.int64())
-            arrays = [
-                pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
-                pa.array([x.view(np.int64) for x in sets], longs),
-                pa.array([np.frombuffer(signature_of(x), np.int64) for x in sets], longs),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["digest", "tokens", "signature"])
+            cids, sizes, blobs = [], [], []
+            for cid, n, digest, t in zip(*[batch.column(c).to_pylist() for c in ("cid", "n", "digest", "text")], strict=True):
+                found = words_of(t)
+                # Rows of one identifier may have different texts.
+                if xxhash.xxh3_128_digest(hashes_of(found, words).tobytes()) == digest:
+                    cids.append(cid)
+                    sizes.append(n)
+                    blobs.append(packed(found))
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["cid", "n", "words"])
 
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text"))
-    wanted = texts.alias("t").join(classes.select("rep").distinct().alias("c"), F.expr("t.rep <=> c.rep"), "left_semi")
-    found = wanted.select("text").mapInArrow(run, "digest binary, tokens array<long>, signature array<long>")
-    return found.join(classes.select("cid", "digest"), "digest").select("cid", "tokens", "signature").dropDuplicates(["cid"])
+    wanted = texts.alias("t").join(classes.alias("c"), F.expr("t.rep <=> c.rep")).select("c.cid", "c.n", "c.digest", "t.text")
+    return wanted.mapInArrow(run, "cid long, n long, words binary")
+
+
+def packed(words: list[bytes]) -> bytes:
+    import pyarrow as pa
+
+    joined = b" ".join(words)
+    return len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> list[bytes]:
+    import pyarrow as pa
+
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True).split()
 
 
 def prefixes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(cid, n, token): the shingles of each class's prefix that another class has in its own."""
+    """(cid, n, copies, token): the shingles of each class's prefix that another class has in its own."""
     length = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
     # Only what the joins on shingles need is shuffled with them.
     rows = classes.select("cid", F.explode(F.concat(F.transform("first", lambda x: F.struct(x.alias("token"), F.lit(False).alias("late"))), F.transform("rest", lambda x: F.struct(x.alias("token"), F.lit(True).alias("late"))))).alias("x"))
     rows = rows.select("cid", "x.token", "x.late")
     common = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    hits = rows.join(common, "token").join(classes.select("cid", "n", F.size("first").alias("ns"), length.alias("p")), "cid")
+    hits = rows.join(common, "token").join(classes.select("cid", "n", "copies", F.size("first").alias("ns"), length.alias("p")), "cid")
     ranked = hits.selectExpr(
         "*",
         "ns - count_if(NOT late) OVER (PARTITION BY cid) AS alone",
         "row_number() OVER (PARTITION BY cid ORDER BY late, df, token) AS place",
     )
     # Shingles of no other class come before all these.
-    found = ranked.where("late OR ns < p OR place <= p - alone").select("cid", "n", "token")
+    found = ranked.where("late OR ns < p OR place <= p - alone").select("cid", "n", "copies", "token")
     shared = found.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
     return found.join(shared, "token")
 
@@ -166,19 +179,39 @@ def _band(n: str = "n", percent: int = PERCENT):
     return F.floor(F.log(F.col(n).cast("double")) / F.lit(-math.log(percent / 100)) + F.lit(1e-9)).cast("int")
 
 
-def verified(pairs: DataFrame, tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection."""
-    left = tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both")).where(
-        f"100 * both >= {percent} * (na + nb - both)"
-    ).select("a", "b")
+def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that link, by exact intersection. Texts are joined, so a frequent class is split like any skewed join."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last, right = None, None
+        for batch in batches:
+            found = []
+            for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "wa", "wb")], strict=True):
+                if b != last:
+                    last, right = b, hashes_of(unpacked(y), words)
+                left = hashes_of(unpacked(x), words)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                if 100 * both >= percent * (len(left) + len(right) - both):
+                    found.append((a, b))
+            columns = list(zip(*found, strict=True)) if found else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    left = texts.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
+    right = texts.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long").distinct()
 
 
 def star_pairs(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Every class of a (token, band) with the band's centre, and centres of neighbouring bands: pairs grow with the rows."""
-    centres = cells.groupBy("token", "band").agg(F.min(F.struct("n", "cid")).alias("c"))
+    """Every class of a (token, band) with the band's centre, and centres of neighbouring bands: pairs grow with the rows.
+
+    The centre has most copies: near copies are mostly made from a text that is copied as it is too.
+    """
+    most = F.max(F.struct("copies", (-F.col("n")).alias("less"), (-F.col("cid")).alias("first")))
+    centres = cells.groupBy("token", "band").agg(most.alias("c")).select("token", "band", F.struct((-F.col("c.less")).alias("n"), (-F.col("c.first")).alias("cid")).alias("c"))
+    centres = materialize(centres, "centres")
     own = cells.join(centres, ["token", "band"]).select(F.col("cid").alias("a"), F.col("c.cid").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"))
     up = centres.select("token", (F.col("band") + 1).alias("band"), F.col("c").alias("d"))
     across = centres.join(up, ["token", "band"]).select(F.col("c.cid").alias("a"), F.col("d.cid").alias("b"), F.col("c.n").alias("na"), F.col("d.n").alias("nb"))
@@ -193,61 +226,68 @@ def open_cells(cells: DataFrame) -> DataFrame:
         F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members"),
         F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(cid, 1))").alias("x"),
     ).where("c0 <> c1")
-    once = summary.groupBy("members", "s", "x").agg(F.min(F.struct("token", "cell")).alias("k")).select(
-        "k.token", "k.cell", F.xxhash64("k.token", "k.cell").alias("hash")
-    )
-    return wide.join(once, ["token", "cell"]).select(F.struct("token", "cell").alias("cell"), "cid", "comp", "n")
+    once = summary.groupBy("members", "s", "x").agg(F.min(F.struct("token", "cell")).alias("k")).select("k.token", "k.cell")
+    # Written, so that a large cell's rows are split in the join.
+    return wide.join(materialize(once, "open"), ["token", "cell"]).select(F.struct("token", "cell").alias("cell"), "cid", "comp", "n")
 
 
 def blocks(members: DataFrame) -> DataFrame:
     """``members`` with their block: large components have blocks of their own, the others share some."""
-    sizes = members.groupBy("cell", "comp").agg(F.count("*").alias("k"))
-    sizes = sizes.withColumn("own", F.when(F.col("k") >= BLOCK, F.col("comp")).otherwise(-1))
-    shares = sizes.groupBy("cell", "own").agg(F.expr(f"(sum(k) + {BLOCK} - 1) div {BLOCK}").alias("shares"))
-    found = members.join(sizes.select("cell", "comp", "own"), ["cell", "comp"])
-    found = found.join(shares, ["cell", "own"])
-    return found.select("cell", "cid", "comp", "n", "signature", F.struct("own", F.expr("pmod(xxhash64(cid), shares)").alias("i")).alias("block"))
+    sizes = members.groupBy("cell", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
+    sizes = sizes.withColumn("own", F.when((F.col("k") >= BLOCK) | (F.col("shingles") >= BLOCK_SHINGLES), F.col("comp")).otherwise(-1))
+    shares = sizes.groupBy("cell", "own").agg(F.expr(f"greatest((sum(k) + {BLOCK - 1}) div {BLOCK}, (sum(shingles) + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})").alias("shares"))
+    dealt = materialize(sizes.join(shares, ["cell", "own"]).select("cell", "comp", "own", "shares"), "shares")
+    block = F.struct("own", F.expr("pmod(xxhash64(cid), shares)").alias("i"))
+    return members.join(dealt, ["cell", "comp"]).select("cell", "cid", "comp", "n", block.alias("block"))
 
 
 def node_pairs(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(cell, one, two): pairs of blocks that may hold a link between components."""
-    part = lambda i: F.expr(f"bit_or(signature[{i}])").alias(f"s{i}")
-    nodes = members.groupBy("cell", "block").agg(
-        F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-        F.max(F.expr(f"n - {' - '.join(f'bit_count(signature[{i}])' for i in range(PARTS))}")).alias("slack"), *[part(i) for i in range(PARTS)],
-    )
+    """(cell, one, two): pairs of blocks whose sizes and components allow a link between components."""
+    nodes = members.groupBy("cell", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     one, two = nodes.alias("p"), nodes.alias("q")
-    # Two shingles may share a bit: slack is how many more there are than bits.
-    overlap = " + ".join(f"bit_count(p.s{i} & q.s{i})" for i in range(PARTS)) + " + least(p.slack, q.slack)"
     return one.join(two, F.expr("p.cell = q.cell AND p.block <= q.block")).where(
         f"NOT (p.c0 = q.c1 AND p.c1 = q.c0 AND p.c0 = p.c1) AND 100 * p.n1 >= {percent} * q.n0 AND 100 * q.n1 >= {percent} * p.n0"
-        f" AND {100 + percent} * ({overlap}) >= {percent} * (p.n0 + q.n0)"
     ).selectExpr("p.cell", "p.block AS one", "q.block AS two")
 
 
+def bitmaps(sets):
+    """Exact bitmaps of sets of hashes, one bit for each hash that at least two of them have."""
+    import numpy as np
+
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[inverse]
+    width = int(shared.sum()) // 64 + 1
+    bits = np.zeros((len(sets), width), np.uint64)
+    at = place[inverse[keep]]
+    np.bitwise_or.at(bits, (owner[keep], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return bits
+
+
 class Node:
     """A node of a signature tree over rows ``at`` of a block's arrays."""
 
-    __slots__ = ("at", "bits", "children", "comps", "high", "low", "slack")
+    __slots__ = ("at", "bits", "children", "comps", "high", "low")
 
     def __init__(self, at, bits, n, comp, children=()):
         import numpy as np
 
         self.at, self.children = at, children
-        self.bits = np.bitwise_or.reduce(bits[at])
+        self.bits = np.bitwise_or.reduce([c.bits for c in children]) if children else np.bitwise_or.reduce(bits[at])
         self.low, self.high = int(n[at].min()), int(n[at].max())
-        self.slack = int((n[at] - np.bitwise_count(bits[at]).sum(axis=1)).max())
         self.comps = int(comp[at].min()), int(comp[at].max())
 
 
-def tree(bits, n, comp) -> Node:
-    """A tree over classes in order of component, size and signature, so that near ones share nodes."""
+def tree(at, bits, n, comp) -> Node:
+    """A tree over the rows ``at`` in order of component, size and bitmap, so that near ones share nodes."""
     import numpy as np
 
     # Where every class is a component of its own, these say nothing of nearness.
-    alone = len(np.unique(comp)) == len(comp)
-    order = np.lexsort((bits[:, 0], n) if alone else (bits[:, 0], n, comp))
-    level = [Node(order[i : i + FANOUT], bits, n, comp) for i in range(0, len(order), FANOUT)]
+    alone = len(np.unique(comp[at])) == len(at)
+    order = at[np.lexsort((bits[at, 0], n[at]) if alone else (bits[at, 0], n[at], comp[at]))]
+    level = [Node(order[i : i + LEAF], bits, n, comp) for i in range(0, len(order), LEAF)]
     while len(level) > 1:
         groups = [level[i : i + FANOUT] for i in range(0, len(level), FANOUT)]
         level = [Node(np.concatenate([c.at for c in g]), bits, n, comp, g) for g in groups]
@@ -262,15 +302,30 @@ def may_link(one: Node, two: Node, percent: int = PERCENT) -> bool:
         return False
     if 100 * one.high < percent * two.low or 100 * two.high < percent * one.low:
         return False
-    overlap = int(np.bitwise_count(one.bits & two.bits).sum()) + min(one.slack, two.slack)
+    overlap = int(np.bitwise_count(one.bits & two.bits).sum())
     return (100 + percent) * overlap >= percent * (one.low + two.low)
 
 
-def traversed(one: Node, two: Node, left, right, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs of rows of two blocks (bits, n, comp) that may link, by dual traversal."""
+class Merged:
+    """Components of a task's classes, merged as links are found."""
+
+    def __init__(self, comp):
+        import numpy as np
+
+        self.label = np.unique(comp, return_inverse=True)[1]
+
+    def add(self, a: int, b: int) -> bool:
+        x, y = self.label[a], self.label[b]
+        if x != y:
+            self.label[self.label == y] = x
+        return x != y
+
+
+def traversed(one: Node, two: Node, bits, n, comp, percent: int = PERCENT, every: bool = False) -> list[tuple[int, int]]:
+    """Pairs of rows that link, by dual traversal: one for each merging of two components, or every one between different components."""
     import numpy as np
 
-    found, queue = [], [(one, two)]
+    merged, found, queue = Merged(comp), [], [(one, two)]
     while queue:
         p, q = queue.pop()
         if not may_link(p, q, percent):
@@ -284,112 +339,137 @@ def traversed(one: Node, two: Node, left, right, percent: int = PERCENT) -> list
             else:
                 queue += [(p, c) for c in q.children]
             continue
-        (xb, xn, xc), (yb, yn, yc) = ((a[p.at] for a in left), (a[q.at] for a in right))
-        extra = xn[:, None] - np.bitwise_count(xb[:, None, :] & ~yb[None, :, :]).sum(axis=2)
-        lacking = yn[None, :] - np.bitwise_count(yb[None, :, :] & ~xb[:, None, :]).sum(axis=2)
-        both = np.minimum(extra, lacking)
-        good = ((100 + percent) * both >= percent * (xn[:, None] + yn[None, :])) & (xc[:, None] != yc[None, :])
-        found += [(int(p.at[i]), int(q.at[j])) for i, j in zip(*np.nonzero(good), strict=True)]
+        labels = comp if every else merged.label
+        apart = labels[p.at][:, None] != labels[q.at][None, :]
+        if p is q:
+            apart = np.triu(apart, 1)
+        if not apart.any():
+            continue
+        both = np.bitwise_count(bits[p.at][:, None, :] & bits[q.at][None, :, :]).sum(axis=2, dtype=np.int64)
+        good = ((100 + percent) * both >= percent * (n[p.at][:, None] + n[q.at][None, :])) & apart
+        for i, j in zip(*np.nonzero(good), strict=True):
+            a, b = int(p.at[i]), int(q.at[j])
+            if every or merged.add(a, b):
+                found.append((a, b))
     return found
 
 
-def tree_pairs(members: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): classes of different components that the trees can't tell apart."""
+def tree_links(members: DataFrame, pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, every: bool = False) -> DataFrame:
+    """(a, b): links between classes of different components; as many as merge them within a task, or every one."""
 
     def run(rows):
         import numpy as np
-        import pandas as pd
-
-        sides = []
-        for side in (1, 2):
-            part = rows[(rows["side"] == side) | (rows["side"] == 0)]
-            bits = np.array(part["signature"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(part), PARTS)
-            sides.append((part["cid"].to_numpy(), bits, part["n"].to_numpy(), part["comp"].to_numpy()))
-        (a, *left), (b, *right) = sides
-        one = tree(*left)
-        two = one if (rows["side"] == 0).all() else tree(*right)
-        found = traversed(one, two, left, right, percent)
-        return pd.DataFrame({"a": [int(a[i]) for i, _ in found], "b": [int(b[j]) for _, j in found]}, dtype="int64")
+        import pyarrow as pa
+
+        task, side, cid, comp = (rows.column(c).to_numpy() for c in ("task", "side", "cid", "comp"))
+        blobs, found = rows.column("words"), []
+        order = np.lexsort((side, task))
+        edges = np.flatnonzero(np.diff(task[order], prepend=task[order][0] - 1, append=task[order][-1] + 1))
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            at = order[i:j]
+            # A text may come twice where rows repeat.
+            at = at[np.unique(cid[at], return_index=True)[1]]
+            if len(at) < 2:
+                continue
+            sets = [hashes_of(unpacked(blobs[int(k)].as_py()), words) for k in at]
+            bits, n = bitmaps(sets), np.array([len(x) for x in sets])
+            left, right = np.flatnonzero(side[at] < 2), np.flatnonzero(side[at] > 1)
+            one = tree(left, bits, n, comp[at])
+            two = tree(right, bits, n, comp[at]) if len(right) else one
+            found += [(int(cid[at[a]]), int(cid[at[b]])) for a, b in traversed(one, two, bits, n, comp[at], percent, every)]
+        columns = list(zip(*found, strict=True)) if found else [[], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
     own = pairs.where("one = two").select("cell", "one", "two", F.col("one").alias("block"), F.lit(0).alias("side"))
     first = pairs.where("one <> two").select("cell", "one", "two", F.col("one").alias("block"), F.lit(1).alias("side"))
     second = pairs.where("one <> two").select("cell", "one", "two", F.col("two").alias("block"), F.lit(2).alias("side"))
     asked = reduce(DataFrame.unionByName, (own, first, second)).withColumn("task", F.xxhash64("cell", "one", "two"))
-    rows = asked.select("task", "side", "cell", "block").join(members, ["cell", "block"]).select("task", "side", "cid", "comp", "n", "signature")
-    # Traversal takes long for the bytes it reads: the number of tasks follows the rows.
-    rows = rows.repartition(max(1, -(-rows.count() // ROWS_PER_TASK)), "task")
-    found = rows.groupBy("task").applyInPandas(run, "a long, b long")
+    rows = materialize(asked.select("task", "side", "cell", "block").join(members, ["cell", "block"]).select("task", "side", "cid", "comp"), "asked")
+    # Many small pairs of blocks share a task; a pair of full ones has about one of its own.
+    n_tasks = max(1, -(-rows.count() // ROWS_PER_TASK))
+    rows = rows.join(texts.select("cid", "words"), "cid").withColumn("bundle", F.pmod("task", F.lit(n_tasks)))
+    found = rows.repartition(n_tasks, "bundle").groupBy("bundle").applyInArrow(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _prepared(docs: DataFrame, doc_id: str, text: str, rid: str | None, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows with their sets' digests, classes of equal sets, cells of prefix shingles, and the sets in cells; all written."""
-    sets = materialize(shingle_sets(docs, doc_id, text, rid, words, percent), "sets")
-    one = sets.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("rest").alias("rest")
-    )
-    classes = materialize(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    cells = materialize(prefixes(classes, percent).withColumn("band", _band(percent=percent)), "cells")
-    near = classes.select("cid", "rep", "digest").join(cells.select("cid").distinct(), "cid", "left_semi")
-    tokens = materialize(token_sets(docs, doc_id, text, near, words), "tokens")
-    return sets, classes, cells, tokens
+class Prepared:
+    """Written tables of a join: rows with their sets' digests, classes of equal sets, cells of prefix shingles, texts of the classes in cells."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, words: int, percent: int):
+        self.words, self.percent = words, percent
+        wide = materialize(shingle_sets(docs, doc_id, text, words, percent), "sets")
+        one = wide.where("n > 0").groupBy("digest").agg(
+            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("rest").alias("rest")
+        )
+        full = materialize(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        self.sets = materialize(wide.select("doc_id", "row_hash", "n", "digest"), "rows")
+        discard(wide)
+        self.cells = materialize(prefixes(full, percent).withColumn("band", _band(percent=percent)), "cells")
+        self.classes = materialize(full.select("cid", "rep", "n", "digest"), "classes")
+        discard(full)
+        near = self.classes.join(self.cells.select("cid").distinct(), "cid", "left_semi")
+        self.texts = materialize(near_texts(docs, doc_id, text, near, words), "texts")
 
+    def star_links(self) -> DataFrame:
+        return materialize(verified(star_pairs(self.cells, self.percent), self.texts, self.words, self.percent), "links")
 
-def _tree_links(labelled: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between classes of different ``comp`` in the cells, by signature trees."""
-    members = open_cells(labelled).join(tokens.select("cid", "signature"), "cid")
-    members = materialize(blocks(members), "members")
-    pairs = materialize(node_pairs(members, percent), "blocks")
-    return verified(tree_pairs(members, pairs, percent), tokens, percent)
+    def tree_links(self, labelled: DataFrame, every: bool = False) -> DataFrame:
+        """Links between classes of different ``comp`` in the cells, by signature trees; written."""
+        members = materialize(blocks(materialize(open_cells(labelled), "members")), "members")
+        pairs = materialize(node_pairs(members, self.percent), "blocks")
+        return materialize(tree_links(members, pairs, self.texts, self.words, self.percent, every), "links")
 
 
 def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(cid, digest, component, component_id) of every class."""
     labels = smallest_labels(links)
     named = classes.select("cid", "rep", "digest").join(labels, classes["cid"] == labels["node"], "left").select("cid", "rep", "digest", F.coalesce("label", "cid").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = materialize(named, "named")
+    least = materialize(named.groupBy("component").agg(F.min("rep").alias("component_id")), "names")
     return named.join(least, "component").select("cid", "digest", "component", "component_id")
 
 
 #: The columns of ``components`` from rows joined with their classes.
 COMPONENT_COLUMNS = [
-    "rid", "doc_id", "n AS n_shingles", "digest", "component", "CASE WHEN n > 0 THEN component_id ELSE doc_id END AS component_id"
+    "doc_id", "row_hash", "n AS n_shingles", "digest", "component", "CASE WHEN n > 0 THEN component_id ELSE doc_id END AS component_id"
 ]
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid: str | None = None, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row: rid, doc_id, n_shingles, digest, component (a number), component_id (its smallest doc_id).
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, row_hash, n_shingles, digest, component (a number), component_id (its smallest doc_id).
 
     Pairs that are in one component already are not verified; ``links`` has them all.
     """
-    sets, classes, cells, tokens = _prepared(docs, doc_id, text, rid, words, percent)
-    links = materialize(verified(star_pairs(cells, percent), tokens, percent), "links")
+    made = Prepared(docs, doc_id, text, words, percent)
+    links = made.star_links()
     labels = smallest_labels(links)
+    cells = made.cells
     labelled = cells.join(labels, cells["cid"] == labels["node"], "left").select("token", "band", "cid", "n", F.coalesce("label", "cid").alias("comp"))
-    named = _named(classes, links.unionByName(_tree_links(labelled, tokens, percent)))
-    rows = sets.select("rid", "doc_id", "n", "digest").join(named.select("digest", "component", "component_id"), "digest", "left")
-    return rows.selectExpr(*COMPONENT_COLUMNS)
+    more = made.tree_links(labelled)
+    discard(made.texts, made.cells)
+    named = materialize(_named(made.classes, links.unionByName(more)).select("digest", "component", "component_id"), "named")
+    return made.sets.join(named, "digest", "left").selectExpr(*COMPONENT_COLUMNS)
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid: str | None = None, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Every link between different sets, and which rows have these sets.
 
     The first table has (a, b, rep_a, rep_b), a < b: two classes of equal sets that link and the smallest
-    doc_id of each. The second has all rows' rid, doc_id, n, digest and class ``cid``, NULL for rows without words.
+    doc_id of each. The second has all rows' doc_id, row_hash, n, digest and class ``cid``, NULL for rows without words.
     Every class is a component of its own here, so that no pair is left out.
     """
-    sets, classes, cells, tokens = _prepared(docs, doc_id, text, rid, words, percent)
-    each = cells.select("token", "band", "cid", "n", F.col("cid").alias("comp"))
-    found = materialize(_tree_links(each, tokens, percent), "links")
-    reps = classes.select("cid", "rep")
+    made = Prepared(docs, doc_id, text, words, percent)
+    each = made.cells.select("token", "band", "cid", "n", F.col("cid").alias("comp"))
+    found = made.tree_links(each, every=True)
+    reps = made.classes.select("cid", "rep")
     found = found.join(reps.select(F.col("cid").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("cid").alias("b"), F.col("rep").alias("rep_b")), "b")
-    rows = sets.select("rid", "doc_id", "n", "digest").join(classes.select("digest", "cid"), "digest", "left")
-    return found.select("a", "b", "rep_a", "rep_b"), rows.select("rid", "doc_id", "n", "digest", "cid")
+    rows = made.sets.join(made.classes.select("digest", "cid"), "digest", "left")
+    return found.select("a", "b", "rep_a", "rep_b"), rows.select("doc_id", "row_hash", "n", "digest", "cid")
 
 
-def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid: str | None = None, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The columns of ``components`` and n_links: how many other rows a row links with, those of equal sets included."""
-    found, rows = links(docs, doc_id, text, rid, words, percent)
+    found, rows = links(docs, doc_id, text, words, percent)
     found, rows = materialize(found.select("a", "b"), "links"), materialize(rows, "rows")
     sizes = materialize(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("members")), "sizes")
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -401,13 +481,28 @@ def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents with one of each component, the smallest doc_id's first row; texts without words stay."""
-    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
-    found = components(numbered.select("rid", "row.*") if "rid" not in docs.columns else numbered.select("rid", F.col(f"row.`{doc_id}`").alias(doc_id), F.col(f"row.`{text}`").alias(text)), doc_id, text, "rid", words, percent)
+    """The documents with one of each component, that with the smallest doc_id; texts without words stay.
+
+    What goes is named by identifier and hash of the text, so documents are read once more and never written; of
+    rows that are equal in both, any one stays.
+    """
+    found = materialize(components(docs, doc_id, text, words, percent).where("component IS NOT NULL").select("doc_id", "row_hash", "component"), "components")
+    keys = found.groupBy("component", "doc_id", "row_hash").agg(F.count("*").alias("times"))
     # NULL identifiers come last.
-    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("k"))
-    kept = first.select("k.rid").unionByName(found.where("component IS NULL").select("rid"))
-    return numbered.join(kept, "rid", "left_semi").select("row.*")
+    first = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash", "times")).alias("k"))
+    first = materialize(first.select("k.doc_id", "k.row_hash", "k.times"), "first")
+    once = first.where("times = 1").alias("x")
+    again = first.where("times > 1").select(F.col("doc_id").alias("k_id"), F.col("row_hash").alias("k_hash"))
+    gone = keys.alias("y").join(once, F.expr("x.doc_id <=> y.doc_id AND x.row_hash = y.row_hash"), "left_anti").select(F.col("y.doc_id").alias("k_id"), F.col("y.row_hash").alias("k_hash"))
+    gone = materialize(gone, "gone")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), *_row_key(doc_id, text))
+    match = F.expr("doc_id <=> k_id AND row_hash = k_hash")
+    kept = rows.join(gone, match, "left_anti").select("row.*")
+    if again.isEmpty():
+        return kept
+    place = F.row_number().over(Window.partitionBy("doc_id", "row_hash").orderBy(F.lit(1)))
+    return kept.unionByName(rows.join(again, match, "left_semi").withColumn("place", place).where("place = 1").select("row.*"))
 
 
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

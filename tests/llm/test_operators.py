@@ -232,19 +232,55 @@ def test_jaccard_other_shingles(spark, docs):
     assert all((1001 + 2 * family, 96, 1000 + 2 * family) in want for family in range(20))
 
 
-def test_tree_finds_every_link():
+@pytest.mark.parametrize("size, copies", [(200, 90), (5_000, 60)])
+def test_tree_finds_every_link(size, copies):
+    """Also where sets are larger than any fixed bitmap; a merged result has the same components."""
     import numpy as np
 
     rng = np.random.default_rng(1)
-    base = rng.integers(1, 1 << 63, 200).astype(np.uint64)
-    sets = [np.unique(np.concatenate([base[rng.random(200) > 0.04], rng.integers(1, 1 << 63, 6).astype(np.uint64)])) for _ in range(90)]
-    bits = np.array([np.frombuffer(jaccard.signature_of(s), np.uint64) for s in sets])
-    n, comp = np.array([len(s) for s in sets]), np.arange(90)
-    one = jaccard.tree(bits, n, comp)
-    side = (bits, n, comp)
-    found = {tuple(sorted(p)) for p in jaccard.traversed(one, one, side, side)}
-    links = {(a, b) for b in range(90) for a in range(b) if 100 * (k := len(np.intersect1d(sets[a], sets[b]))) >= 90 * (n[a] + n[b] - k)}
-    assert links and links <= found
+    base = rng.integers(1, 1 << 63, size).astype(np.uint64)
+    fresh = lambda k: rng.integers(1, 1 << 63, k).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(size) > 0.03], fresh(size // 50)])) for _ in range(copies)]
+    sets += [np.unique(fresh(size)) for _ in range(20)]
+    bits = jaccard.bitmaps(sets)
+    n, comp = np.array([len(s) for s in sets]), np.arange(len(sets))
+    one = jaccard.tree(comp, bits, n, comp)
+    links = {(a, b) for b in comp for a in range(b) if 100 * (k := len(np.intersect1d(sets[a], sets[b]))) >= 90 * (n[a] + n[b] - k)}
+    found = [tuple(sorted(p)) for p in jaccard.traversed(one, one, bits, n, comp, every=True)]
+    assert len(links) > 50 and len(found) == len(set(found)) and set(found) == links
+    few = jaccard.traversed(one, one, bits, n, comp)
+    assert {tuple(sorted(p)) for p in few} <= links and len(few) < len(sets)
+    label = lambda pairs: _labels(len(sets), pairs)
+    assert label(few) == label(links)
+    # Two trees whose rows are all of different components pair as one tree does.
+    left, right = comp[:50], comp[50:]
+    across = jaccard.traversed(jaccard.tree(left, bits, n, comp), jaccard.tree(right, bits, n, comp), bits, n, comp, every=True)
+    assert {tuple(sorted(p)) for p in across} == {p for p in links if (p[0] < 50) != (p[1] < 50)}
+
+
+def _labels(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        old, new = label[b], label[a]
+        label = [new if x == old else x for x in label]
+    least = {}
+    return [least.setdefault(x, i) for i, x in enumerate(label)]
+
+
+def test_jaccard_returns_at_most_a_link_a_class(spark):
+    """A family none of whose members link gives no rows after the traversal; one that links all with all gives less than a row a member."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        words = [f"w{k}" for k in range(200)]
+        for k in rng.sample(range(0, 200, 4), 2 if i < 60 else 8):
+            words[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    made = jaccard.Prepared(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3, 90)
+    alone = made.cells.select("token", "band", "cid", "n", F.col("cid").alias("comp"))
+    found = made.tree_links(alone).count()
+    assert 59 <= found < 120 * 12
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_components(rows)
 
 
 def test_one_of_each(docs, empty):

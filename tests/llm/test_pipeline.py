@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from rewardloom.llm import bpe, decontaminate, secrets
 from rewardloom.scratch import materialize
-from tests.llm.test_operators import base_measures, base_spans, sets_of
+from tests.llm.test_operators import base_measures, base_spans
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, kept boolean"
 
@@ -54,8 +54,8 @@ def test_stages_by_brute_force(spark, folder):
             failed = {i for i, r in before.items() if base_measures(r["text"])[-1]}
             assert not failed & set(kept[name]) and len(kept[name]) > 0.95 * (len(before) - len(failed))
         if name == "near_duplicates":
-            sets = {i: sets_of(r["text"]) for i, r in before.items()}
-            alike = lambda x, y: 100 * len(x & y) >= 90 * len(x | y)
+            sets = {i: shingles(r["text"]) for i, r in before.items()}
+            alike = lambda x, y: 100 * len(x & y) >= corpus_pipeline.NEAR_PERCENT * len(x | y)
             # Copies here come in families that link all with all.
             assert set(kept[name]) == {i for i in sets if not any(j < i and alike(sets[i], sets[j]) for j in sets)}
             assert len(kept[name]) < len(before)
@@ -81,6 +81,11 @@ def test_stages_by_brute_force(spark, folder):
     assert sorted(map(key, corpus_pipeline.run(spark, folder).collect())) == sorted(map(key, kept["tokens"].values()))
 
 
+def shingles(text):
+    words, size = (text or "").encode().lower().split(), corpus_pipeline.NEAR_WORDS
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+
+
 def benchmark(spark, folder):
     return [r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
 
