@@ -48,6 +48,7 @@ from rewardloom.sources import arrow_shards
 from rewardloom.sources.copartitioned import load, store, with_ground_truth, with_group_advantage, with_model_outputs
 from rewardloom.sources.results import read_csv, read_json, write_csv, write_json, write_metrics
 from rewardloom.sources.splits import load_sft_table, load_split, load_splits, write_splits
+from rewardloom.streaming.groups import write_advantages
 from rewardloom.streaming.online import write_scores
 from suite import fixtures, rewards, sql
 
@@ -1425,6 +1426,19 @@ def group_advantage_stored(spark, sf_dir):
     return scored.select("sample_id", "repeat_id", F.round("reward_total", 6).alias("reward_total"), F.round("advantage", 4).alias("advantage"))
 
 
+@check("group_advantage_streamed", ORACLES["group_advantage"])
+def group_advantage_streamed(spark, sf_dir):
+    """Completions that arrive in two parts, the query restarted in between; every sample gets complete with the second."""
+    scores = materialize(score_rollouts(fixtures.rollouts(spark, sf_dir), SHIPPED_SPECS, WEIGHTS, **rewards.COLUMNS), "scores")
+    source, out, state = (scratch_path(spark, name) for name in ("arriving", "advantages", "state"))
+    for part in (0, 1):
+        scores.where(F.col("repeat_id") % 2 == part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(scores.schema).parquet(source)
+        write_advantages(stream, out, state, once=True, num_repeats=fixtures.REPEATS, patience_ms=86_400_000).awaitTermination()
+    found = spark.read.parquet(out).where("is_complete")
+    return found.select("sample_id", "repeat_id", F.round("reward", 6).alias("reward_total"), F.round("advantage", 4).alias("advantage"))
+
+
 @check("group_advantage_stored_hot_sample", ORACLES["group_advantage_hot_sample"])
 def group_advantage_stored_hot_sample(spark, sf_dir):
     """The same where some groups have more rows than a bucket should."""
