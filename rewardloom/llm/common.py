@@ -21,9 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def column(df: DataFrame, name: str, kind: str) -> Column:
-    """``name`` as ``kind``; NULL if ``df`` has no such column."""
-    return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
+def named(df: DataFrame, name: str) -> str | None:
+    """The column that Spark takes for ``name``, whatever its case; None if there is none."""
+    sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    found = [c for c in df.columns if c == name or not sensitive and c.lower() == name.lower()]
+    if len(found) > 1:
+        raise ValueError(f"several columns may be {name}: {', '.join(found)}")
+    return found[0] if found else None
+
+
+def column(df: DataFrame, name: str, kind: str, needed: bool = True) -> Column:
+    """``name`` as ``kind``. Without such a column it is an error, or NULL where it isn't ``needed``."""
+    found = named(df, name)
+    if found is None and needed:
+        raise ValueError(f"no column {name} among {', '.join(df.columns)}")
+    return (F.lit(None) if found is None else F.col(f"`{found}`")).cast(kind)
+
+
+def unused(df: DataFrame, *names: str) -> None:
+    """Raise ``ValueError`` where ``df`` has one of the columns that are to be added."""
+    if clash := [name for name in names if named(df, name)]:
+        raise ValueError(f"columns {clash} are in the table already")
 
 
 def let(value: Column, body) -> Column:

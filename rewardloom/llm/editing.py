@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rewardloom.llm.bpe import BytePairEncoder, encoder, slices, tokenizer_content
-from rewardloom.llm.common import column, table
+from rewardloom.llm.common import column, table, unused
 
 LEAF = 32
 
@@ -232,8 +232,7 @@ def _mapped(docs: DataFrame, added: list[T.StructField], inputs: list[str], row,
 
 def counted(docs: DataFrame, text: str = "text", state: str = "state", n_tokens: str = "n_tokens", path: str | None = None) -> DataFrame:
     """``docs`` with each text's tree as column ``state`` and its tokens."""
-    if clash := {state, n_tokens} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are in the table already")
+    unused(docs, state, n_tokens)
 
     def row(coder, value):
         tree = PieceTree.of(value or "", coder)
@@ -246,6 +245,11 @@ def counted(docs: DataFrame, text: str = "text", state: str = "state", n_tokens:
 def updated(docs: DataFrame, edits: str = "edits", text: str = "text", state: str = "state", n_tokens: str = "n_tokens", work: str = "n_reencoded", path: str | None = None) -> DataFrame:
     """``docs`` with their column of edits applied to text, tree and tokens, and the pieces encoded anew."""
 
+    # Text, state and tokens are the columns to be renewed; the number of pieces is a new one.
+    unused(docs, work)
+    if n_tokens not in docs.columns:
+        unused(docs, n_tokens)
+
     def row(coder, value, old, changes):
         new, tree, n = edited(value, old, changes, coder)
         return new, tree.packed(), tree.total, n

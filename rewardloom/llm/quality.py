@@ -5,8 +5,8 @@ quantile sketch of each measure is kept: counts per log-linear bucket (the value
 six leading bits), so a quantile is at most 1/32 too low, sketches merge by adding
 counts, and the result doesn't depend on order or partitioning. Cutoffs come from
 the sketches: the 90th percentile plus a multiple of its distance to the median.
-A (language, source) with few documents uses its language's merged sketch, and a
-small language the merged sketch of all. Documents are then joined with the
+A (language, source) of n documents takes its own cutoffs with weight n / (n + ``prior``) and its language's for the rest, which
+takes over from all in the same way: small groups follow larger ones, and no size flips a cutoff. Documents are then joined with the
 cutoffs of their group and filtered.
 
 Only DataFrame functions are used. Defined results: NULL and empty texts have no words and fail the base
@@ -42,10 +42,10 @@ MEASURES = {
 
 @dataclass(frozen=True)
 class Rules:
-    """spread: how often the distance from the median to the 90th percentile is added to that; least_rows: documents a group needs for cutoffs of its own."""
+    """spread: how often the distance from the median to the 90th percentile is added to that; prior: how many documents the wider group's cutoffs count as."""
 
     spread: int = 3
-    least_rows: int = 50
+    prior: int = 50
 
 
 def words_of(text: Column) -> Column:
@@ -86,8 +86,8 @@ def measured(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
     text = F.coalesce(column(docs, text_col, "string"), F.lit(""))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
-        column(docs, "lang", "string").alias("lang"),
-        column(docs, "source", "string").alias("source"),
+        column(docs, "lang", "string", needed=False).alias("lang"),
+        column(docs, "source", "string", needed=False).alias("source"),
         text.alias("text"),
         words_of(text).alias("words"),
     )
@@ -152,7 +152,8 @@ def cutoffs(sketch: DataFrame, rules: Rules) -> DataFrame:
         fences = []
         for name, (tail, least) in MEASURES.items():
             high = F.expr(f"q90 + greatest({rules.spread} * (q90 - q50), {least})")
-            low = F.expr(f"q10 - greatest({rules.spread} * (q50 - q10), {least})")
+            # No measure is below 0.
+            low = F.expr(f"greatest(q10 - greatest({rules.spread} * (q50 - q10), {least}), 0)")
             of = lambda x: F.max(F.when(F.col("measure") == name, x))  # noqa: B023, E731
             fences += [of(high).alias(f"{name}_hi"), (of(low) if tail == "both" else F.lit(None).cast("long")).alias(f"{name}_lo")]
         bounds[level] = quantiles.groupBy(*keys).agg(F.max("total").alias("rows"), *fences)
@@ -162,12 +163,8 @@ def cutoffs(sketch: DataFrame, rules: Rules) -> DataFrame:
     for name in MEASURES:
         for side in ("hi", "lo"):
             c = f"{name}_{side}"
-            limits.append(
-                F.when(F.col("source.rows") >= rules.least_rows, F.col(f"source.{c}"))
-                .when(F.col("lang.rows") >= rules.least_rows, F.col(f"lang.{c}"))
-                .otherwise(F.col(f"all.{c}"))
-                .alias(c)
-            )
+            wider = f"(lang.rows * lang.{c} + {rules.prior} * all.{c}) div (lang.rows + {rules.prior})"
+            limits.append(F.expr(f"(source.rows * source.{c} + {rules.prior} * ({wider})) div (source.rows + {rules.prior})").alias(c))
     return joined.select(F.col("source.lang").alias("g_lang"), F.col("source.source").alias("g_source"), *limits)
 
 
@@ -201,7 +198,7 @@ def _oracle() -> str:
         fences = []
         for name, (tail, least) in MEASURES.items():
             fences.append(f"max(CASE WHEN measure = '{name}' THEN q90 + greatest(3 * (q90 - q50), {least}) END) AS {name}_hi")
-            low = f"max(CASE WHEN measure = '{name}' THEN q10 - greatest(3 * (q50 - q10), {least}) END)" if tail == "both" else "NULL::BIGINT"
+            low = f"max(CASE WHEN measure = '{name}' THEN greatest(q10 - greatest(3 * (q50 - q10), {least}), 0) END)" if tail == "both" else "NULL::BIGINT"
             fences.append(f"{low} AS {name}_lo")
         tidy = keys.rstrip(", ")
         levels.append(f"""
@@ -213,7 +210,7 @@ l_{level} AS (SELECT {keys}max(total) AS n_rows, {', '.join(fences)} FROM (
     for name in MEASURES:
         for side, op in (("hi", "<="), ("lo", ">=")):
             c = f"{name}_{side}"
-            pick = f"CASE WHEN o.n_rows >= 50 THEN o.{c} WHEN l.n_rows >= 50 THEN l.{c} ELSE a.{c} END"
+            pick = f"(o.n_rows * o.{c} + 50 * ((l.n_rows * l.{c} + 50 * a.{c}) // (l.n_rows + 50))) // (o.n_rows + 50)"
             tests.append(f"coalesce(m.{name} {op} ({pick}), true)")
     values = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m WHERE NOT base_failed" for m in MEASURES)
     return rf"""

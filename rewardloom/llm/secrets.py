@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm.common import column, table
+from rewardloom.llm.common import column, named, table
 from rewardloom.scratch import materialize
 
 #: Patterns of the base kinds, in their order; least length and the group it is of: fixed values.
@@ -145,7 +145,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", sc
     new = F.aggregate("spans", start, step, lambda s: F.concat(s.text, F.substr(text, s.at + 1)))
     changed = F.when(F.size("spans") > 0, new).otherwise(F.col(f"row.`{text_col}`"))
     return scan(docs, text_col=text_col, scope=scope).select(
-        *[(changed if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+        *[(changed if c == named(docs, text_col) else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     )
 
 

@@ -6,11 +6,14 @@ shard fits. Bytes per prefix are aggregated ``STEP`` bits at a time, before
 anything is shuffled; the levels in between are sums of these, so a round finds all splits of
 ``STEP`` bits at once, and only rows of buckets that are still too large go into the next.
 
-The path has 128 bits: a hash of identifier and text, then one of the row's number, which
+The path has 192 bits: the MD5 digest of identifier and text, then a hash of the row's number, which
 tells repeated rows apart. So only a single row above the limit makes a larger
 shard, which then holds that row alone.
 
-Defined results: NULL and empty texts have zero bytes; NULL identifiers are hashed
+A row's bytes are those of all its columns: its strings and binary values, whatever their depth eight bytes or so for each other value, and
+eight for each column itself. So rows without text fill a shard too.
+
+Defined results: NULL and empty texts have the bytes of their row's other values; NULL identifiers are hashed
 as such; repeated rows are placed each; an empty table has no shards; other columns pass
 through, and a column with a result's name is an error.
 """
@@ -19,26 +22,43 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rewardloom.llm.common import table
+from rewardloom.llm.common import column, named, table
 from rewardloom.scratch import materialize
 
 LIMIT = 64 << 20
 #: Bits per round, and of the whole path.
-STEP, BITS = 16, 128
+STEP, BITS = 16, 192
+#: Bytes of a column of a row, besides its strings.
+CELL = 8
 
 ADDED = ("n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
 
 
+def bytes_of(docs: DataFrame, names: tuple[str, ...]) -> Column:
+    """The bytes of a row's columns: strings and binaries by their length, nested values by that of their JSON text."""
+    total = F.lit(CELL * len(names)).cast("long")
+    for field in (docs.schema[named(docs, c)] for c in names):
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(value)
+        elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            continue
+        total = total + F.coalesce(F.octet_length(value), F.lit(0))
+    return total
+
+
 def sized(docs: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> DataFrame:
     """(row, n_bytes, bits): ``bits`` is the path, as text of zeros and ones. Written, so that paths stay."""
-    bits = [F.lpad(F.bin(h), 64, "0") for h in (F.xxhash64(f"`{key}`", f"`{text}`"), F.xxhash64(F.monotonically_increasing_id()))]
-    return materialize(
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.octet_length(f"`{text}`"), F.lit(0)).cast("long").alias("n_bytes"), F.concat(*bits).alias("bits")),
-        "sized",
-    )
+    digest = F.md5(F.concat(F.coalesce(column(docs, key, "string"), F.lit("-")), F.lit(":"), F.coalesce(column(docs, text, "string"), F.lit(""))))
+    halves = [F.conv(F.substring(digest, k, 8), 16, 2) for k in (1, 9, 17, 25)]
+    bits = [*[F.lpad(h, 32, "0") for h in halves], F.lpad(F.bin(F.xxhash64(F.monotonically_increasing_id())), 64, "0")]
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    # A shard is written with all columns, also where only some are asked for here.
+    return materialize(docs.select(row, bytes_of(docs, tuple(docs.columns)).alias("n_bytes"), F.concat(*bits).alias("bits")), "sized")
 
 
 def directory(rows: DataFrame, limit: int) -> DataFrame:
@@ -95,4 +115,15 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_sharding": sharding}
-ORACLES: dict[str, str] = {}
+
+#: Splits bucket by bucket; repeated rows, which a further hash tells apart, are out of its reach.
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, md5(coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(text, '')) AS h,
+    {5 * CELL} + coalesce(strlen(text), 0) + coalesce(strlen(lang), 0) + coalesce(strlen(source), 0) AS n_bytes FROM documents),
+p AS (SELECT doc_id, n_bytes, array_to_string(list_transform(range(1, 33), lambda i: lpad(bin(strpos('0123456789abcdef', h[i]) - 1), 4, '0')), '') AS bits FROM d),
+t AS (SELECT doc_id, n_bytes, bits, 0 AS depth, sum(n_bytes) OVER () AS b, count(*) OVER () AS r FROM p
+    UNION ALL
+    SELECT doc_id, n_bytes, bits, depth + 1, sum(n_bytes) OVER (PARTITION BY bits[1:depth + 1]), count(*) OVER (PARTITION BY bits[1:depth + 1]) FROM t WHERE b > {LIMIT} AND r > 1)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, bits[1:depth] AS shard, depth::INTEGER AS depth, b::BIGINT AS shard_bytes, r::BIGINT AS shard_rows FROM t WHERE b <= {LIMIT} OR r = 1"""
+
+ORACLES = {"op7_sharding": ORACLE}

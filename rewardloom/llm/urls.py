@@ -31,7 +31,6 @@ from rewardloom.scratch import materialize
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Words that mark a host as an example to block.
 SEEDS = "adult ads bet bets betting casino cheap farm free gambling loan loans pills poker porn sex spam track viagra win xxx".split()
-LONGEST_WORD = 20
 
 
 def host_of(url: Column) -> Column:
@@ -60,7 +59,7 @@ def unigrams(pages: DataFrame, html: str = "html") -> DataFrame:
     """(word, n): counts of the words in the pages' visible text, A-Z lower-cased."""
     text = F.regexp_replace(F.coalesce(column(pages, html, "string"), F.lit("")), r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
-    return words.where(f"word <> '' AND length(word) <= {LONGEST_WORD}").groupBy("word").agg(F.count("*").alias("n"))
+    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def best_split(label: str, known: dict[str, int], total: int) -> list[str]:
@@ -68,7 +67,7 @@ def best_split(label: str, known: dict[str, int], total: int) -> list[str]:
     best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
     for end in range(1, len(label) + 1):
         options = []
-        for start in range(max(0, end - LONGEST_WORD), end):
+        for start in range(end):
             word = label[start:end]
             n = known.get(word)
             logp = math.log(n / total) if n else math.log(10.0 / max(total, 1)) - len(word) * math.log(10.0)
@@ -87,8 +86,10 @@ def best_split(label: str, known: dict[str, int], total: int) -> list[str]:
 def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words) of distinct ``labels``: letters are split by Viterbi, other characters separate."""
     parts = labels.select("label", F.explode(F.array_remove(F.split("label", "[^a-z]+"), "")).alias("part")).select("part").distinct()
-    pieces = parts.select("part", F.explode(F.expr("sequence(1, length(part))")).alias("start")).select(
-        "part", "start", F.explode(F.expr(f"sequence(1, least({LONGEST_WORD}, length(part) - start + 1))")).alias("length")
+    # No piece is longer than the longest word that was counted.
+    longest = counts.agg(F.coalesce(F.max(F.length("word")), F.lit(1)).alias("longest"))
+    pieces = parts.join(longest, F.lit(True)).select("part", "longest", F.explode(F.expr("sequence(1, length(part))")).alias("start")).select(
+        "part", "start", F.explode(F.expr("sequence(1, least(longest, length(part) - start + 1))")).alias("length")
     )
     pieces = pieces.select("part", F.expr("substring(part, start, length)").alias("word")).distinct()
     met = pieces.join(counts, "word").groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))
