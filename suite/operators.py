@@ -24,6 +24,7 @@ from rewardloom.operators.evaluate import (
 )
 from rewardloom.operators.few_shot import few_shot_prompts, sample_examples
 from rewardloom.operators.hooks import score_texts
+from rewardloom.operators.option_tokens import probabilities_of_likeliest, spellings, vocabulary_of
 from rewardloom.operators.prepare import RowCounts, keep_filled, keep_first, without_topic
 from rewardloom.operators.prompts import add_prompts, example_line, few_shot_prompt, last_content
 from rewardloom.operators.responses import ChatTemplate, equal_pairs, preference_pairs, tagged_response
@@ -33,7 +34,7 @@ from rewardloom.operators.rollouts import (
     expand_repeats,
     option_probabilities,
 )
-from rewardloom.operators.sampling import exact_fraction
+from rewardloom.operators.sampling import exact_fraction, in_sample_order
 from rewardloom.operators.scoring import check_formats, score
 from rewardloom.operators.advantage import group_advantage, reward_report
 from rewardloom.options import DatasetOptions, Options, TwoStageColumns, merge
@@ -847,6 +848,23 @@ def option_probabilities_query(spark, sf_dir):
     )
 
 
+@check("option_probabilities_of_likeliest", ORACLES["option_probabilities"])
+def option_probabilities_of_likeliest(spark, sf_dir):
+    """The same from maps of likeliest tokens, with each option's probability spread over its spellings in a tokenizer file."""
+    import public_tokenizers
+
+    ids = spellings(vocabulary_of(spark, public_tokenizers.path("byte_bpe_50k.json")))
+    entries = [F.struct(F.lit(-1).alias("id"), F.lit(-0.5).alias("logprob"))]
+    for option, tokens in ids.items():
+        for k, token in enumerate(tokens):
+            share = (2 * k + 1) / len(tokens) ** 2
+            logit = F.col(f"logit_{option.lower()}")
+            entries.append(F.when(logit.isNotNull(), F.struct(F.lit(token).alias("id"), (logit + F.log(F.lit(share))).alias("logprob"))))
+    rollouts = fixtures.rollouts(spark, sf_dir).withColumn("likeliest", F.map_from_entries(F.array_compact(F.array(*entries))))
+    found = probabilities_of_likeliest(F.col("likeliest"), ids, F.col("response"))
+    return rollouts.select("sample_id", "repeat_id", *[F.round(p, 6).alias(f"prob_{o.lower()}") for o, p in found.items()])
+
+
 @check(
     "entailment_by_own_scorer",
     sql.rollouts(
@@ -1283,6 +1301,18 @@ def rows_before_and_after(spark, sf_dir):
     return spark.createDataFrame(rows, "step string, rows_before long, rows_after long")
 
 
+@check(
+    "sample_in_order",
+    sql.questions(
+        f"SELECT row_id, row_number() OVER (ORDER BY md5('{SEED}:' || row_id), row_id) - 1 AS position, {digest_sql('question', 'question')} FROM q WHERE split = 'train'"
+    ),
+)
+def sample_in_order(spark, sf_dir):
+    """The training rows numbered in the order the sample takes them."""
+    rows = materialize(fixtures.questions(spark, sf_dir).where("split = 'train'"), "train")
+    return in_sample_order(rows, SEED).select("row_id", F.col("position").cast("long"), *digest(F.col("question"), "question"))
+
+
 @check(
     "prepared_from_configuration",
     sql.questions(

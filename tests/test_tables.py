@@ -1,6 +1,7 @@
 """Preparation, sampling, few-shot examples, evaluation and report tables."""
 
 import collections
+import math
 
 import pytest
 from pyspark.sql import Observation
@@ -149,8 +150,41 @@ def test_exact_fraction_limits(spark):
             exact_fraction(df, fraction, 1)
     assert exact_fraction(df, 0.05, 1).count() == 0
     assert exact_fraction(df.limit(0), 0.5, 1).count() == 0
-    order = [r["row_id"] for r in in_sample_order(df, 1).collect()]
-    assert sorted(order) == list(range(10)) and order != list(range(10))
+
+
+@pytest.mark.parametrize("range_rows", [50_000, 30, 1])
+def test_sample_order(spark, monkeypatch, plan, range_rows):
+    """Dense positions in the order of keys, whatever the number of ranges; the exact sample is its beginning."""
+    from rewardloom.operators import sampling
+
+    monkeypatch.setattr(sampling, "RANGE_ROWS", range_rows)
+    df = spark.range(700).withColumnRenamed("id", "row_id").withColumn("text", F.lit("t"))
+    found = in_sample_order(df, 1)
+    assert "rangepartitioning" not in plan(found)
+    rows = found.orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(700))
+    keys = df.orderBy(seeded_key(1, F.col("row_id"))).select("row_id").collect()
+    assert [r["row_id"] for r in rows] == [r["row_id"] for r in keys]
+    assert {r["row_id"] for r in exact_fraction(df, 0.1, 1).collect()} == {r["row_id"] for r in rows[:70]}
+    repeated = spark.createDataFrame([(1,), (1,), (None,), (None,)], "row_id long")
+    assert sorted(r["position"] for r in in_sample_order(repeated, 1).collect()) == [0, 1, 2, 3]
+    assert in_sample_order(df.limit(0), 1).isEmpty()
+    with pytest.raises(ValueError, match="already"):
+        in_sample_order(df.withColumn("position", F.lit(1)), 1)
+
+
+def test_option_tokens(spark):
+    from rewardloom.operators.option_tokens import log_probability, probabilities_of_likeliest, spellings
+
+    assert spellings({"A": 3, "ĠA": 1, "B": 2, "▁C": 9, "C</w>": 4, "D": 5}) == {"A": [1, 3], "B": [2], "C": [4, 9]}
+    with pytest.raises(ValueError, match="no token for C"):
+        spellings({"A": 3, "B": 2})
+    rows = [({1: -1.0, 3: -2.0, 2: -700.0},), ({2: -1.0},), ({},), (None,)]
+    df = spark.createDataFrame(rows, "top map<int,double>")
+    got = [r[0] for r in df.select(log_probability(F.col("top"), [1, 3])).collect()]
+    assert got[0] == pytest.approx(math.log(math.exp(-1) + math.exp(-2))) and got[1:] == [None, None, None]
+    found = df.select(*probabilities_of_likeliest(F.col("top"), {"A": [1, 3], "B": [2]}).values()).collect()
+    assert tuple(found[0]) == pytest.approx((1.0, 0.0)) and {tuple(r) for r in found[1:]} == {(0.333, 0.333)}
 
 
 def test_different_seeds_give_different_samples(spark):
