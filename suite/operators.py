@@ -949,6 +949,18 @@ def results_as_csv(spark, sf_dir):
     return _shown(read_csv(spark, path))
 
 
+@check("results_as_csv_by_ranges", RESULTS_ORACLE)
+def results_as_csv_by_ranges(spark, sf_dir):
+    """One file, read by several tasks."""
+    path, size = scratch_path(spark, "results-csv"), "spark.sql.files.maxPartitionBytes"
+    write_csv(_results(spark, sf_dir).coalesce(1), path)
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2m")
+    found = read_csv(spark, path, by_ranges=True)
+    spark.conf.set(size, before)
+    return _shown(found)
+
+
 def _table_sql(limit: str) -> str:
     return sql.rollouts(
         "SELECT sample_id, repeat_id, CASE WHEN length(question) > 100 THEN substr(question, 1, 100) || '...' "

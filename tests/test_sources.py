@@ -31,6 +31,43 @@ def test_results_survive(spark, tmp_path, write, read):
     assert found == df.orderBy("sample_id").collect()
 
 
+@pytest.mark.parametrize("size", ["50", "300", "128m"])
+def test_csv_by_ranges(spark, tmp_path, size):
+    """Ranges that end anywhere, also within quotes and within one long value, give the rows of a whole file."""
+    from rewardloom.sources import quoted_csv
+    from rewardloom.sources.results import CSV_OPTIONS
+
+    long = [(900, 0, "x,\n\"y\"\n" * 60, "p", "A", "\n\n", True, False, None, 0.5, None, 1e-9)]
+    df = results(spark).unionByName(spark.createDataFrame(long, results(spark).schema))
+    write_csv(df.coalesce(2), str(tmp_path / "out"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = sorted(read_csv(spark, str(tmp_path / "out"), by_ranges=True).collect(), key=lambda r: r["sample_id"])
+        n_ranges = quoted_csv.ranges(quoted_csv._lines(spark, str(tmp_path / "out"))).count()
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(quoted_csv, "FEW_RANGES", 0)
+            again = sorted(read_csv(spark, str(tmp_path / "out"), by_ranges=True).collect(), key=lambda r: r["sample_id"])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    options = {**CSV_OPTIONS, "emptyValue": "", "nullValue": "\0", "multiLine": True}
+    whole = spark.read.schema(df.schema).options(**options).csv(str(tmp_path / "out")).orderBy("sample_id").collect()
+    assert found == whole == df.orderBy("sample_id").collect() and again == found
+    assert n_ranges > 4 or size == "128m"
+
+
+def test_csv_that_ends_within_quotes(spark, tmp_path):
+    from rewardloom.sources.quoted_csv import read_quoted
+
+    (tmp_path / "a.csv").write_text('n,t\n1,"x\ny"\n2,"z\n')
+    with pytest.raises(Exception, match="ends within quotes"):
+        read_quoted(spark, str(tmp_path / "a.csv"), "n int, t string", header=True, escape='"').collect()
+    (tmp_path / "b.csv").write_text('"n\nn",t\n1,"x\ny"\n\n2,z')
+    assert [tuple(r) for r in read_quoted(spark, str(tmp_path / "b.csv"), "n int, t string", header=True, escape='"').orderBy("n").collect()] == [(1, "x\ny"), (2, "z")]
+
+
 def test_csv_header_order(spark, tmp_path):
     df = results(spark)
     write_csv(df.select(*reversed(df.columns)).coalesce(1), str(tmp_path / "out"))
