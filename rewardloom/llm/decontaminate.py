@@ -251,7 +251,7 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_benchmark_leaks": benchmark_leaks}
-#: Every window of an item's size that shares a shingle with it, by brute force.
+#: Every window of an item's size, or the whole of a shorter document, that shares a shingle with it, by brute force.
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 b AS (SELECT row_number() OVER () AS bid, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
@@ -261,12 +261,12 @@ bag AS (SELECT bid, size, x, count(*) AS n, length(replace(any_value(x), ' ', ''
 bw AS (SELECT bid, sum(n * wt) AS total FROM bag GROUP BY bid),
 ds AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 hit AS (SELECT DISTINCT ds.rid, bag.bid, bag.size, ds.i FROM ds JOIN bag USING (x) WHERE bag.size >= 5),
-win AS (SELECT DISTINCT rid, bid, size, unnest(range(greatest(1, i - size + 5), least(i, len(w) - size + 1) + 1)) AS s FROM hit JOIN d USING (rid)),
+win AS (SELECT DISTINCT rid, bid, least(size, len(w)) AS size, unnest(range(greatest(1, i - size + 5), greatest(1, least(i, len(w) - size + 1)) + 1)) AS s FROM hit JOIN d USING (rid)),
 ws AS (SELECT rid, bid, s, x, count(*) AS n, length(replace(any_value(x), ' ', '')) AS wt FROM (
     SELECT win.rid, bid, s, array_to_string(w[s + o:s + o + 4], ' ') AS x FROM (SELECT *, unnest(range(0, size - 4)) AS o FROM win) win JOIN d ON d.rid = win.rid) GROUP BY rid, bid, s, x),
 sim AS (SELECT rid, ws.bid, s, sum(ws.wt * least(ws.n, coalesce(bag.n, 0))) AS same, sum(ws.wt * ws.n) AS total FROM ws LEFT JOIN bag ON bag.bid = ws.bid AND bag.x = ws.x GROUP BY rid, ws.bid, s),
 best AS (SELECT rid, bid, s, same::DOUBLE / (sim.total + bw.total - same)::DOUBLE AS similarity FROM sim JOIN bw USING (bid)
     QUALIFY row_number() OVER (PARTITION BY rid, bid ORDER BY same::DOUBLE / (sim.total + bw.total - same)::DOUBLE DESC, s) = 1)
-SELECT doc_id, item_id, similarity, (s - 1)::INTEGER AS first_word, len(b.w)::INTEGER AS n_words FROM best JOIN d USING (rid) JOIN b USING (bid) WHERE similarity >= 0.8"""
+SELECT doc_id, item_id, similarity, (s - 1)::INTEGER AS first_word, least(len(b.w), len(d.w))::INTEGER AS n_words FROM best JOIN d USING (rid) JOIN b USING (bid) WHERE similarity >= 0.8"""
 
 ORACLES = {"op9_benchmark_leaks": ORACLE}

@@ -9,12 +9,15 @@ words is ``percent`` or more (three words and 90 unless the caller names others)
    before frequent ones, so a prefix is mostly shingles of no other document, which are dropped at once.
 3. Each (shingle, size band) cell verifies its classes against one centre, the class with most copies, and verified
    links are merged to components. A family of near copies is settled here with one check per member.
-4. Cells that still hold several components go through signature trees. A cell's classes are dealt to blocks of a bounded number
-   of classes and shingles, and blocks are paired unless their sizes or a common component rule links out. A task gets a pair of blocks with their
-   texts, numbers the shingles that two of its classes share, and so has bitmaps that are exact, however large the sets. A tree's node has the OR of its members'
+4. Cells that still hold several components go through signature trees. Cells that share a component are one family; a family of a bounded number of
+   classes and shingles is one task, so that a class in very many cells is looked at once. Larger families go cell by cell: a cell's classes are dealt to blocks of
+   the same bounds, and blocks are paired unless their sizes or a common component rule links out. A task numbers the shingles that two of its
+   classes share, and so has bitmaps without collisions, however large the sets. A tree's node has the OR of its members'
    bitmaps, their range of sizes and their components; two trees are traversed together, and pairs of nodes are dropped by
    size, by maximum possible overlap, or because all is one component.
-5. At the leaves the bitmaps give the intersection itself, so pairs are verified where they are found and merged there: a task returns
+5. The first traversal has bitmaps of the first fifth of hashes only: the others can add no more than the smaller set has. It says which classes
+   have a partner left, no more than one row a class. The second has these classes' texts: at its leaves the bitmaps give the intersection
+   itself, so pairs are verified where they are found and merged there. A task returns
    at most one link per class, never its candidates. Components are merged once more.
 
 Blocks hold a bounded number of classes, so no group meets in one task.
@@ -117,29 +120,33 @@ def _row_key(doc_id: str, text: str):
 
 
 def near_texts(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, words: int = WORDS) -> DataFrame:
-    """(cid, n, words) of ``classes`` (cid, n, rep, digest): the words of their smallest doc_id's text, joined by blanks and compressed.
+    """(cid, n, first, words) of ``classes`` (cid, n, rep, digest): the first fifth of their hashes, as 32 bits of each, and the words of their smallest doc_id's text, compressed.
 
     Compressed words take a third of the bytes of their hashes, and these are made again where they are compared.
     """
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            cids, sizes, blobs = [], [], []
+            out = []
             for cid, n, digest, t in zip(*[batch.column(c).to_pylist() for c in ("cid", "n", "digest", "text")], strict=True):
                 found = words_of(t)
+                x = hashes_of(found, words)
                 # Rows of one identifier may have different texts.
-                if xxhash.xxh3_128_digest(hashes_of(found, words).tobytes()) == digest:
-                    cids.append(cid)
-                    sizes.append(n)
-                    blobs.append(packed(found))
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["cid", "n", "words"])
+                if xxhash.xxh3_128_digest(x.tobytes()) == digest:
+                    # Hashes of one set with the same 32 bits count among the others.
+                    first = np.unique((x[x % np.uint64(FIRST) == 0] // np.uint64(FIRST)).astype(np.uint32))
+                    out.append((cid, n, first.tobytes(), packed(found)))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["cid", "n", "first", "words"])
 
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text"))
     wanted = texts.alias("t").join(classes.alias("c"), F.expr("t.rep <=> c.rep")).select("c.cid", "c.n", "c.digest", "t.text")
-    return wanted.mapInArrow(run, "cid long, n long, words binary")
+    return wanted.mapInArrow(run, "cid long, n long, first binary, words binary")
 
 
 def packed(words: list[bytes]) -> bytes:
@@ -226,9 +233,26 @@ def open_cells(cells: DataFrame) -> DataFrame:
         F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members"),
         F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(cid, 1))").alias("x"),
     ).where("c0 <> c1")
-    once = summary.groupBy("members", "s", "x").agg(F.min(F.struct("token", "cell")).alias("k")).select("k.token", "k.cell")
+    once = summary.groupBy("members", "s", "x").agg(F.min(F.struct("token", "cell", "c0")).alias("k")).select("k.token", "k.cell", "k.c0")
     # Written, so that a large cell's rows are split in the join.
-    return wide.join(materialize(once, "open"), ["token", "cell"]).select(F.struct("token", "cell").alias("cell"), "cid", "comp", "n")
+    return wide.join(materialize(once, "open"), ["token", "cell"]).select(F.struct("token", "cell").alias("cell"), "c0", "cid", "comp", "n")
+
+
+def families(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (task, side, cid, comp) of families that fit a task, and ``members`` of the others' cells.
+
+    Components are of one family where a chain of cells connects them.
+    """
+    labels = smallest_labels(members.select(F.col("c0").alias("a"), F.col("comp").alias("b")))
+    labels = materialize(labels.select(F.col("node").alias("comp"), F.col("label").alias("family")), "families")
+    # A class is in as many cells as it has prefix shingles; here it counts once.
+    classes = members.select("cid", "comp", "n").distinct().join(labels, "comp")
+    classes = materialize(classes, "classes")
+    sizes = classes.groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
+    sizes = materialize(sizes.select("family", F.expr(f"k <= {BLOCK} AND shingles <= {BLOCK_SHINGLES}").alias("fits")), "sizes")
+    small = classes.join(sizes.where("fits"), "family").select(F.xxhash64(F.lit("family"), "family").alias("task"), F.lit(0).alias("side"), "cid", "comp")
+    large = labels.join(sizes.where("NOT fits"), "family").select("comp")
+    return small, members.join(materialize(large, "large"), "comp", "left_semi").select("cell", "cid", "comp", "n")
 
 
 def blocks(members: DataFrame) -> DataFrame:
@@ -236,7 +260,9 @@ def blocks(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("cell", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
     sizes = sizes.withColumn("own", F.when((F.col("k") >= BLOCK) | (F.col("shingles") >= BLOCK_SHINGLES), F.col("comp")).otherwise(-1))
     shares = sizes.groupBy("cell", "own").agg(F.expr(f"greatest((sum(k) + {BLOCK - 1}) div {BLOCK}, (sum(shingles) + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})").alias("shares"))
-    dealt = materialize(sizes.join(shares, ["cell", "own"]).select("cell", "comp", "own", "shares"), "shares")
+    # Written, so that a cell with very many components is split in the join.
+    sizes, shares = materialize(sizes, "sizes"), materialize(shares, "shares")
+    dealt = materialize(sizes.join(shares, ["cell", "own"]).select("cell", "comp", "own", "shares"), "dealt")
     block = F.struct("own", F.expr("pmod(xxhash64(cid), shares)").alias("i"))
     return members.join(dealt, ["cell", "comp"]).select("cell", "cid", "comp", "n", block.alias("block"))
 
@@ -269,28 +295,32 @@ def bitmaps(sets):
 class Node:
     """A node of a signature tree over rows ``at`` of a block's arrays."""
 
-    __slots__ = ("at", "bits", "children", "comps", "high", "low")
+    __slots__ = ("at", "bits", "children", "comps", "high", "low", "rest")
 
-    def __init__(self, at, bits, n, comp, children=()):
+    def __init__(self, at, bits, n, rest, comp, children=()):
         import numpy as np
 
         self.at, self.children = at, children
         self.bits = np.bitwise_or.reduce([c.bits for c in children]) if children else np.bitwise_or.reduce(bits[at])
         self.low, self.high = int(n[at].min()), int(n[at].max())
+        self.rest = int(rest[at].max())
         self.comps = int(comp[at].min()), int(comp[at].max())
 
 
-def tree(at, bits, n, comp) -> Node:
-    """A tree over the rows ``at`` in order of component, size and bitmap, so that near ones share nodes."""
+def tree(at, bits, n, rest, comp) -> Node:
+    """A tree over the rows ``at`` in order of component, size and bitmap, so that near ones share nodes.
+
+    ``n``: sizes; ``rest``: how many of a set's shingles the bitmaps leave out.
+    """
     import numpy as np
 
     # Where every class is a component of its own, these say nothing of nearness.
     alone = len(np.unique(comp[at])) == len(at)
     order = at[np.lexsort((bits[at, 0], n[at]) if alone else (bits[at, 0], n[at], comp[at]))]
-    level = [Node(order[i : i + LEAF], bits, n, comp) for i in range(0, len(order), LEAF)]
+    level = [Node(order[i : i + LEAF], bits, n, rest, comp) for i in range(0, len(order), LEAF)]
     while len(level) > 1:
         groups = [level[i : i + FANOUT] for i in range(0, len(level), FANOUT)]
-        level = [Node(np.concatenate([c.at for c in g]), bits, n, comp, g) for g in groups]
+        level = [Node(np.concatenate([c.at for c in g]), bits, n, rest, comp, g) for g in groups]
     return level[0]
 
 
@@ -302,7 +332,7 @@ def may_link(one: Node, two: Node, percent: int = PERCENT) -> bool:
         return False
     if 100 * one.high < percent * two.low or 100 * two.high < percent * one.low:
         return False
-    overlap = int(np.bitwise_count(one.bits & two.bits).sum())
+    overlap = int(np.bitwise_count(one.bits & two.bits).sum()) + min(one.rest, two.rest)
     return (100 + percent) * overlap >= percent * (one.low + two.low)
 
 
@@ -321,32 +351,57 @@ class Merged:
         return x != y
 
 
-def traversed(one: Node, two: Node, bits, n, comp, percent: int = PERCENT, every: bool = False) -> list[tuple[int, int]]:
-    """Pairs of rows that link, by dual traversal: one for each merging of two components, or every one between different components."""
-    import numpy as np
-
-    merged, found, queue = Merged(comp), [], [(one, two)]
+def leaves(one: Node, two: Node, percent: int):
+    """Pairs of leaves that may hold a link, by dual traversal."""
+    queue = [(one, two)]
     while queue:
         p, q = queue.pop()
         if not may_link(p, q, percent):
             continue
-        if p.children or q.children:
-            # The larger node is opened; a node paired with itself pairs each of its children once.
-            if p is q:
-                queue += [(c, d) for i, c in enumerate(p.children) for d in p.children[i:]]
-            elif p.children and (not q.children or len(p.at) >= len(q.at)):
-                queue += [(c, q) for c in p.children]
-            else:
-                queue += [(p, c) for c in q.children]
-            continue
-        labels = comp if every else merged.label
-        apart = labels[p.at][:, None] != labels[q.at][None, :]
-        if p is q:
-            apart = np.triu(apart, 1)
-        if not apart.any():
-            continue
-        both = np.bitwise_count(bits[p.at][:, None, :] & bits[q.at][None, :, :]).sum(axis=2, dtype=np.int64)
-        good = ((100 + percent) * both >= percent * (n[p.at][:, None] + n[q.at][None, :])) & apart
+        if not p.children and not q.children:
+            yield p, q
+        # The larger node is opened; a node paired with itself pairs each of its children once.
+        elif p is q:
+            queue += [(c, d) for i, c in enumerate(p.children) for d in p.children[i:]]
+        elif p.children and (not q.children or len(p.at) >= len(q.at)):
+            queue += [(c, q) for c in p.children]
+        else:
+            queue += [(p, c) for c in q.children]
+
+
+def _alike(p: Node, q: Node, bits, n, rest, labels, percent: int):
+    """Which rows of two leaves may link, as far as the bitmaps tell, and have different labels."""
+    import numpy as np
+
+    apart = labels[p.at][:, None] != labels[q.at][None, :]
+    if p is q:
+        apart = np.triu(apart, 1)
+    if not apart.any():
+        return apart
+    both = np.bitwise_count(bits[p.at][:, None, :] & bits[q.at][None, :, :]).sum(axis=2, dtype=np.int64)
+    both += np.minimum(rest[p.at][:, None], rest[q.at][None, :])
+    return ((100 + percent) * both >= percent * (n[p.at][:, None] + n[q.at][None, :])) & apart
+
+
+def with_partner(one: Node, two: Node, bits, n, rest, comp, percent: int = PERCENT):
+    """Which rows may link with one of another component, as far as the bitmaps tell."""
+    import numpy as np
+
+    found = np.zeros(len(n), bool)
+    for p, q in leaves(one, two, percent):
+        good = _alike(p, q, bits, n, rest, comp, percent)
+        found[p.at] |= good.any(axis=1)
+        found[q.at] |= good.any(axis=0)
+    return found
+
+
+def traversed(one: Node, two: Node, bits, n, comp, percent: int = PERCENT, every: bool = False) -> list[tuple[int, int]]:
+    """Pairs of rows that link, by bitmaps of whole sets: one for each merging of two components, or every one between different components."""
+    import numpy as np
+
+    merged, found, rest = Merged(comp), [], np.zeros(len(n), np.int64)
+    for p, q in leaves(one, two, percent):
+        good = _alike(p, q, bits, n, rest, comp if every else merged.label, percent)
         for i, j in zip(*np.nonzero(good), strict=True):
             a, b = int(p.at[i]), int(q.at[j])
             if every or merged.add(a, b):
@@ -354,41 +409,80 @@ def traversed(one: Node, two: Node, bits, n, comp, percent: int = PERCENT, every
     return found
 
 
-def tree_links(members: DataFrame, pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, every: bool = False) -> DataFrame:
+def _each_task(rows):
+    """The rows of each pair of blocks in a task's Arrow table, and which are on the right."""
+    import numpy as np
+
+    task, side, cid = (rows.column(c).to_numpy() for c in ("task", "side", "cid"))
+    order = np.lexsort((side, task))
+    edges = np.flatnonzero(np.diff(task[order], prepend=task[order][0] - 1, append=task[order][-1] + 1))
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        at = order[i:j]
+        # A text may come twice where rows repeat.
+        at = at[np.unique(cid[at], return_index=True)[1]]
+        if len(at) > 1:
+            yield at, np.flatnonzero(side[at] < 2), np.flatnonzero(side[at] > 1)
+
+
+def _dealt(rows: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """Written rows with what they need of the texts, many small pairs of blocks to a task; a pair of full ones has about one of its own."""
+    n_tasks = max(1, -(-rows.count() // ROWS_PER_TASK))
+    joined = rows.join(texts.select("cid", *columns), "cid").withColumn("bundle", F.pmod("task", F.lit(n_tasks)))
+    return joined.repartition(n_tasks, "bundle")
+
+
+ASKED = "task long, side int, cid long, comp long"
+
+
+def asked_rows(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(task, side, cid, comp): the classes of each pair of blocks; side 0 where a block is paired with itself."""
+    own = pairs.where("one = two").select("cell", "one", "two", F.col("one").alias("block"), F.lit(0).alias("side"))
+    first = pairs.where("one <> two").select("cell", "one", "two", F.col("one").alias("block"), F.lit(1).alias("side"))
+    second = pairs.where("one <> two").select("cell", "one", "two", F.col("two").alias("block"), F.lit(2).alias("side"))
+    asked = reduce(DataFrame.unionByName, (own, first, second)).withColumn("task", F.xxhash64("cell", "one", "two"))
+    return asked.select("task", "side", "cell", "block").join(members, ["cell", "block"]).select("task", "side", "cid", "comp")
+
+
+def sifted(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The written ``rows`` whose class may link with one of another component, by bitmaps of the first hashes."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        comp, size, blobs, kept = table.column("comp").to_numpy(), table.column("n").to_numpy(), table.column("first"), []
+        for at, left, right in _each_task(table):
+            sets = [np.frombuffer(blobs[int(k)].as_py(), np.uint32) for k in at]
+            n = size[at]
+            # Two hashes with the same 32 bits only make an overlap look larger.
+            bits, rest = bitmaps(sets), n - np.array([len(x) for x in sets])
+            one = tree(left, bits, n, rest, comp[at])
+            two = tree(right, bits, n, rest, comp[at]) if len(right) else one
+            kept.append(at[with_partner(one, two, bits, n, rest, comp[at], percent)])
+        return table.select(["task", "side", "cid", "comp"]).take(pa.array(np.concatenate(kept) if kept else [], pa.int64()))
+
+    return _dealt(rows, texts, "n", "first").groupBy("bundle").applyInArrow(run, ASKED)
+
+
+def tree_links(rows: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, every: bool = False) -> DataFrame:
     """(a, b): links between classes of different components; as many as merge them within a task, or every one."""
 
-    def run(rows):
+    def run(table):
         import numpy as np
         import pyarrow as pa
 
-        task, side, cid, comp = (rows.column(c).to_numpy() for c in ("task", "side", "cid", "comp"))
-        blobs, found = rows.column("words"), []
-        order = np.lexsort((side, task))
-        edges = np.flatnonzero(np.diff(task[order], prepend=task[order][0] - 1, append=task[order][-1] + 1))
-        for i, j in zip(edges[:-1], edges[1:], strict=True):
-            at = order[i:j]
-            # A text may come twice where rows repeat.
-            at = at[np.unique(cid[at], return_index=True)[1]]
-            if len(at) < 2:
-                continue
+        cid, comp, blobs, found = table.column("cid").to_numpy(), table.column("comp").to_numpy(), table.column("words"), []
+        for at, left, right in _each_task(table):
             sets = [hashes_of(unpacked(blobs[int(k)].as_py()), words) for k in at]
             bits, n = bitmaps(sets), np.array([len(x) for x in sets])
-            left, right = np.flatnonzero(side[at] < 2), np.flatnonzero(side[at] > 1)
-            one = tree(left, bits, n, comp[at])
-            two = tree(right, bits, n, comp[at]) if len(right) else one
+            none = np.zeros(len(n), np.int64)
+            one = tree(left, bits, n, none, comp[at])
+            two = tree(right, bits, n, none, comp[at]) if len(right) else one
             found += [(int(cid[at[a]]), int(cid[at[b]])) for a, b in traversed(one, two, bits, n, comp[at], percent, every)]
         columns = list(zip(*found, strict=True)) if found else [[], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    own = pairs.where("one = two").select("cell", "one", "two", F.col("one").alias("block"), F.lit(0).alias("side"))
-    first = pairs.where("one <> two").select("cell", "one", "two", F.col("one").alias("block"), F.lit(1).alias("side"))
-    second = pairs.where("one <> two").select("cell", "one", "two", F.col("two").alias("block"), F.lit(2).alias("side"))
-    asked = reduce(DataFrame.unionByName, (own, first, second)).withColumn("task", F.xxhash64("cell", "one", "two"))
-    rows = materialize(asked.select("task", "side", "cell", "block").join(members, ["cell", "block"]).select("task", "side", "cid", "comp"), "asked")
-    # Many small pairs of blocks share a task; a pair of full ones has about one of its own.
-    n_tasks = max(1, -(-rows.count() // ROWS_PER_TASK))
-    rows = rows.join(texts.select("cid", "words"), "cid").withColumn("bundle", F.pmod("task", F.lit(n_tasks)))
-    found = rows.repartition(n_tasks, "bundle").groupBy("bundle").applyInArrow(run, "a long, b long")
+    found = _dealt(rows, texts, "words").groupBy("bundle").applyInArrow(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -415,9 +509,14 @@ class Prepared:
 
     def tree_links(self, labelled: DataFrame, every: bool = False) -> DataFrame:
         """Links between classes of different ``comp`` in the cells, by signature trees; written."""
-        members = materialize(blocks(materialize(open_cells(labelled), "members")), "members")
+        open_ = materialize(open_cells(labelled), "members")
+        small, large = families(open_)
+        members = materialize(blocks(materialize(large, "members")), "members")
         pairs = materialize(node_pairs(members, self.percent), "blocks")
-        return materialize(tree_links(members, pairs, self.texts, self.words, self.percent, every), "links")
+        asked = materialize(small.unionByName(asked_rows(members, pairs)), "asked")
+        left = materialize(sifted(asked, self.texts, self.percent), "sifted")
+        discard(asked)
+        return materialize(tree_links(left, self.texts, self.words, self.percent, every), "links")
 
 
 def _named(classes: DataFrame, links: DataFrame) -> DataFrame:

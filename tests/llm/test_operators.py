@@ -244,7 +244,8 @@ def test_tree_finds_every_link(size, copies):
     sets += [np.unique(fresh(size)) for _ in range(20)]
     bits = jaccard.bitmaps(sets)
     n, comp = np.array([len(s) for s in sets]), np.arange(len(sets))
-    one = jaccard.tree(comp, bits, n, comp)
+    none = np.zeros(len(sets), np.int64)
+    one = jaccard.tree(comp, bits, n, none, comp)
     links = {(a, b) for b in comp for a in range(b) if 100 * (k := len(np.intersect1d(sets[a], sets[b]))) >= 90 * (n[a] + n[b] - k)}
     found = [tuple(sorted(p)) for p in jaccard.traversed(one, one, bits, n, comp, every=True)]
     assert len(links) > 50 and len(found) == len(set(found)) and set(found) == links
@@ -254,8 +255,15 @@ def test_tree_finds_every_link(size, copies):
     assert label(few) == label(links)
     # Two trees whose rows are all of different components pair as one tree does.
     left, right = comp[:50], comp[50:]
-    across = jaccard.traversed(jaccard.tree(left, bits, n, comp), jaccard.tree(right, bits, n, comp), bits, n, comp, every=True)
+    across = jaccard.traversed(jaccard.tree(left, bits, n, none, comp), jaccard.tree(right, bits, n, none, comp), bits, n, comp, every=True)
     assert {tuple(sorted(p)) for p in across} == {p for p in links if (p[0] < 50) != (p[1] < 50)}
+    # By a fifth of the hashes no class with a link is left out, and unrelated ones are.
+    firsts = [s[s % np.uint64(5) == 0] for s in sets]
+    rest = n - np.array([len(s) for s in firsts])
+    bits = jaccard.bitmaps(firsts)
+    one = jaccard.tree(comp, bits, n, rest, comp)
+    kept = jaccard.with_partner(one, one, bits, n, rest, comp)
+    assert {i for p in links for i in p} <= set(np.flatnonzero(kept)) and not kept[-20:].any()
 
 
 def _labels(n, pairs):
@@ -267,7 +275,7 @@ def _labels(n, pairs):
     return [least.setdefault(x, i) for i, x in enumerate(label)]
 
 
-def test_jaccard_returns_at_most_a_link_a_class(spark):
+def test_jaccard_returns_at_most_a_link_a_class(spark, monkeypatch):
     """A family none of whose members link gives no rows after the traversal; one that links all with all gives less than a row a member."""
     rng = random.Random(4)
     rows = []
@@ -280,6 +288,9 @@ def test_jaccard_returns_at_most_a_link_a_class(spark):
     alone = made.cells.select("token", "band", "cid", "n", F.col("cid").alias("comp"))
     found = made.tree_links(alone).count()
     assert 59 <= found < 120 * 12
+    # With blocks that no family fits, cells are paired by blocks; links stay.
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    assert jaccard.families(jaccard.open_cells(alone))[0].isEmpty() and 59 <= made.tree_links(alone).count() < 120 * 12
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_components(rows)
 
 
