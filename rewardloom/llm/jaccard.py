@@ -52,6 +52,11 @@ FIRST = 5
 BLOCK, BLOCK_SHINGLES, LEAF, FANOUT = 512, 1_000_000, 16, 8
 #: Rows of blocks that a task traverses.
 ROWS_PER_TASK = 2_000
+#: How often all texts, or all their first hashes, may be shuffled at once: a class in many cells is needed in many tasks, and more of them than that go
+#: in rounds, whose shuffles are deleted.
+TEXTS_PER_ROUND, FIRSTS_PER_ROUND = 1, 4
+#: Rows that a round has at least.
+ROUND_ROWS = 50_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -431,6 +436,13 @@ def _dealt(rows: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
     return joined.repartition(n_tasks, "bundle")
 
 
+def _in_rounds(rows: DataFrame, most: float, found, label: str) -> DataFrame:
+    """``found`` of the written ``rows``, by parts of at most about ``most`` rows, whole tasks each; written."""
+    n = max(1, math.ceil(rows.count() / max(ROUND_ROWS, most)))
+    parts = [rows.where(F.pmod(F.xxhash64("task", F.lit("round")), F.lit(n)) == k) for k in range(n)] if n > 1 else [rows]
+    return reduce(DataFrame.unionByName, [materialize(found(part), label) for part in parts])
+
+
 ASKED = "task long, side int, cid long, comp long"
 
 
@@ -514,9 +526,11 @@ class Prepared:
         members = materialize(blocks(materialize(large, "members")), "members")
         pairs = materialize(node_pairs(members, self.percent), "blocks")
         asked = materialize(small.unionByName(asked_rows(members, pairs)), "asked")
-        left = materialize(sifted(asked, self.texts, self.percent), "sifted")
+        n_texts = self.texts.count()
+        left = _in_rounds(asked, FIRSTS_PER_ROUND * n_texts, lambda part: sifted(part, self.texts, self.percent), "sifted")
+        left = materialize(left, "left")
         discard(asked)
-        return materialize(tree_links(left, self.texts, self.words, self.percent, every), "links")
+        return _in_rounds(left, TEXTS_PER_ROUND * n_texts, lambda part: tree_links(part, self.texts, self.words, self.percent, every), "links").distinct()
 
 
 def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
