@@ -86,6 +86,15 @@ def test_few_shot_never_joins_rows_by_topic_alone(spark, sf_dir, plan):
             assert "grp" in line
 
 
+def test_drawn_positions_are_not_broadcast(spark, sf_dir, plan):
+    """Spark takes them for as many as the test rows; eighty times these would pass through the driver."""
+    df = materialize(fixtures.questions(spark, sf_dir), "questions")
+    pairs = sample_examples(df.where("split = 'train'"), df.where("split = 'test'"), topic="lang")
+    pairs.collect()
+    text = plan(pairs)
+    assert "isFinalPlan=true" in text and not re.search(r"BroadcastHashJoin \[lang#\d+, position#", text)
+
+
 def test_summary_reads_the_sample_ids_on_their_own(spark, sf_dir, plan):
     evaluated = evaluate_responses(written_rollouts(spark, sf_dir))
     text = plan(summarize(evaluated))
