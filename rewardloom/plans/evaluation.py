@@ -15,17 +15,19 @@ def evaluate_and_store(
     *,
     by: list[str] | None = None,
     samples: DataFrame | None = None,
+    compression: str = "gzip",
     **columns,
 ) -> DataFrame:
     """Write ``results_json``, ``results_csv`` and ``summary`` under ``path``.
 
     Responses are judged once; the three outputs are made from the written
-    result. Returns the summary.
+    result. JSON and CSV repeat every text and are compressed (``none`` for plain
+    files). Returns the summary.
     """
     evaluated = materialize(evaluate_responses(rollouts, carry=by, **columns), "evaluated")
     results = result_rows(evaluated)
-    write_json(results, f"{path}/results_json")
-    write_csv(results, f"{path}/results_csv")
+    write_json(results, f"{path}/results_json", compression=compression)
+    write_csv(results, f"{path}/results_csv", compression=compression)
     summary = summarize(evaluated, by, samples)
     write_summary(summary, f"{path}/summary")
     return summary

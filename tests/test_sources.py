@@ -58,6 +58,15 @@ def test_csv_by_ranges(spark, tmp_path, size):
     assert n_ranges > 4 or size == "128m"
 
 
+@pytest.mark.parametrize("write, read", [(write_csv, read_csv), (write_json, read_json)])
+def test_result_files_are_bounded(spark, tmp_path, write, read):
+    """One task's rows go to several compressed files, and come back as they were."""
+    df = results(spark).coalesce(1)
+    write(df, str(tmp_path / "out"), compression="gzip", rows_per_file=6)
+    assert len(list((tmp_path / "out").glob("part-*.gz"))) == -(-len(AWKWARD) // 6)
+    assert read(spark, str(tmp_path / "out")).orderBy("sample_id").collect() == df.orderBy("sample_id").collect()
+
+
 def test_csv_that_ends_within_quotes(spark, tmp_path):
     from rewardloom.sources.quoted_csv import read_quoted
 
