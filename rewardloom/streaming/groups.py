@@ -46,49 +46,51 @@ class Groups(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rewards = handle.getMapState("rewards", "repeat_id int", "reward double")
-        # When an open sample is to be settled; for a settled one, when it is to be forgotten.
-        self.deadline = handle.getValueState("deadline", "at long, is_settled boolean")
-
-    def _wait(self, now: int, ms: int, is_settled: bool) -> None:
-        if self.deadline.exists():
-            self.handle.deleteTimer(self.deadline.get()[0])
-        self.deadline.update((now + ms, is_settled))
-        self.handle.registerTimer(now + ms)
-
-    def _settle(self, sample: int, now: int, is_complete: bool):
-        held = sorted((k[0], v[0]) for k, v in self.rewards.iterator())
+        # One value per sample, as each access is a request to the JVM: when an open sample is to be settled (a settled one: forgotten), and its rewards by repeat.
+        self.state = handle.getValueState("sample", "at long, is_settled boolean, repeats array<int>, rewards array<double>")
+
+    def _settled(self, sample: int, rewards: dict, is_complete: bool):
+        held = sorted(rewards.items())
         for (repeat, reward), advantage in zip(held, advantages_of([r for _, r in held], self.epsilon), strict=True):
             yield Row(sample_id=sample, repeat_id=repeat, reward=reward, advantage=advantage, is_complete=is_complete, is_late=False)
-        self.rewards.clear()
-        self._wait(now, self.memory_ms, True)
 
     def handleInputRows(self, key, rows, timerValues):
         now, sample = timerValues.getCurrentProcessingTimeInMs(), key[0]
-        is_settled = self.deadline.exists() and self.deadline.get()[1]
-        held = 0 if is_settled else sum(1 for _ in self.rewards.keys())
+        found = self.state.get()
+        before, is_settled, repeats, values = found if found is not None else (None, False, [], [])
+        rewards = dict(zip(repeats, values, strict=True))
+        at, was_settled, had = before, is_settled, len(rewards)
         for row in rows:
             if is_settled:
                 yield Row(sample_id=sample, repeat_id=row["repeat_id"], reward=row["reward"], advantage=None, is_complete=False, is_late=True)
                 continue
-            if self.rewards.containsKey((row["repeat_id"],)):
+            if row["repeat_id"] in rewards:
                 continue
-            self.rewards.updateValue((row["repeat_id"],), (row["reward"],))
-            held += 1
-            if held == self.num_repeats:
-                yield from self._settle(sample, now, True)
-                is_settled = True
-            elif held == 1:
-                self._wait(now, self.patience_ms, False)
+            rewards[row["repeat_id"]] = row["reward"]
+            if len(rewards) == self.num_repeats:
+                yield from self._settled(sample, rewards, True)
+                at, is_settled = now + self.memory_ms, True
+            elif at is None:
+                at = now + self.patience_ms
+        if at != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+        if is_settled and not was_settled:
+            self.state.update((at, True, [], []))
+        elif len(rewards) > had:
+            self.state.update((at, False, list(rewards), list(rewards.values())))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentProcessingTimeInMs()
-        if self.deadline.get()[1]:
-            self.deadline.clear()
+        _, is_settled, repeats, values = self.state.get()
+        if is_settled:
+            self.state.clear()
             return
         # The timer that fired is no longer there to be deleted.
-        self.deadline.clear()
-        yield from self._settle(key[0], now, False)
+        yield from self._settled(key[0], dict(zip(repeats, values, strict=True)), False)
+        at = timerValues.getCurrentProcessingTimeInMs() + self.memory_ms
+        self.state.update((at, True, [], []))
+        self.handle.registerTimer(at)
 
     def close(self) -> None:
         pass

@@ -72,3 +72,40 @@ def test_incomplete_samples_of_a_stream(spark, tmp_path):
     assert advantages(found.where("sample_id < 3").collect()) == advantages(group_advantage(table).collect())
     assert found.where("is_complete OR is_late").isEmpty()
     assert run([(1, 3, 1.0)]).where("is_late").count() == 1
+
+
+def test_a_sample_takes_one_read_and_one_write_of_state():
+    """Each access is a request to the JVM, whatever the number of rows."""
+    from rewardloom.streaming.groups import Groups
+
+    class Fake:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, at):
+            self.calls.append("register")
+
+        def deleteTimer(self, at):
+            self.calls.append("delete")
+
+        def getCurrentProcessingTimeInMs(self):
+            return 5
+
+    fake, groups = Fake(), Groups(4, 10, 100, 1e-4)
+    groups.init(fake)
+    row = lambda i: {"repeat_id": i, "reward": float(i)}
+    assert list(groups.handleInputRows((7,), [row(0), row(1), row(1)], fake)) == []
+    assert fake.calls == ["get", "register", "update"]
+    assert len(list(groups.handleInputRows((7,), [row(2), row(3), row(3)], fake))) == 5
+    assert fake.calls[3:] == ["get", "delete", "register", "update"] and fake.value == (105, True, [], [])
