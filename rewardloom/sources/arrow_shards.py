@@ -241,6 +241,40 @@ def _indexed(path: str, n_shards: int) -> list[list[Batch]]:
     return out
 
 
+def _head(file, place: tuple[int, int]) -> bytes:
+    file.seek(place[0])
+    return file.read(place[1] - place[0])
+
+
+class _Parts:
+    """Parts of a file, one after another, as a file to read from."""
+
+    closed = False
+
+    def __init__(self, file, parts: list[tuple[int, int]]):
+        self._file, self._parts, self._at = file, list(parts), None
+
+    def read(self, n: int = -1) -> bytes:
+        out = []
+        while self._parts and n != 0:
+            start, end = self._parts[0]
+            at = start if self._at is None else self._at
+            self._file.seek(at)
+            found = self._file.read(end - at if n < 0 else min(n, end - at))
+            if not found:
+                break
+            out.append(found)
+            n = n - len(found) if n > 0 else n
+            self._at = at + len(found)
+            if self._at == end:
+                self._at = None
+                self._parts.pop(0)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def close(self) -> None:
+        self.closed = True
+
+
 class ShardReader(DataSourceReader):
     def __init__(self, shards: list[str], row_id: str | None, schema: StructType, most: int, index: str | None):
         self._shards = shards
@@ -271,16 +305,13 @@ class ShardReader(DataSourceReader):
 
         target = to_arrow_schema(self._schema)
         row = partition.first_row
-        with _open(partition.path) as file:
-            parts = []
-            for start, end in [*partition.prefix, (partition.start, partition.end)]:
-                file.seek(start)
-                parts.append(file.read(end - start))
-        names = pa.ipc.read_schema(pa.py_buffer(parts[0])).names
-        wanted = [i for i, name in enumerate(names) if name in target.names and name != self._row_id]
-        # Other columns are neither decoded nor decompressed; without any, batches would have no rows.
-        options = pa.ipc.IpcReadOptions(included_fields=wanted or [0])
-        with pa.ipc.open_stream(b"".join(parts), options=options) as stream:
+        # The messages of a run are read one at a time, as they are decoded.
+        with _open(partition.path) as file, pa.PythonFile(_Parts(file, [*partition.prefix, (partition.start, partition.end)]), "r") as parts:
+            names = pa.ipc.read_schema(pa.py_buffer(_head(file, partition.prefix[0]))).names
+            wanted = [i for i, name in enumerate(names) if name in target.names and name != self._row_id]
+            # Other columns are neither decoded nor decompressed; without any, batches would have no rows.
+            options = pa.ipc.IpcReadOptions(included_fields=wanted or [0])
+            stream = pa.ipc.open_stream(parts, options=options)
             for batch in stream:
                 arrays = []
                 for field in target:

@@ -294,3 +294,11 @@ def test_materialize(spark):
     copy = materialize(spark.range(5), "numbers")
     assert copy.count() == 5 and copy.schema.names == ["id"]
     assert f"{shared_folder(spark)}/rewardloom/numbers-" in copy.inputFiles()[0]
+
+
+def test_parts_are_read_as_asked():
+    """Parts of a file follow each other, and no more is held than was asked for."""
+    import io
+
+    parts = arrow_shards._Parts(io.BytesIO(b"0123456789"), [(0, 3), (6, 10)])
+    assert [parts.read(2), parts.read(2), parts.read(0), parts.read(9), parts.read(1)] == [b"01", b"26", b"", b"789", b""]
