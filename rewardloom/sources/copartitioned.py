@@ -7,6 +7,9 @@ A sample with more rows than an average bucket would be one long task. Such samp
 buckets, are kept apart and dealt by key and ``within`` together, which spreads their rows; joins on both columns move nothing there either,
 and what belongs to the sample as a whole (a true answer, its group's statistics) is at most one row for each of them, which is broadcast.
 
+Rows travel to their buckets packed: what a batch of rows has for one bucket is one compressed value, so that texts that a sample's rows share are moved
+about once. Files are compressed by Zstandard for the same reason. Spark's own shuffle compresses 32 KB at a time, in which long texts don't come twice.
+
 A table is a folder: ``even`` and ``hot`` with the rows, ``layout`` with the layout, ``keys`` with the hot keys. It needs no metastore: ``load`` registers
 the folders anew. NULL keys are one sample in the layout and, as everywhere, equal to nothing in a join; an empty table has empty folders.
 """
@@ -19,6 +22,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Zstandard's level for rows on their way; lower ones lose sight of a long text before it comes again.
+LEVEL = 2
+#: Types whose values are the same after a way through Arrow.
+PLAIN = (
+    T.BooleanType(), T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType(),
+    T.StringType(), T.BinaryType(), T.DateType(), T.TimestampType(), T.TimestampNTZType(),
+)
 
 #: Spark plans a join on key and ``within`` in buckets of the key alone only where this is "false". ``load`` sets it for the session, as
 #: planning comes with the action; in these tables no key has more rows than a bucket, which is what the default guards against.
@@ -50,10 +62,62 @@ def _registered(spark: SparkSession, path: str, schema, columns: list[str], buck
     return spark.table(name)
 
 
-def _write(df: DataFrame, path: str, columns: list[str], buckets: int) -> None:
+def _packable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _packable(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _packable(kind.keyType) and _packable(kind.valueType)
+    if type(kind) is T.StructType:
+        return bool(kind.fields) and all(_packable(f.dataType) for f in kind.fields)
+    return kind in PLAIN or isinstance(kind, T.DecimalType)
+
+
+def _dealt(df: DataFrame, columns: list[str], buckets: int, pack_rows: bool) -> DataFrame:
+    """``df`` with a bucket's rows in the partition of its number."""
+    narrow = all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)) for f in df.schema)
+    if narrow or not pack_rows or not all(_packable(f.dataType) for f in df.schema):
+        return df.repartition(buckets, *columns)
+
+    def pack(batches):
+        """Each batch's rows of a bucket (the first column) as one compressed value."""
+        import numpy as np
+        import pyarrow as pa
+
+        codec = pa.Codec("zstd", compression_level=LEVEL)
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            order = np.argsort(number, kind="stable")
+            edges = np.flatnonzero(np.diff(number[order], prepend=-1, append=-1))
+            rows = pa.RecordBatch.from_arrays(batch.columns[1:], schema=pa.schema(list(batch.schema)[1:])).take(pa.array(order))
+            blobs = []
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_batch(rows.slice(i, j - i))
+                plain = sink.getvalue()
+                blobs.append(plain.size.to_bytes(8, "little") + codec.compress(plain, asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(number[order][edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        codec = pa.Codec("zstd", compression_level=LEVEL)
+        for batch in batches:
+            for value in batch.column(1):
+                blob = value.as_buffer()
+                plain = codec.decompress(blob.slice(8), int.from_bytes(blob.slice(0, 8).to_pybytes(), "little"))
+                yield from pa.ipc.open_stream(plain)
+
+    # The hash of Spark's buckets.
+    number = F.pmod(F.hash(*columns), F.lit(buckets)).alias("bucket")
+    packed = df.select(number, "*").mapInArrow(pack, "bucket int, rows binary")
+    return packed.repartitionById(buckets, "bucket").mapInArrow(unpack, df.schema)
+
+
+def _write(df: DataFrame, path: str, columns: list[str], buckets: int, pack_rows: bool) -> None:
     # The same hash as the buckets': each task has one bucket and writes one file.
     name = f"written_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, *columns).write.format("parquet").bucketBy(buckets, *columns).sortBy(*columns)
+    writer = _dealt(df, columns, buckets, pack_rows).write.format("parquet").option("compression", "zstd").bucketBy(buckets, *columns).sortBy(*columns)
     writer.option("path", path).saveAsTable(name)
     df.sparkSession.sql(f"DROP TABLE {name}")
 
@@ -83,8 +147,10 @@ def store(df: DataFrame, path: str, key: str = "sample_id", within: str | None =
     keys = spark.read.schema(keys.schema).parquet(f"{path}/keys")
     # Fewer rows than buckets, by construction.
     match = df[key].eqNullSafe(keys["hot_key"])
-    _write(df.join(F.broadcast(keys), match, "left_anti"), f"{path}/even", [key], buckets)
-    _write(df.join(F.broadcast(keys), match, "left_semi"), f"{path}/hot", [key, *([within] if within else [])], buckets)
+    # Of a sample's only row there is nothing to find again; no hot keys, no hot rows.
+    several = within is not None
+    _write(df.join(F.broadcast(keys), match, "left_anti"), f"{path}/even", [key], buckets, several)
+    _write(df.join(F.broadcast(keys), match, "left_semi"), f"{path}/hot", [key, *([within] if within else [])], buckets, several and not keys.isEmpty())
     layout = {"key": key, "within": within, "buckets": buckets, "schema": json.loads(df.schema.json())}
     spark.createDataFrame([(json.dumps(layout),)], "value string").coalesce(1).write.text(f"{path}/layout")
     return load(spark, path)

@@ -11,7 +11,7 @@ from rewardloom.operators.advantage import group_advantage
 from rewardloom.operators.evaluate import summarize
 from rewardloom.operators.evaluation_state import coarser, merged, read_state, state_of, summary_of, write_state
 from rewardloom.operators.rollouts import attach_ground_truth, attach_model_outputs
-from rewardloom.sources.copartitioned import hot_keys, load, store, with_ground_truth, with_group_advantage, with_model_outputs
+from rewardloom.sources.copartitioned import _dealt, hot_keys, load, store, with_ground_truth, with_group_advantage, with_model_outputs
 
 BUCKETS = 6
 
@@ -143,3 +143,27 @@ def test_state_edges(evaluated):
     nothing = evaluated.limit(0)
     assert shown(summary_of(state_of(nothing))) == shown(summarize(nothing))
     assert shown(summary_of(state_of(nothing, ["topic"]))) == []
+
+
+def test_rows_travel_packed(spark, rollouts, tmp_path, plan):
+    assert not text_moves(plan(_dealt(rollouts, ["sample_id"], BUCKETS, True)))
+    store(rollouts, str(tmp_path / "t"), buckets=BUCKETS)
+    # A task for each bucket still, and so one file.
+    assert len(list((tmp_path / "t" / "even").glob("*.parquet"))) == BUCKETS
+
+
+def test_packed_rows_come_back_as_they_were(spark, tmp_path):
+    df = spark.range(200).selectExpr(
+        "CASE WHEN id % 9 <> 0 THEN id % 7 END AS sample_id", "CAST(id AS INT) AS repeat_id", "CASE WHEN id % 5 <> 0 THEN repeat('é ', CAST(id AS INT)) END AS `a text`",
+        "CAST(CAST(id AS STRING) AS BINARY) AS b", "id % 3 = 0 AS flag", "CAST(id AS DECIMAL(30, 4)) / 7 AS d", "CASE id % 4 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN -0.0D END AS x",
+        "timestamp_seconds(id * 1e8) AS t", "CAST(timestamp_seconds(id) AS timestamp_ntz) AS u", "date_from_unix_date(CAST(id AS INT)) AS day",
+        "CASE WHEN id % 2 = 0 THEN array(named_struct('k', id, 'v', CAST(NULL AS STRING))) END AS l", "map('a', id) AS m",
+    )
+    whole = store(df, str(tmp_path / "whole"), buckets=BUCKETS).rows()
+    # NaN is not equal to itself.
+    assert whole.dtypes == df.dtypes and repr(rows(whole, "*")) == repr(rows(df, "*"))
+    none = store(df.limit(0), str(tmp_path / "none"), buckets=BUCKETS).rows()
+    assert none.dtypes == df.dtypes and none.isEmpty()
+    # Types that don't pass through Arrow go as they are.
+    months = df.selectExpr("sample_id", "repeat_id", "`a text`", "make_ym_interval(0, repeat_id) AS i")
+    assert rows(store(months, str(tmp_path / "months"), buckets=BUCKETS).rows().withColumn("i", F.col("i").cast("string")), "*") == rows(months.withColumn("i", F.col("i").cast("string")), "*")
