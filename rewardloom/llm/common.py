@@ -17,6 +17,10 @@ WORDS_SQL = (
 )
 
 
+#: Edges that a task merges at a time.
+EDGES_PER_TASK = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,19 +53,69 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def stars(a, b):
+    """(node, label): the smallest node reachable from each node of the edges in two arrays."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        # Both ends' labels point to the smaller one, and every node to where its label ends.
+        ends, low = (label[x], label[y]), np.minimum(label[x], label[y])
+        for end in ends:
+            np.minimum.at(label, end, low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    return nodes, nodes[label]
+
+
+def _merged(edges: DataFrame, n_tasks: int) -> DataFrame:
+    """(a, b): each node of a run of ``EDGES_PER_TASK`` edges, and the smallest node that it reaches within the run."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def found(parts):
+            a, b = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("a", "b"))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(a, b)], ["a", "b"])
+
+        parts, n = [], 0
+        for batch in batches:
+            if parts and n + batch.num_rows > EDGES_PER_TASK:
+                yield found(parts)
+                parts, n = [], 0
+            parts.append(batch)
+            n += batch.num_rows
+        if n:
+            yield found(parts)
+
+    return edges.coalesce(n_tasks).mapInArrow(run, "a long, b long")
+
+
 def smallest_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable from each node of ``edges`` (a, b).
 
-    Each round replaces an edge's ends by what they point to: first every node
+    Each round first has tasks merge runs of a bounded number of edges; edges that are one run are settled by that. Else
+    it replaces an edge's ends by what they point to: first every node
     hangs its larger neighbours under its smallest one, then every node hangs its
     smaller neighbours under the smallest of them. Long chains halve, a hub's edges are aggregated
     before they are shuffled, and each round's edges are written, so nothing is
     collected but a count.
     """
     edges = materialize(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
+        edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct(), "edges"
     )
     for _ in range(rounds):
+        n_tasks = max(1, -(-edges.count() // EDGES_PER_TASK))
+        merged = materialize(_merged(edges, n_tasks), "labels")
+        discard(edges)
+        if n_tasks == 1:
+            return merged.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        edges = merged.where("a <> b")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Written, so that the rows of a hub are split in the join.
         low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
@@ -69,7 +123,7 @@ def smallest_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # The node itself also hangs under its smallest neighbour.
         large = large.unionByName(low.where("a <> m").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         large = materialize(large, "edges")
-        discard(edges, low)
+        discard(merged, low)
         low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()

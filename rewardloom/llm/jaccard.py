@@ -56,7 +56,7 @@ ROWS_PER_TASK = 2_000
 #: in rounds, whose shuffles are deleted.
 TEXTS_PER_ROUND, FIRSTS_PER_ROUND = 1, 4
 #: Rows that a round has at least.
-ROUND_ROWS = 50_000
+ROUND_ROWS = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -11,7 +11,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from rewardloom.llm import backoff, bpe, decontaminate, editing, jaccard, quality, secrets, sharding, toxicity, urls
+from rewardloom.llm import backoff, bpe, common, decontaminate, editing, jaccard, quality, secrets, sharding, toxicity, urls
+from rewardloom.scratch import materialize
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_words long, row string"
 
@@ -295,6 +296,27 @@ def test_jaccard_returns_at_most_a_link_a_class(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_components(rows)
 
 
+def test_labels_merge_within_tasks(spark, monkeypatch):
+    """Edges that fit a task are settled without rounds; smaller runs give the same labels."""
+    rng = random.Random(6)
+    pairs = [(i, i + 1) for i in range(0, 400) if i % 50] + [(1000, 1000 + i) for i in range(40)] + [(5, 5), (rng.randrange(400), 401)]
+    rng.shuffle(pairs)
+    label = {i: i for pair in pairs for i in pair}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    want = {(i, x) for i, x in label.items() if any(i in pair and pair[0] != pair[1] for pair in pairs)}
+    written = []
+    monkeypatch.setattr(common, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    for at_once in (500_000, 60):
+        monkeypatch.setattr(common, "EDGES_PER_TASK", at_once)
+        found = [tuple(r) for r in common.smallest_labels(edges).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+        assert at_once == 60 or written == ["edges", "labels"]
+    assert common.smallest_labels(edges.where("a < 0")).isEmpty()
+
+
 def test_one_of_each(docs, empty):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
