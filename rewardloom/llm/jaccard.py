@@ -16,7 +16,7 @@ words is ``percent`` or more (three words and 90 unless the caller names others)
    bitmaps, their range of sizes and their components; two trees are traversed together, and pairs of nodes are dropped by
    size, by maximum possible overlap, or because all is one component.
 5. The first traversal has bitmaps of the first fifth of hashes only: the others can add no more than the smaller set has. It says which classes
-   have a partner left, no more than one row a class. The second has these classes' texts: at its leaves the bitmaps give the intersection
+   have a partner left, no more than one row a class; a pair counts in one of the cells it shares only, the largest, as far as a bounded list tells. The second has these classes' texts: at its leaves the bitmaps give the intersection
    itself, so pairs are verified where they are found and merged there. A task returns
    at most one link per class, never its candidates. Components are merged once more.
 
@@ -55,6 +55,8 @@ ROWS_PER_TASK = 2_000
 #: How often all texts, or all their first hashes, may be shuffled at once: a class in many cells is needed in many tasks, and more of them than that go
 #: in rounds, whose shuffles are deleted.
 TEXTS_PER_ROUND, FIRSTS_PER_ROUND = 1, 4
+#: Cells that a class's row of a cell names, of those that come before it in the order of cells.
+BEFORE = 32
 #: Rows that a round has at least.
 ROUND_ROWS = 200_000
 
@@ -238,9 +240,9 @@ def open_cells(cells: DataFrame) -> DataFrame:
         F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members"),
         F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(cid, 1))").alias("x"),
     ).where("c0 <> c1")
-    once = summary.groupBy("members", "s", "x").agg(F.min(F.struct("token", "cell", "c0")).alias("k")).select("k.token", "k.cell", "k.c0")
+    once = summary.groupBy("members", "s", "x").agg(F.min(F.struct("token", "cell", "c0")).alias("k")).select("k.token", "k.cell", "k.c0", F.col("members").alias("size"))
     # Written, so that a large cell's rows are split in the join.
-    return wide.join(materialize(once, "open"), ["token", "cell"]).select(F.struct("token", "cell").alias("cell"), "c0", "cid", "comp", "n")
+    return wide.join(materialize(once, "open"), ["token", "cell"]).select(F.struct("token", "cell").alias("cell"), "size", "c0", "cid", "comp", "n")
 
 
 def families(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -257,11 +259,15 @@ def families(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = materialize(sizes.select("family", F.expr(f"k <= {BLOCK} AND shingles <= {BLOCK_SHINGLES}").alias("fits")), "sizes")
     small = classes.join(sizes.where("fits"), "family").select(F.xxhash64(F.lit("family"), "family").alias("task"), F.lit(0).alias("side"), "cid", "comp")
     large = labels.join(sizes.where("NOT fits"), "family").select("comp")
-    return small, members.join(materialize(large, "large"), "comp", "left_semi").select("cell", "cid", "comp", "n")
+    return small, members.join(materialize(large, "large"), "comp", "left_semi").select("cell", "size", "cid", "comp", "n")
 
 
 def blocks(members: DataFrame) -> DataFrame:
-    """``members`` with their block: large components have blocks of their own, the others share some."""
+    """``members`` with their block: large components have blocks of their own, the others share some.
+
+    ``before`` names cells of the class that come before this one, large cells first. A pair that meets in one of these is not looked at here; the first
+    cell that two classes share has none, so no pair is lost.
+    """
     sizes = members.groupBy("cell", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
     sizes = sizes.withColumn("own", F.when((F.col("k") >= BLOCK) | (F.col("shingles") >= BLOCK_SHINGLES), F.col("comp")).otherwise(-1))
     shares = sizes.groupBy("cell", "own").agg(F.expr(f"greatest((sum(k) + {BLOCK - 1}) div {BLOCK}, (sum(shingles) + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})").alias("shares"))
@@ -269,7 +275,9 @@ def blocks(members: DataFrame) -> DataFrame:
     sizes, shares = materialize(sizes, "sizes"), materialize(shares, "shares")
     dealt = materialize(sizes.join(shares, ["cell", "own"]).select("cell", "comp", "own", "shares"), "dealt")
     block = F.struct("own", F.expr("pmod(xxhash64(cid), shares)").alias("i"))
-    return members.join(dealt, ["cell", "comp"]).select("cell", "cid", "comp", "n", block.alias("block"))
+    earlier = Window.partitionBy("cid").orderBy(F.desc("size"), "cell").rowsBetween(-BEFORE, -1)
+    members = members.withColumn("before", F.collect_list(F.xxhash64("cell")).over(earlier))
+    return members.join(dealt, ["cell", "comp"]).select("cell", "cid", "comp", "n", "before", block.alias("block"))
 
 
 def node_pairs(members: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -388,13 +396,15 @@ def _alike(p: Node, q: Node, bits, n, rest, labels, percent: int):
     return ((100 + percent) * both >= percent * (n[p.at][:, None] + n[q.at][None, :])) & apart
 
 
-def with_partner(one: Node, two: Node, bits, n, rest, comp, percent: int = PERCENT):
-    """Which rows may link with one of another component, as far as the bitmaps tell."""
+def with_partner(one: Node, two: Node, bits, n, rest, comp, percent: int = PERCENT, before=None):
+    """Which rows may link with one of another component, as far as the bitmaps tell; pairs that share a bit of ``before`` are left out."""
     import numpy as np
 
     found = np.zeros(len(n), bool)
     for p, q in leaves(one, two, percent):
         good = _alike(p, q, bits, n, rest, comp, percent)
+        if before is not None and good.any():
+            good &= ~(before[p.at][:, None, :] & before[q.at][None, :, :]).any(axis=2)
         found[p.at] |= good.any(axis=1)
         found[q.at] |= good.any(axis=0)
     return found
@@ -447,22 +457,22 @@ ASKED = "task long, side int, cid long, comp long"
 
 
 def asked_rows(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(task, side, cid, comp): the classes of each pair of blocks; side 0 where a block is paired with itself."""
+    """(task, side, cid, comp, before): the classes of each pair of blocks; side 0 where a block is paired with itself."""
     own = pairs.where("one = two").select("cell", "one", "two", F.col("one").alias("block"), F.lit(0).alias("side"))
     first = pairs.where("one <> two").select("cell", "one", "two", F.col("one").alias("block"), F.lit(1).alias("side"))
     second = pairs.where("one <> two").select("cell", "one", "two", F.col("two").alias("block"), F.lit(2).alias("side"))
     asked = reduce(DataFrame.unionByName, (own, first, second)).withColumn("task", F.xxhash64("cell", "one", "two"))
-    return asked.select("task", "side", "cell", "block").join(members, ["cell", "block"]).select("task", "side", "cid", "comp")
+    return asked.select("task", "side", "cell", "block").join(members, ["cell", "block"]).select("task", "side", "cid", "comp", "before")
 
 
 def sifted(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The written ``rows`` whose class may link with one of another component, by bitmaps of the first hashes."""
+    """The written ``rows`` whose class may link with one of another component, by bitmaps of the first hashes; a pair counts in the first cell it shares."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        comp, size, blobs, kept = table.column("comp").to_numpy(), table.column("n").to_numpy(), table.column("first"), []
+        comp, size, blobs, cells, kept = table.column("comp").to_numpy(), table.column("n").to_numpy(), table.column("first"), table.column("before"), []
         for at, left, right in _each_task(table):
             sets = [np.frombuffer(blobs[int(k)].as_py(), np.uint32) for k in at]
             n = size[at]
@@ -470,7 +480,8 @@ def sifted(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFra
             bits, rest = bitmaps(sets), n - np.array([len(x) for x in sets])
             one = tree(left, bits, n, rest, comp[at])
             two = tree(right, bits, n, rest, comp[at]) if len(right) else one
-            kept.append(at[with_partner(one, two, bits, n, rest, comp[at], percent)])
+            before = bitmaps([np.array(cells[int(k)].as_py(), np.int64) for k in at])
+            kept.append(at[with_partner(one, two, bits, n, rest, comp[at], percent, before)])
         return table.select(["task", "side", "cid", "comp"]).take(pa.array(np.concatenate(kept) if kept else [], pa.int64()))
 
     return _dealt(rows, texts, "n", "first").groupBy("bundle").applyInArrow(run, ASKED)
@@ -523,9 +534,12 @@ class Prepared:
         """Links between classes of different ``comp`` in the cells, by signature trees; written."""
         open_ = materialize(open_cells(labelled), "members")
         small, large = families(open_)
-        members = materialize(blocks(materialize(large, "members")), "members")
+        large = materialize(large, "members")
+        members = materialize(blocks(large), "members")
         pairs = materialize(node_pairs(members, self.percent), "blocks")
-        asked = materialize(small.unionByName(asked_rows(members, pairs)), "asked")
+        none = F.array().cast("array<bigint>").alias("before")
+        asked = materialize(small.select("*", none).unionByName(asked_rows(members, pairs)), "asked")
+        discard(open_, large, members, pairs)
         n_texts = self.texts.count()
         left = _in_rounds(asked, FIRSTS_PER_ROUND * n_texts, lambda part: sifted(part, self.texts, self.percent), "sifted")
         left = materialize(left, "left")

@@ -317,6 +317,32 @@ def test_labels_merge_within_tasks(spark, monkeypatch):
     assert common.smallest_labels(edges.where("a < 0")).isEmpty()
 
 
+def test_jaccard_sifts_a_pair_once(spark, monkeypatch):
+    """Classes that meet in many cells stay in few of them; every link is found still."""
+    rows = []
+    for i in range(60):
+        words = [f"w{k}" for k in range(200)]
+        for k in random.Random(i).sample(range(0, 200, 4), 2):
+            words[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, text) for i, text in rows]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    kept = {}
+
+    def write(df, name):
+        kept[name] = materialize(df, name)
+        kept[name + " rows"] = kept[name].count()
+        return kept[name]
+
+    monkeypatch.setattr(jaccard, "materialize", write)
+    sets = {i: sets_of(text) for i, text in rows[:60]}
+    want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])}
+    pairs, _ = jaccard.links(table)
+    assert {(r["rep_a"], r["rep_b"]) if r["rep_a"] < r["rep_b"] else (r["rep_b"], r["rep_a"]) for r in pairs.collect()} == want and want
+    assert kept["left rows"] < kept["asked rows"] / 3
+
+
 def test_one_of_each(docs, empty):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
