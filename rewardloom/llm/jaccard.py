@@ -5,7 +5,7 @@ words is ``percent`` or more (three words and 90 unless the caller names others)
 
 1. Equal sets are one class from here on, however many documents share it.
 2. Linked sets share a shingle of their prefixes: the first n - ceil(n percent / 100) + 1
-   shingles in a global order. The order puts a fifth of all hashes first, rare ones
+   shingles in a global order. The order puts a fifth of all hashes first (a fourth below 90 percent), rare ones
    before frequent ones, so a prefix is mostly shingles of no other document, which are dropped at once.
 3. Each (shingle, size band) cell verifies its classes against one centre, the class with most copies, and verified
    links are merged to components. A family of near copies is settled here with one check per member.
@@ -15,7 +15,7 @@ words is ``percent`` or more (three words and 90 unless the caller names others)
    classes share, and so has bitmaps without collisions, however large the sets. A tree's node has the OR of its members'
    bitmaps, their range of sizes and their components; two trees are traversed together, and pairs of nodes are dropped by
    size, by maximum possible overlap, or because all is one component.
-5. The first traversal has bitmaps of the first fifth of hashes only: the others can add no more than the smaller set has. It says which classes
+5. The first traversal has bitmaps of these first hashes only: the others can add no more than the smaller set has. It says which classes
    have a partner left, no more than one row a class; a pair counts in one of the cells it shares only, the largest, as far as a bounded list tells. The second has these classes' texts: at its leaves the bitmaps give the intersection
    itself, so pairs are verified where they are found and merged there. A task returns
    at most one link per class, never its candidates. Components are merged once more.
@@ -46,8 +46,9 @@ from rewardloom.scratch import discard, materialize
 
 #: Words of a shingle and the similarity in percent, where the caller names no others.
 WORDS, PERCENT = 3, 90
-#: One in so many hashes comes first in the order of shingles.
-FIRST = 5
+#: One in so many hashes comes first in the order of shingles: ``percent`` from which this holds -> number. Prefixes of 80 percent are a fifth of all hashes; of a
+#: fourth they leave out the most frequent ones, so that passages of many documents make no cells.
+FIRST = {90: 5, 0: 4}
 #: Most classes and shingles of a block, about; classes of a leaf; children of a tree's node.
 BLOCK, BLOCK_SHINGLES, LEAF, FANOUT = 512, 1_000_000, 16, 8
 #: Rows of blocks that a task traverses.
@@ -59,6 +60,8 @@ TEXTS_PER_ROUND, FIRSTS_PER_ROUND = 1, 4
 BEFORE = 32
 #: Rows that a round has at least.
 ROUND_ROWS = 200_000
+#: Bits of a bitmap of keys for each key, most bits of one, and bits of Spark's own bitmaps, of which it is made.
+KEY_BITS, MOST_BITS, PIECE_BITS = 16, 1 << 26, 1 << 15
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -92,11 +95,17 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def first_of(percent: int = PERCENT) -> int:
+    """One in so many hashes comes first."""
+    return next(k for least, k in sorted(FIRST.items(), reverse=True) if percent >= least)
+
+
 SETS = "n long, digest binary, first array<long>, rest array<long>"
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, a hash of the text, the set's size and digest, and the prefix's possible shingles."""
+    one_in = first_of(percent)
 
     def run(batches):
         import numpy as np
@@ -108,7 +117,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, pe
             for t in batch.column(2).to_pylist():
                 x = hashes_of(words_of(t), words)
                 n = len(x)
-                early = x % np.uint64(FIRST) == 0
+                early = x % np.uint64(one_in) == 0
                 first, need = x[early], prefix_length(n, percent) if n else 0
                 rest = x[~early][: max(0, need - len(first))]
                 out.append((n, xxhash.xxh3_128_digest(x.tobytes()), first.view(np.int64), rest.view(np.int64)))
@@ -126,11 +135,12 @@ def _row_key(doc_id: str, text: str):
     return F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("row_hash")
 
 
-def near_texts(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, words: int = WORDS) -> DataFrame:
-    """(cid, n, first, words) of ``classes`` (cid, n, rep, digest): the first fifth of their hashes, as 32 bits of each, and the words of their smallest doc_id's text, compressed.
+def near_texts(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(cid, n, first, words) of ``classes`` (cid, n, rep, digest): the hashes that come first, as 32 bits of each, and the words of their smallest doc_id's text, compressed.
 
     Compressed words take a third of the bytes of their hashes, and these are made again where they are compared.
     """
+    one_in = first_of(percent)
 
     def run(batches):
         import numpy as np
@@ -145,7 +155,7 @@ def near_texts(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, word
                 # Rows of one identifier may have different texts.
                 if xxhash.xxh3_128_digest(x.tobytes()) == digest:
                     # Hashes of one set with the same 32 bits count among the others.
-                    first = np.unique((x[x % np.uint64(FIRST) == 0] // np.uint64(FIRST)).astype(np.uint32))
+                    first = np.unique((x[x % np.uint64(one_in) == 0] // np.uint64(one_in)).astype(np.uint32))
                     out.append((cid, n, first.tobytes(), packed(found)))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -525,7 +535,7 @@ class Prepared:
         self.classes = materialize(full.select("cid", "rep", "n", "digest"), "classes")
         discard(full)
         near = self.classes.join(self.cells.select("cid").distinct(), "cid", "left_semi")
-        self.texts = materialize(near_texts(docs, doc_id, text, near, words), "texts")
+        self.texts = materialize(near_texts(docs, doc_id, text, near, words, percent), "texts")
 
     def star_links(self) -> DataFrame:
         return materialize(verified(star_pairs(self.cells, self.percent), self.texts, self.words, self.percent), "links")
@@ -610,8 +620,8 @@ def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each component, that with the smallest doc_id; texts without words stay.
 
-    What goes is named by identifier and hash of the text, so documents are read once more and never written; of
-    rows that are equal in both, any one stays.
+    What goes is named by identifier and hash of the text, so documents are read again and never written, and those that a bitmap of these names
+    rules out are not shuffled; of rows that are equal in both, any one stays.
     """
     found = materialize(components(docs, doc_id, text, words, percent).where("component IS NOT NULL").select("doc_id", "row_hash", "component"), "components")
     keys = found.groupBy("component", "doc_id", "row_hash").agg(F.count("*").alias("times"))
@@ -625,13 +635,34 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     names = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("row"), *_row_key(doc_id, text))
     match = F.expr("doc_id <=> k_id AND row_hash = k_hash")
-    kept = rows.join(gone, match, "left_anti").select("row.*")
+    perhaps, stay = parted(rows, ["doc_id", "row_hash"], gone, ["k_id", "k_hash"])
+    kept = stay.select("row.*").unionByName(perhaps.join(gone, match, "left_anti").select("row.*"))
     if again.isEmpty():
         return kept
     place = F.row_number().over(Window.partitionBy("doc_id", "row_hash").orderBy(F.lit(1)))
     return kept.unionByName(rows.join(again, match, "left_semi").withColumn("place", place).where("place = 1").select("row.*"))
 
 
+def parted(rows: DataFrame, names: list[str], keys: DataFrame, key_names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``names`` may be one of the written ``keys``, and those where they are none: only the first need be shuffled to tell.
+
+    By a bitmap of the keys' hashes, which all tasks get: two bytes a key, and at most ``MOST_BITS``; with more keys more rows may be one.
+    """
+    bits = min(MOST_BITS, max(PIECE_BITS, 1 << (KEY_BITS * keys.count()).bit_length()))
+
+    def place(columns):
+        return F.pmod(F.xxhash64(*columns), F.lit(bits))
+
+    places = keys.select(place(key_names).alias("place"))
+    pieces = places.groupBy(F.expr(f"place div {PIECE_BITS}").alias("piece")).agg(F.bitmap_construct_agg(F.col("place") % PIECE_BITS).alias("bitmap"))
+    pieces = materialize(pieces, "bitmaps")
+    asked = rows.withColumn("place", place(names))
+    found = asked.join(F.broadcast(pieces), F.expr(f"place div {PIECE_BITS} = piece"), "left")
+    byte = F.expr(f"CAST(conv(hex(substring(bitmap, CAST((place % {PIECE_BITS}) div 8 + 1 AS INT), 1)), 16, 10) AS BIGINT)")
+    hit = F.coalesce(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1, F.lit(False))
+    return found.where(hit).select(*rows.columns), found.where(~hit).select(*rows.columns)
+
+
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: size of set and component of every document."""
     return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -317,6 +317,34 @@ def test_labels_merge_within_tasks(spark, monkeypatch):
     assert common.smallest_labels(edges.where("a < 0")).isEmpty()
 
 
+def test_jaccard_common_passages_make_no_cells(spark):
+    """A passage of all documents takes up little of their sets, so no prefix of 80 percent needs it."""
+    rng = random.Random(4)
+    passage = [f"common{i}" for i in range(40)]
+    rows = []
+    for i in range(20):
+        own = [f"w{i}_{rng.randrange(10**9)}" for _ in range(1_000)]
+        rows.append((i, " ".join(own[:500] + passage + own[500:])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert jaccard.Prepared(table, "doc_id", "text", 5, 80).cells.isEmpty()
+    # A copy with other words at its ends shares enough without it.
+    rows.append((100, rows[3][1].replace("w3_", "x3_", 40)))
+    found = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i for i in range(20)} | {100: 3}
+
+
+def test_jaccard_shuffles_few_documents_at_last(spark):
+    """Rows that a bitmap of the keys rules out need no join; it rules out most, and no key."""
+    rows = spark.createDataFrame([(None if i == 7 else i, i * 31) for i in range(20_000)], "doc_id long, row_hash long")
+    gone = materialize(rows.where("doc_id % 10 = 0 OR doc_id IS NULL").selectExpr("doc_id AS k_id", "row_hash AS k_hash"), "gone")
+    perhaps, stay = jaccard.parted(rows, ["doc_id", "row_hash"], gone, ["k_id", "k_hash"])
+    perhaps, stay = perhaps.collect(), stay.collect()
+    assert Counter(perhaps) + Counter(stay) == Counter(rows.collect())
+    assert {r["doc_id"] for r in perhaps} >= {None, *range(0, 20_000, 10)}
+    assert len(perhaps) < 4_000
+    assert [x.count() for x in jaccard.parted(rows, ["doc_id"], gone.where("false").select("k_id"), ["k_id"])] == [0, 20_000]
+
+
 def test_jaccard_sifts_a_pair_once(spark, monkeypatch):
     """Classes that meet in many cells stay in few of them; every link is found still."""
     rows = []
