@@ -6,8 +6,9 @@ of a topic are numbered instead, every test row draws the numbers it wants, and
 only those rows are joined. Work is proportional to the rows read plus the
 examples returned, whatever the topics' sizes.
 
-Rows are numbered and drawn by topic and id alone; the examples' text is joined
-to the pairs at the end, once. A topic may hold a large share of either table, so
+Rows are numbered and drawn by topic and id alone. For prompts, test rows of a
+topic are gathered in a few parts; a part gets each line that its rows want once,
+packed, and puts the prompts together there. A topic may hold a large share of either table, so
 no step gathers a topic in one task: training rows are numbered in groups whose
 number grows with the topic, and joins with a topic or a wanted row are split
 where one is large.
@@ -17,16 +18,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from rewardloom.operators.prepare import require_columns, require_topic
 from rewardloom.operators.prompts import example_line, few_shot_prompt, last_content
 from rewardloom.operators.sampling import seeded_key
 from rewardloom.options import MAX_CONTEXT_EXAMPLES
+from rewardloom.packing import PACKED, pack, packable, unpacked
 from rewardloom.scratch import materialize
 
 # Training rows numbered by one task, and positions drawn by one.
 ROWS_PER_GROUP = 100_000
 DRAWS_PER_TASK = 100_000
+# Parts in which prompts are put together: a part takes every line that its rows want once, so few parts move little text. There are as many as
+# keep the cluster's cores busy, within these bounds of draws to a part, whose ids are held in memory.
+PARTS_PER_CORE = 2
+LEAST_PER_PART, DRAWS_PER_PART = 25_000, 4_000_000
+# Bytes of prompts that a task passes on at a time, about.
+BATCH_BYTES = 2 << 20
 
 
 def topic_sizes(train: DataFrame, test: DataFrame, topic: str) -> DataFrame:
@@ -95,6 +104,46 @@ def draw_positions(size: Column, cap: int, seed: int, id_column: Column) -> Colu
     return F.when(size > cap, some).when(size > 0, everything)
 
 
+def _pairs(
+    train: DataFrame, test: DataFrame, topic: str, id_column: str, cap: int, seed: int, parts: bool = False
+) -> tuple[DataFrame, int]:
+    """``test_id``, ``train_id`` and ``place`` of every pair; with ``parts`` also a part for each test row, and the number of parts.
+
+    A topic's test rows are in as few parts as its draws are large, one after the other; all rows of a test id are in one part.
+    """
+    known = train.where(F.col(topic).isNotNull())
+    test = test.select(F.col(id_column).alias("test_id"), require_topic(F.col(topic)).alias(topic))
+    sizes = topic_sizes(known, test, topic)
+    numbered = number_within_topic(known, topic, id_column, sizes)
+
+    # Drawing takes far longer than the narrow rows it works on suggest, so the
+    # number of tasks follows the number of draws rather than of bytes.
+    of_topic = F.col("tests") * F.least(F.col("topic_size"), F.lit(cap))
+    draws = sizes.agg(F.sum(of_topic)).first()[0] or 0
+    tasks = max(1, -(-draws // DRAWS_PER_TASK))
+    positions = draw_positions(F.col("topic_size"), cap, seed, F.col("test_id"))
+    drawing = test.join(sizes.select(topic, "topic_size", of_topic.alias("draws")), topic).repartition(tasks, "test_id")
+    part, count = [], 1
+    if parts:
+        share = -(-draws // (PARTS_PER_CORE * train.sparkSession.sparkContext.defaultParallelism))
+        most = max(1, min(DRAWS_PER_PART, max(LEAST_PER_PART, share)))
+        count = max(1, -(-draws // most))
+        span = F.ceil(F.col("draws") / most)
+        home = F.min(F.struct(F.col(topic).alias("topic"), span.alias("span"))).over(Window.partitionBy("test_id"))
+        nth = F.hash("home.topic").cast("long") + F.pmod(F.xxhash64("test_id"), F.col("home.span"))
+        drawing = drawing.withColumn("home", home).withColumn("part", F.pmod(nth, F.lit(count)).cast("int"))
+        part = ["part"]
+    wanted = drawing.select(topic, "topic_size", "test_id", *part, F.explode(positions).alias("position"))
+    place = F.when(
+        F.col("topic_size") > cap, seeded_key(seed, F.col("test_id"), F.col(id_column))
+    ).otherwise("")
+    # Spark takes the drawn positions for as many as the test rows they come from and would broadcast them all.
+    pairs = wanted.hint("merge").join(numbered, [topic, "position"]).select(
+        "test_id", F.col(id_column).alias("train_id"), place.alias("place"), *part
+    )
+    return pairs, count
+
+
 def sample_examples(
     train: DataFrame,
     test: DataFrame,
@@ -112,28 +161,7 @@ def sample_examples(
     blank when the whole topic is used, so that it stays in order, and
     pseudo-random when it is sampled.
     """
-    known = train.where(F.col(topic).isNotNull())
-    test = test.select(F.col(id_column).alias("test_id"), require_topic(F.col(topic)).alias(topic))
-    sizes = topic_sizes(known, test, topic)
-    numbered = number_within_topic(known, topic, id_column, sizes)
-
-    # Drawing takes far longer than the narrow rows it works on suggest, so the
-    # number of tasks follows the number of draws rather than of bytes.
-    draws = sizes.agg(F.sum(F.col("tests") * F.least(F.col("topic_size"), F.lit(cap)))).first()[0]
-    tasks = max(1, -(-(draws or 0) // DRAWS_PER_TASK))
-    positions = draw_positions(F.col("topic_size"), cap, seed, F.col("test_id"))
-    wanted = (
-        test.join(sizes.select(topic, "topic_size"), topic)
-        .repartition(tasks, "test_id")
-        .select(topic, "topic_size", "test_id", F.explode(positions).alias("position"))
-    )
-    place = F.when(
-        F.col("topic_size") > cap, seeded_key(seed, F.col("test_id"), F.col(id_column))
-    ).otherwise("")
-    # Spark takes the drawn positions for as many as the test rows they come from and would broadcast them all.
-    pairs = wanted.hint("merge").join(numbered, [topic, "position"]).select(
-        "test_id", F.col(id_column).alias("train_id"), place.alias("place")
-    )
+    pairs, _ = _pairs(train, test, topic, id_column, cap, seed)
     if not carry:
         return pairs
     carried = train.select(
@@ -142,6 +170,73 @@ def sample_examples(
     return pairs.join(carried, "train_id").select("test_id", "train_id", "place", *carry)
 
 
+def _assemble(batches):
+    """The test rows of a part with ``_context``, their examples' lines, and ``_count``.
+
+    Lines are kept in a file of the task, compressed one by one, and read where a row wants them; the rows are kept packed.
+    """
+    import os
+    import tempfile
+    from array import array
+
+    import numpy as np
+    import pyarrow as pa
+
+    codec = pa.Codec("lz4_raw")
+    folders = [x for x in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(x)]
+    first, others, held = {}, {}, []
+    starts, sizes, end = array("q", [0]), array("q"), 0
+    with tempfile.TemporaryFile(dir=folders[os.getpid() % len(folders)] if folders else None) as file:
+        for batch in batches:
+            for is_row, value in zip(batch.column("is_row").to_pylist(), batch.column("rows"), strict=True):
+                if is_row:
+                    held.append(pa.scalar(value.as_py(), pa.binary()))
+                    continue
+                for lines in unpacked(value):
+                    for key, line in zip(lines.column(0).to_pylist(), lines.column(1), strict=True):
+                        number, line = len(sizes), line.as_buffer() if line.is_valid else None
+                        if first.setdefault(key, number) != number:
+                            others.setdefault(key, []).append(number)
+                        if line is not None:
+                            end += file.write(codec.compress(line, asbytes=True))
+                        sizes.append(-1 if line is None else line.size)
+                        starts.append(end)
+        file.flush()
+        at = file.fileno()
+
+        def line_of(number):
+            if sizes[number] < 0:
+                return None
+            return codec.decompress(os.pread(at, starts[number + 1] - starts[number], starts[number]), sizes[number], asbytes=True)
+
+        def lines_of(keys):
+            found = []
+            for i, key in enumerate(keys):
+                if key not in others:
+                    found.append(line_of(first[key]))
+                elif not i or keys[i - 1] != key:
+                    # The rows of one id, by their lines.
+                    each = sorted(map(line_of, [first[key], *others[key]]), key=lambda x: (x is not None, x or b""))
+                    times = next((j for j in range(i, len(keys)) if keys[j] != key), len(keys)) - i
+                    found += [x for x in each for _ in range(times)]
+            return found
+
+        for value in held:
+            for rows in unpacked(value):
+                wanted, begin, size, contexts, counts = rows.column("_examples").to_pylist(), 0, 0, [], []
+                for i, keys in enumerate(wanted, 1):
+                    found = lines_of(keys or [])
+                    contexts.append(b"\n\n".join(x for x in found if x is not None))
+                    counts.append(len(found))
+                    size += len(contexts[-1])
+                    if size >= BATCH_BYTES or i == len(wanted):
+                        some = rows.slice(begin, i - begin).drop_columns(["_examples"])
+                        ends = np.cumsum([0, *map(len, contexts)], dtype=np.int32)
+                        new = [pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(b"".join(contexts))), pa.array(counts, pa.int32())]
+                        yield pa.RecordBatch.from_arrays([*some.columns, *new], [*some.schema.names, "_context", "_count"])
+                        begin, size, contexts, counts = i, 0, [], []
+
+
 def few_shot_prompts(
     train: DataFrame,
     test: DataFrame,
@@ -158,29 +253,34 @@ def few_shot_prompts(
     """
     for table, name in ((train, "the training table"), (test, "the test table")):
         require_columns(table, [topic, id_column, "prompt", "answers"], name)
-    pairs = sample_examples(
-        train,
-        test,
-        topic=topic,
-        id_column=id_column,
-        cap=cap,
-        seed=seed,
-        carry={"line": example_line(train)},
-    )
-    # At most cap lines per test row are collected.
+    pairs, parts = _pairs(train, test, topic, id_column, cap, seed, parts=True)
+    # The order of hexadecimal digits is that of their bytes.
+    pairs = pairs.where("test_id IS NOT NULL AND train_id IS NOT NULL").withColumn("place", F.unhex("place"))
+    pairs = materialize(pairs, "examples")
+    # At most cap ids per test row are collected.
     contexts = (
-        pairs.groupBy(F.col("test_id").alias(id_column))
-        .agg(F.array_sort(F.collect_list(F.struct("place", "train_id", "line"))).alias("examples"))
-        .withColumn("examples", F.col("examples")["line"])
+        pairs.groupBy(F.col("test_id").alias(id_column), F.col("part").alias("_part"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "train_id"))).alias("_examples"))
+        .withColumn("_examples", F.col("_examples")["train_id"])
     )
-    examples = F.coalesce(F.col("examples"), F.array().cast("array<string>"))
-    return (
-        test.join(contexts, id_column, "left")
-        .withColumns(
-            {
-                "full_prompt": few_shot_prompt(examples, last_content(F.col("prompt"))),
-                "context_examples_count": F.size(examples),
-            }
-        )
-        .drop("examples")
+    carried = all(packable(f.dataType) for f in test.schema)
+    rows = (test if carried else test.select(id_column, "prompt").where(F.col(id_column).isNotNull()).dropDuplicates([id_column])).join(contexts, id_column, "left")
+    # Rows without examples go anywhere.
+    part = F.coalesce("_part", F.pmod(F.xxhash64(id_column, last_content(F.col("prompt"))), F.lit(parts)).cast("int"))
+    rows = rows.select(part.alias("_part"), *rows.drop("_part").columns)
+    schema = StructType([*rows.drop("_part", "_examples").schema, StructField("_context", StringType()), StructField("_count", IntegerType())])
+    # Each part gets a line once, whatever the number of rows there that want it.
+    lines = train.select(F.col(id_column).alias("train_id"), example_line(train).cast("binary").alias("line"))
+    lines = pairs.select("part", "train_id").distinct().join(lines, "train_id").select("part", "train_id", "line")
+    packed = rows.mapInArrow(pack, PACKED).withColumn("is_row", F.lit(True)).unionByName(
+        lines.mapInArrow(pack, PACKED).withColumn("is_row", F.lit(False))
     )
+    found = packed.repartitionById(parts, "bucket").mapInArrow(_assemble, schema)
+    if not carried:
+        found = test.join(found.drop("prompt"), id_column, "left")
+    return found.withColumns(
+        {
+            "full_prompt": few_shot_prompt(F.array(F.coalesce("_context", F.lit(""))), last_content(F.col("prompt"))),
+            "context_examples_count": F.coalesce("_count", F.lit(0)),
+        }
+    ).drop("_context", "_count")

@@ -24,13 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Zstandard's level for rows on their way; lower ones lose sight of a long text before it comes again.
-LEVEL = 2
-#: Types whose values are the same after a way through Arrow.
-PLAIN = (
-    T.BooleanType(), T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType(),
-    T.StringType(), T.BinaryType(), T.DateType(), T.TimestampType(), T.TimestampNTZType(),
-)
+from rewardloom.packing import PACKED, pack, packable, unpacked
 
 #: Spark plans a join on key and ``within`` in buckets of the key alone only where this is "false". ``load`` sets it for the session, as
 #: planning comes with the action; in these tables no key has more rows than a bucket, which is what the default guards against.
@@ -62,55 +56,20 @@ def _registered(spark: SparkSession, path: str, schema, columns: list[str], buck
     return spark.table(name)
 
 
-def _packable(kind: T.DataType) -> bool:
-    if isinstance(kind, T.ArrayType):
-        return _packable(kind.elementType)
-    if isinstance(kind, T.MapType):
-        return _packable(kind.keyType) and _packable(kind.valueType)
-    if type(kind) is T.StructType:
-        return bool(kind.fields) and all(_packable(f.dataType) for f in kind.fields)
-    return kind in PLAIN or isinstance(kind, T.DecimalType)
-
-
 def _dealt(df: DataFrame, columns: list[str], buckets: int, pack_rows: bool) -> DataFrame:
     """``df`` with a bucket's rows in the partition of its number."""
     narrow = all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)) for f in df.schema)
-    if narrow or not pack_rows or not all(_packable(f.dataType) for f in df.schema):
+    if narrow or not pack_rows or not all(packable(f.dataType) for f in df.schema):
         return df.repartition(buckets, *columns)
 
-    def pack(batches):
-        """Each batch's rows of a bucket (the first column) as one compressed value."""
-        import numpy as np
-        import pyarrow as pa
-
-        codec = pa.Codec("zstd", compression_level=LEVEL)
-        for batch in batches:
-            number = batch.column(0).to_numpy()
-            order = np.argsort(number, kind="stable")
-            edges = np.flatnonzero(np.diff(number[order], prepend=-1, append=-1))
-            rows = pa.RecordBatch.from_arrays(batch.columns[1:], schema=pa.schema(list(batch.schema)[1:])).take(pa.array(order))
-            blobs = []
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema) as out:
-                    out.write_batch(rows.slice(i, j - i))
-                plain = sink.getvalue()
-                blobs.append(plain.size.to_bytes(8, "little") + codec.compress(plain, asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array(number[order][edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
-
     def unpack(batches):
-        import pyarrow as pa
-
-        codec = pa.Codec("zstd", compression_level=LEVEL)
         for batch in batches:
             for value in batch.column(1):
-                blob = value.as_buffer()
-                plain = codec.decompress(blob.slice(8), int.from_bytes(blob.slice(0, 8).to_pybytes(), "little"))
-                yield from pa.ipc.open_stream(plain)
+                yield from unpacked(value)
 
     # The hash of Spark's buckets.
     number = F.pmod(F.hash(*columns), F.lit(buckets)).alias("bucket")
-    packed = df.select(number, "*").mapInArrow(pack, "bucket int, rows binary")
+    packed = df.select(number, "*").mapInArrow(pack, PACKED)
     return packed.repartitionById(buckets, "bucket").mapInArrow(unpack, df.schema)
 
 

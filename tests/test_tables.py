@@ -1,6 +1,7 @@
 """Preparation, sampling, few-shot examples, evaluation and report tables."""
 
 import collections
+import hashlib
 import math
 
 import pytest
@@ -374,6 +375,52 @@ def test_few_shot_prompts(spark):
     assert rows["unseen"]["full_prompt"] == "\n\nQuestion: q1\nAnswer:"
 
 
+def shuffled_bytes(plan):
+    """Bytes that the exchanges of an executed plan wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_bytes(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_bytes(plan.plan())
+    own, children = plan.metrics().get("shuffleBytesWritten"), plan.children()
+    return (own.get().value() if own.isDefined() else 0) + sum(shuffled_bytes(children.apply(i)) for i in range(children.length()))
+
+
+def test_few_shot_prompts_shuffle_a_line_once_a_part(spark):
+    """Not once for each test row that wants it: 30 lines of 20 KB for 60 rows are 36 MB."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(310)), lambda x: F.sha2(F.concat_ws("-", "id", x), 256)))
+    rows = spark.range(90).select(F.col("id").alias("row_id"), F.lit("t").alias("topic"), F.array(F.struct(text.alias("content"))).alias("prompt"), F.lit("A").alias("answers"))
+    prompts = few_shot_prompts(rows.where("row_id < 30"), rows.where("row_id >= 30"))
+    found = prompts.select("row_id", F.length("full_prompt").alias("n"), F.md5("full_prompt").alias("digest"))
+    lines = {r["row_id"]: r["prompt"][0]["content"] for r in rows.collect()}
+    context = "\n\n".join(f"Question: {lines[i]}\nAnswer: A" for i in range(30))
+    for r in found.collect():
+        expected = f"{context}\n\nQuestion: {lines[r['row_id']]}\nAnswer:"
+        assert (r["n"], r["digest"]) == (len(expected), hashlib.md5(expected.encode()).hexdigest())
+    assert shuffled_bytes(found._jdf.queryExecution().executedPlan()) < 6_000_000
+
+
+def test_few_shot_prompts_of_repeated_and_missing_ids(spark, monkeypatch):
+    from rewardloom.operators import few_shot
+
+    # Several parts for few rows.
+    monkeypatch.setattr(few_shot, "LEAST_PER_PART", 2)
+    schema = "row_id long, topic string, prompt array<struct<content string>>, answers string, note map<string, int>"
+    row = lambda i, t, text, answer="A": (i, t, [(text,)], answer, {text: 1})
+    train = spark.createDataFrame([row(1, "t", "b"), row(1, "t", "a"), row(2, "t", "c", None), row(None, "t", "d"), row(3, "u", "e"), row(1, None, "f")], schema)
+    test = spark.createDataFrame([row(9, "t", "x"), row(9, "u", "y"), row(None, "t", "z"), row(8, "none", "w")], schema)
+    # Rows of one id are all examples wherever it was drawn, here twice for the topic t, and of test rows of one id alike.
+    lines = [f"Question: {x}\nAnswer: A" for x in "aabbff"]
+    both = "\n\n".join([*lines, "Question: c\nAnswer: None", "Question: e\nAnswer: A"])
+    expected = {"x": (both, 8), "y": (both, 8), "z": ("", 0), "w": ("", 0)}
+    found = few_shot_prompts(train, test).collect()
+    assert len(found) == 4
+    for r in found:
+        text = r["prompt"][0]["content"]
+        context, count = expected[text]
+        assert (r["full_prompt"], r["context_examples_count"], r["note"]) == (f"{context}\n\nQuestion: {text}\nAnswer:", count, {text: 1})
+
+
 def test_few_shot_needs_topics(spark):
     train = topic_table(spark, {"few": 2})
     with pytest.raises(ValueError, match="topic"):
