@@ -31,6 +31,17 @@ def test_results_survive(spark, tmp_path, write, read):
     assert found == df.orderBy("sample_id").collect()
 
 
+def test_repeated_long_texts_are_stored_once(spark, tmp_path):
+    """Few-shot prompts of 100 KB come once for each repeat; within gzip's 32 KB none is found again."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1_600)), lambda x: F.sha2(F.concat_ws("-", "id", x), 256)))
+    df = spark.range(6).select("id", text.alias("full_prompt"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("repeat_id")).coalesce(1)
+    write_json(df, str(tmp_path / "out"), compression="zstd", rows_per_file=40)
+    files = [x for x in (tmp_path / "out").iterdir() if x.name.startswith("part-")]
+    assert len(files) == 2 and sum(x.stat().st_size for x in files) < 700_000
+    found = read_json(spark, str(tmp_path / "out"), df.schema)
+    assert sorted(found.collect()) == sorted(df.collect())
+
+
 @pytest.mark.parametrize("size", ["50", "300", "128m"])
 def test_csv_by_ranges(spark, tmp_path, size):
     """Ranges that end anywhere, also within quotes and within one long value, give the rows of a whole file."""
