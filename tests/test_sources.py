@@ -69,6 +69,43 @@ def test_csv_by_ranges(spark, tmp_path, size):
     assert n_ranges > 4 or size == "128m"
 
 
+@pytest.mark.parametrize("range_bytes", ["100", "1m"])
+def test_compressed_csv_by_ranges(spark, tmp_path, monkeypatch, range_bytes):
+    """A file of many frames is read by several tasks, by Spark's reader as a whole, and is far smaller than its text."""
+    from rewardloom.sources import framed, quoted_csv
+
+    monkeypatch.setattr(framed, "FRAME_BYTES", 300)
+    repeats = results(spark).withColumn("repeat_id", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    long = [(900, r, "x,\n\"y\"\n" * 500, "p", "A", "\n\n", True, False, None, 0.5, None, 1e-9) for r in range(8)]
+    df = repeats.unionByName(spark.createDataFrame(long, results(spark).schema)).coalesce(2)
+    path = str(tmp_path / "out")
+    write_csv(df, path, compression="zstd", rows_per_file=0)
+    files = [x for x in (tmp_path / "out").iterdir() if x.suffix == ".zstd"]
+    assert 1 <= len(files) <= 2 and not [x for x in (tmp_path / "out").iterdir() if x.name.startswith(".part") and x.suffix == ".zstd"]
+    with pytest.raises(ValueError, match="exists"):
+        write_csv(df, path, compression="zstd", rows_per_file=0)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
+    try:
+        found = read_csv(spark, path, by_ranges=True)
+        n_ranges = quoted_csv.ranges(quoted_csv._lines(spark, path)).count()
+    finally:
+        # Read after the setting is another one again.
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    order = lambda rows: sorted(rows, key=lambda r: (r["sample_id"], r["repeat_id"]))
+    expected = order(df.collect())
+    assert order(found.collect()) == expected == order(read_csv(spark, path).collect())
+    assert n_ranges > 10 if range_bytes == "100" else n_ranges == len(files)
+    write_csv(df, path, mode="append", compression="zstd", rows_per_file=50)
+    assert read_csv(spark, path, by_ranges=True).count() == 2 * len(expected)
+    write_csv(df.limit(0), path, mode="overwrite", compression="zstd")
+    assert read_csv(spark, path, by_ranges=True).collect() == []
+    write_csv(df, str(tmp_path / "large"), compression="zstd", rows_per_file=0)
+    write_csv(df, str(tmp_path / "plain"), rows_per_file=0)
+    stored, plain = (sum(x.stat().st_size for x in (tmp_path / name).iterdir() if x.name.startswith("part-")) for name in ("large", "plain"))
+    assert stored * 2 < plain
+
+
 @pytest.mark.parametrize("write, read", [(write_csv, read_csv), (write_json, read_json)])
 def test_result_files_are_bounded(spark, tmp_path, write, read):
     """One task's rows go to several compressed files, and come back as they were."""
