@@ -107,9 +107,10 @@ def draw_positions(size: Column, cap: int, seed: int, id_column: Column) -> Colu
 def _pairs(
     train: DataFrame, test: DataFrame, topic: str, id_column: str, cap: int, seed: int, parts: bool = False
 ) -> tuple[DataFrame, int]:
-    """``test_id``, ``train_id`` and ``place`` of every pair; with ``parts`` also a part for each test row, and the number of parts.
+    """``test_id``, ``train_id`` and ``place`` of every pair; with ``parts`` also a part for each test row that has an id, and the number of parts.
 
     A topic's test rows are in as few parts as its draws are large, one after the other; all rows of a test id are in one part.
+    Pairs with parts are read twice, so what was drawn is written.
     """
     known = train.where(F.col(topic).isNotNull())
     test = test.select(F.col(id_column).alias("test_id"), require_topic(F.col(topic)).alias(topic))
@@ -131,9 +132,11 @@ def _pairs(
         span = F.ceil(F.col("draws") / most)
         home = F.min(F.struct(F.col(topic).alias("topic"), span.alias("span"))).over(Window.partitionBy("test_id"))
         nth = F.hash("home.topic").cast("long") + F.pmod(F.xxhash64("test_id"), F.col("home.span"))
-        drawing = drawing.withColumn("home", home).withColumn("part", F.pmod(nth, F.lit(count)).cast("int"))
+        drawing = drawing.where("test_id IS NOT NULL").withColumn("home", home).withColumn("part", F.pmod(nth, F.lit(count)).cast("int"))
         part = ["part"]
     wanted = drawing.select(topic, "topic_size", "test_id", *part, F.explode(positions).alias("position"))
+    if parts:
+        wanted = materialize(wanted, "drawn")
     place = F.when(
         F.col("topic_size") > cap, seeded_key(seed, F.col("test_id"), F.col(id_column))
     ).otherwise("")
@@ -255,8 +258,7 @@ def few_shot_prompts(
         require_columns(table, [topic, id_column, "prompt", "answers"], name)
     pairs, parts = _pairs(train, test, topic, id_column, cap, seed, parts=True)
     # The order of hexadecimal digits is that of their bytes.
-    pairs = pairs.where("test_id IS NOT NULL AND train_id IS NOT NULL").withColumn("place", F.unhex("place"))
-    pairs = materialize(pairs, "examples")
+    pairs = pairs.where("train_id IS NOT NULL").withColumn("place", F.unhex("place"))
     # At most cap ids per test row are collected.
     contexts = (
         pairs.groupBy(F.col("test_id").alias(id_column), F.col("part").alias("_part"))
